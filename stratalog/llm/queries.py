@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests, bpe_encode
 from .chat_format import END, START, chat_digests, format_chats
+from .imatch import edited_likeness
 from .jaccard import jaccard_components
+from .mixing import mix_sources
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(chats.unionByName(more)))
 
 
+def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +33,10 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -51,5 +61,35 @@ from u group by conv_id
 """
 
 
+#: Shares by largest remainder, one frame of earliest deadline first as a recursion, then arithmetic on numbered rows.
+OP4_SQL = """
+with recursive d as (
+  select doc_id, source, coalesce(source, '') as s from documents
+), sizes as (select s, count(*) as n from d group by s),
+tot as (select count(*) as k, sum(sqrt(n)) as t, sum(n) as rows from sizes),
+want as (select s, sqrt(n) / t * (512 - k) as w from sizes, tot),
+base as (select s, 1 + cast(floor(w) as int) as b, row_number() over (order by w - floor(w) desc, s) as r from want),
+shares as (select s, b + case when r <= 512 - (select sum(b) from base) then 1 else 0 end as share from base),
+arr as (select list(cast(share as int) order by s) as sh, list(s order by s) as ss from shares),
+frame(t, ran, pick) as (
+  select -1, [0 for x in sh], 0 from arr
+  union all
+  select t + 1, [case when i = best then r + 1 else r end for r, i in ran], cast(best as int)
+  from (
+    select t, ran, list_min([{'d': cast(ceil((ran[i] + 1) * 512 / x) as int), 'i': i} for x, i in sh if floor(ran[i] * 512 / x) <= t + 1]).i as best
+    from frame, arr where t < 511
+  )
+), slots as (
+  select ss[pick] as s, t as slot, row_number() over (partition by pick order by t) - 1 as nth from frame, arr where pick > 0
+), numbered as (
+  select doc_id, source, s, row_number() over (partition by s order by
+    cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 8) as bigint) % greatest(1, (rows + 1999) // 2000), doc_id) - 1 as i
+  from d, tot
+)
+select doc_id, source, i // 16 as mix_block, cast(i % 16 as int) as mix_pos, (i // 16) // share * 512 + slot as mix_slot
+from numbered join shares using (s) join slots on slots.s = numbered.s and nth = (i // 16) % share
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL}
+    return {"op4_mixing_sources": OP4_SQL, "op1_chat_formatting": OP1_SQL}
