@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .bpe import bpe_digests, bpe_encode
 from .chat_format import END, START, chat_digests, format_chats
 from .imatch import edited_likeness
@@ -33,6 +34,10 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20, every=20)
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -91,5 +96,18 @@ from numbered join shares using (s) join slots on slots.s = numbered.s and nth =
 """
 
 
+OP7_SQL = """
+with e as (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where embedding is not null and vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score
+  from e q join e c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+), r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing_sources": OP4_SQL, "op1_chat_formatting": OP1_SQL}
+    return {"op7_nearest_neighbours": OP7_SQL, "op4_mixing_sources": OP4_SQL, "op1_chat_formatting": OP1_SQL}
