@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import bpe_digests, bpe_encode
 from .chat_format import END, START, chat_digests, format_chats
+from .html_extract import extract_articles
 from .imatch import edited_likeness
 from .jaccard import jaccard_components
 from .mixing import mix_sources
+from .warc import derivatives, page_responses
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,11 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = derivatives(page_responses(table(spark, sf_dir, "pages")), keep=("page_id",))
+    return made.withColumn("record_sha256", F.sha2("record", 256)).withColumn("record_bytes", F.octet_length("record").cast("long")).drop("record")
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +54,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_articles(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -109,5 +121,21 @@ select query_id, rank, vec_id, score from r where rank <= 20
 """
 
 
+#: The pages' articles are closed and hold only h1, p, b and br; no page lacks one.
+OP10_SQL = """
+with a as (
+  select page_id, url, list_filter(list_transform(
+    regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's'), '</?(p|h1)(\\s[^>]*)?>'),
+    lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
+      regexp_replace(regexp_replace(x, '<br\\s*/?>', ' ', 'g'), '</?b>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'),
+      '[\\s\\x{00A0}\\x{0085}\\x{2028}\\x{2029}]+', ' ', 'g'))
+  ), lambda x: x <> '') as b
+  from pages
+)
+select page_id, url, array_to_string(b, chr(10)) as text, length(array_to_string(b, chr(10))) as n_chars from a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_nearest_neighbours": OP7_SQL, "op4_mixing_sources": OP4_SQL, "op1_chat_formatting": OP1_SQL}
+    return {"op10_html_extraction": OP10_SQL, "op7_nearest_neighbours": OP7_SQL, "op4_mixing_sources": OP4_SQL, "op1_chat_formatting": OP1_SQL}
