@@ -11,7 +11,9 @@ from .chat_format import END, START, chat_digests, format_chats
 from .html_extract import extract_articles
 from .imatch import edited_likeness
 from .jaccard import jaccard_components
+from .lm_score import cross_entropy_difference
 from .mixing import mix_sources
+from .quality import quality_scores
 from .warc import derivatives, page_responses
 
 
@@ -26,6 +28,15 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(chats.unionByName(more)))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
