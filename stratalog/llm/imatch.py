@@ -36,13 +36,27 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     return band, band.count() <= MOST_BROADCAST
 
 
-def _subset_hashes(ts: Column, text: Column) -> Column:
-    ts = F.array_sort(F.coalesce(ts, F.array().cast("array<bigint>")))
-    part = lambda x: F.when(F.size(x) > 0, F.substring(F.sha2(F.array_join(x.cast("array<string>"), ","), 256), 1, 16)).otherwise("0")
-    plain = F.substring(F.sha2(F.array_join(F.array_sort(terms(text)), " "), 256), 1, 16)
-    chosen = lambda rate, shift: lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(rate - 1).cast("long")) == 0
-    parts = [part(F.filter(ts, chosen(*subset))) for subset in SUBSETS]
-    return F.concat_ws("-", F.when(F.size(ts) > 0, part(ts)).otherwise(plain), *parts)
+def _hashed(x: Column) -> Column:
+    return F.when(F.size(x) > 0, F.substring(F.sha2(F.array_join(x.cast("array<string>"), ","), 256), 1, 16)).otherwise("0")
+
+
+def _member(t: Column, rate: int, shift: int) -> Column:
+    return F.shiftright(t, shift).bitwiseAND(F.lit(rate - 1).cast("long")) == 0
+
+
+def _with_hashes(rows: DataFrame, sets: dict[str, Column], texts: dict[str, Column]) -> DataFrame:
+    """rows with <name>_fp for each name of sets (its lexicon terms) and texts. Each step is its own projection, so that
+    a set is sorted once; the subsets of one shift nest, so the sparser ones are taken from the densest."""
+    least = min(RATES)
+    shifts = sorted({shift for _, shift in SUBSETS})
+    sorted_ = rows.withColumns({f"__{c}": F.sort_array(F.coalesce(x, F.array().cast("array<bigint>"))) for c, x in sets.items()})
+    dense = sorted_.withColumns({f"__{c}_{s}": F.filter(f"__{c}", lambda t, s=s: _member(t, least, s)) for c in sets for s in shifts})
+    made = {}
+    for c in sets:
+        plain = F.substring(F.sha2(F.array_join(F.sort_array(terms(texts[c])), " "), 256), 1, 16)
+        parts = [_hashed(F.filter(f"__{c}_{s}", lambda t, r=r, s=s: _member(t, r, s)) if r > least else F.col(f"__{c}_{s}")) for r, s in SUBSETS]
+        made[f"{c}_fp"] = F.concat_ws("-", F.when(F.size(f"__{c}") > 0, _hashed(F.col(f"__{c}"))).otherwise(plain), *parts)
+    return dense.withColumns(made)
 
 
 def fingerprints(docs: DataFrame, band: DataFrame, small: bool, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -54,9 +68,9 @@ def fingerprints(docs: DataFrame, band: DataFrame, small: bool, id_col: str, tex
     kept = found.join(F.broadcast(band) if small else band, "t").groupBy("__id").agg(
         *[F.collect_set(F.when(F.col("__which") == i, F.col("t"))).alias(f"__t{i}") for i in range(len(text_cols))]
     )
-    return docs.join(kept, docs[id_col] == F.col("__id"), "left").select(
-        *docs.columns, *[_subset_hashes(F.col(f"__t{i}"), F.coalesce(F.col(c), F.lit(""))).alias(f"{c}_fp") for i, c in enumerate(text_cols)]
-    )
+    joined = docs.join(kept, docs[id_col] == F.col("__id"), "left")
+    made = _with_hashes(joined, {c: F.col(f"__t{i}") for i, c in enumerate(text_cols)}, {c: F.coalesce(F.col(c), F.lit("")) for c in text_cols})
+    return made.select(*docs.columns, *[f"{c}_fp" for c in text_cols])
 
 
 def likeness(a: Column, b: Column) -> Column:
