@@ -40,8 +40,8 @@ def _hashed(x: Column) -> Column:
     return F.when(F.size(x) > 0, F.substring(F.sha2(F.array_join(x.cast("array<string>"), ","), 256), 1, 16)).otherwise("0")
 
 
-def _member(t: Column, rate: int, shift: int) -> Column:
-    return F.shiftright(t, shift).bitwiseAND(F.lit(rate - 1).cast("long")) == 0
+def _members(ts: str, rate: int, shift: int) -> Column:
+    return F.filter(ts, lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(rate - 1).cast("long")) == 0)
 
 
 def _with_hashes(rows: DataFrame, sets: dict[str, Column], texts: dict[str, Column]) -> DataFrame:
@@ -50,11 +50,11 @@ def _with_hashes(rows: DataFrame, sets: dict[str, Column], texts: dict[str, Colu
     least = min(RATES)
     shifts = sorted({shift for _, shift in SUBSETS})
     sorted_ = rows.withColumns({f"__{c}": F.sort_array(F.coalesce(x, F.array().cast("array<bigint>"))) for c, x in sets.items()})
-    dense = sorted_.withColumns({f"__{c}_{s}": F.filter(f"__{c}", lambda t, s=s: _member(t, least, s)) for c in sets for s in shifts})
+    dense = sorted_.withColumns({f"__{c}_{s}": _members(f"__{c}", least, s) for c in sets for s in shifts})
     made = {}
     for c in sets:
         plain = F.substring(F.sha2(F.array_join(F.sort_array(terms(texts[c])), " "), 256), 1, 16)
-        parts = [_hashed(F.filter(f"__{c}_{s}", lambda t, r=r, s=s: _member(t, r, s)) if r > least else F.col(f"__{c}_{s}")) for r, s in SUBSETS]
+        parts = [_hashed(_members(f"__{c}_{s}", r, s) if r > least else F.col(f"__{c}_{s}")) for r, s in SUBSETS]
         made[f"{c}_fp"] = F.concat_ws("-", F.when(F.size(f"__{c}") > 0, _hashed(F.col(f"__{c}"))).otherwise(plain), *parts)
     return dense.withColumns(made)
 
