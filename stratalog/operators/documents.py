@@ -154,7 +154,7 @@ READERS = {"json": read_json, "yaml": read_yaml, "toml": read_toml, "xml": read_
 
 
 def nodes(rows: DataFrame) -> DataFrame:
-    """NODES of the rows of candidates() that have a format; a document that cannot be read gives one row of kind error."""
+    """NODES of the rows of candidates() that have a format; each document has a row for its top, with the place ''; one that cannot be read gives a row of kind error."""
 
     def run(batches):
         for batch in batches:
@@ -163,12 +163,12 @@ def nodes(rows: DataFrame) -> DataFrame:
                     found = read_toml(content or b"", parser == "toml") if form == "toml" else READERS[form](content or b"")
                 except (ValueError, yaml.YAMLError, RecursionError) as e:
                     found = [("", "error", f"parse {form} file {path!r}: {e}", 0)]
+                found = found if any(x[0] == "" for x in found) else [("", "null", None, 0), *found]
                 n = len(found)
-                if n:
-                    at, kind, value, size = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([root] * n, pa.string()), pa.array([path] * n, pa.string()), pa.array([ordinal] * n, pa.int32()), pa.array([parser] * n, pa.string()), pa.array(at, pa.string()), pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array(size, pa.int32())],
-                        ["root", "path", "ordinal", "parser", "at", "kind", "value", "size"],
-                    )
+                at, kind, value, size = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([root] * n, pa.string()), pa.array([path] * n, pa.string()), pa.array([ordinal] * n, pa.int32()), pa.array([parser] * n, pa.string()), pa.array(at, pa.string()), pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array(size, pa.int32())],
+                    ["root", "path", "ordinal", "parser", "at", "kind", "value", "size"],
+                )
 
     return rows.where("format is not null").select("root", "path", "ordinal", "parser", "format", "content").mapInArrow(run, NODES)

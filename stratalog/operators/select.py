@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rules import Ruleset
+from ..rules import FORMATS, Ruleset
 
 DEFAULT_IGNORED = (".git", "node_modules", ".venv", "venv", "vendor", ".tox", ".mypy_cache", ".pytest_cache")
 
@@ -49,8 +49,6 @@ def candidate_ordinals(rules: Ruleset, name: Column, path: Column) -> Column:
 def candidates(files: DataFrame, rules: Ruleset) -> DataFrame:
     """(root, path, name, content, ordinal, parser, format): one row per file and candidate rule."""
     parser = F.create_map(*[x for r in rules.rules for x in (F.lit(r.ordinal), F.lit(r.parser or ""))])
-    from ..rules import FORMATS
-
     formats = F.create_map(*[x for k, v in FORMATS.items() for x in (F.lit(k), F.lit(v))])
     path = F.regexp_replace("path", r"\\", "/")
     rows = files.select("root", path.alias("path"), F.coalesce(F.col("name"), F.substring_index(path, "/", -1)).alias("name"), "content")
