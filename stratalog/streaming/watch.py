@@ -1,7 +1,7 @@
 """New files of a folder as a stream, detected batch by batch.
 
 Detection has no state across files, so each micro-batch is an ordinary detection; a batch that runs again replaces its own output.
-Included requirements files are looked up within their batch.
+Spark's file stream passes over empty files. Included requirements files are looked up within their batch.
 """
 
 from __future__ import annotations
