@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import binary_array, mix, pack_sorted, planes, sums, text_slices, unpack_sorted, unplanes, word_hashes, written
 
 #: Bytes of text per block; pseudo-counts of the unigram in a bigram's context and of each word in the unigram.
-BLOCK, CONTEXT, ADD = 16_000_000, 5.0, 0.5
+BLOCK, CONTEXT, ADD = 8_000_000, 5.0, 0.5
 #: Bits of a key. A key is the hash of a word, or of a word after another one.
 BITS = 48
 
