@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Tasks cut texts into pre-tokens and keep their positions as slot numbers of a block's own word list; only
-(block, slot, word) rows travel. Each distinct word of the corpus is encoded once, its ids are joined back to all
-blocks that hold it, and each block puts its texts together again by position. Decoding is a join with the
-token-byte table, whose size is the vocabulary's; it is broadcast.
+Tasks cut texts into pre-tokens and keep their positions as numbers into a block's own word list; only words travel,
+one row (block, shard, words) for each shard of words' hashes. A shard is sorted together, so each distinct word of the
+corpus is encoded once; its ids are joined back to all blocks that hold it, and each block puts its texts together
+again by position. A block has one row a shard however often a word occurs, so no word is hot. Decoding is a join
+with the token-byte table, whose size is the vocabulary's; it is broadcast.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from .common import binary_array, planes, unplanes, written
 
 #: Characters of text per block.
 BLOCK = 16_000_000
+#: Shards of words' hashes, at least; as many as shuffle partitions where these are more.
+SHARDS = 512
 #: White_Space of Unicode, as \s of the pattern means it.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -51,8 +55,8 @@ class PreTokens:
         self.texts.append(np.fromiter(map(self.known.__getitem__, self.runs.findall(text)), np.int64))
         self.chars += len(text)
 
-    def block(self) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words by falling count, pre-tokens per text, and all pre-tokens as word numbers."""
+    def block(self, shards: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words by falling count, then shard, then spelling; their shards; pre-tokens per text; and all pre-tokens as word numbers."""
         words, slots, counts = _Numbers(), [], []
         for run in self.known:
             found = self.pieces.findall(run)
@@ -68,39 +72,75 @@ class PreTokens:
         flat = slots[at]
         edges = np.r_[0, np.cumsum([len(t) for t in self.texts])].astype(np.int64)
         per_text = np.diff(np.r_[0, ends][edges])
-        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        names = sorted(words)
+        old = np.fromiter(map(words.__getitem__, names), np.int64, len(names))
+        shard = np.fromiter((zlib.crc32(w.encode()) % shards for w in names), np.int64, len(names))
+        order = np.lexsort((shard, -np.bincount(flat, minlength=len(words))[old]))
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        names = list(words)
-        return [names[i] for i in order], per_text, rank[flat]
+        rank[old[order]] = np.arange(len(order))
+        return [names[i] for i in order], shard[order], per_text, rank[flat]
 
 
 def _width(values: np.ndarray) -> int:
     return max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
 
 
-def _blocks(docs: DataFrame, pattern: str, size: int) -> DataFrame:
-    """Word rows (block, slot, word) and one row (block, pack) per block, in one written table."""
+def _packed(parts: list[bytes]) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _parts(pack: bytes) -> list[bytes]:
+    parts, at = [], 0
+    while at < len(pack):
+        n = int.from_bytes(pack[at : at + 8], "little")
+        parts.append(pack[at + 8 : at + 8 + n])
+        at += 8 + n
+    return parts
+
+
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _spread(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _listed(items: list[bytes]) -> bytes:
+    """Byte strings as one, with their lengths."""
+    lengths = np.array([len(x) for x in items], np.int64)
+    return _packed([planes(lengths, _width(lengths)), _squeezed(b"".join(items))])
+
+
+def _unlisted(packed: bytes) -> tuple[np.ndarray, bytes]:
+    """Lengths and all bytes of what _listed packed."""
+    lengths, data = _parts(packed)
+    return unplanes(lengths).astype(np.int64), _spread(data)
+
+
+def _blocks(docs: DataFrame, pattern: str, size: int, shards: int) -> DataFrame:
+    """Rows (block, shard, pack): the words of a block in a shard, and under a null shard its positions."""
 
     def run(batches):
         from pyspark import TaskContext
 
         task, made, cut, ids = TaskContext.get().partitionId(), 0, PreTokens(pattern), []
 
+        def rows_of(block, shard, packs):
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(packs), pa.int64()), pa.array(shard, pa.int32()), binary_array(packs)], ["block", "shard", "pack"])
+
         def flush():
             nonlocal made, ids
             block, made = (task << 32) + made, made + 1
-            words, per_text, flat = cut.block()
+            words, shard, per_text, flat = cut.block(shards)
             known = np.array([i is not None for i in ids], bool)
-            parts = [known.tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), planes(per_text, 4), planes(flat, _width(flat))]
-            pack = b"".join(len(p).to_bytes(8, "little") + p for p in parts)
-            none = pa.nulls(1)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), none.cast(pa.int32()), none.cast(pa.string()), pa.array([pack], pa.binary())], ["block", "slot", "word", "pack"])
-            for a in range(0, len(words), 50_000):
-                some = words[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), block)), pa.array(np.arange(a, a + len(some), dtype=np.int32)), pa.array(some, pa.string()), pa.nulls(len(some), pa.binary())], ["block", "slot", "word", "pack"]
-                )
+            yield rows_of(block, [None], [_packed([known.tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), planes(per_text, 4), planes(flat, _width(flat)), planes(shard, _width(shard))])])
+            order = np.argsort(shard, kind="stable")
+            held, begins = np.unique(shard[order], return_index=True)
+            edges = [*begins.tolist(), len(order)]
+            for at in range(0, len(held), 64):
+                some = range(at, min(at + 64, len(held)))
+                yield rows_of(block, held[at : at + 64].astype(np.int32), [_listed([words[i].encode() for i in order[edges[k] : edges[k + 1]]]) for k in some])
             cut.reset()
             ids = []
 
@@ -113,7 +153,7 @@ def _blocks(docs: DataFrame, pattern: str, size: int) -> DataFrame:
         if ids:
             yield from flush()
 
-    return docs.mapInArrow(run, "block long, slot int, word string, pack binary")
+    return docs.mapInArrow(run, "block long, shard int, pack binary")
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -145,42 +185,51 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     key = hashlib.sha256(ranks_path.encode()).hexdigest()
 
     def encode(batches):
-        code = _encoder(table.value, key)
+        """Packed words to packed ids; the words of a shard, whose rows follow each other, are known until it ends."""
+        code, last, known = _encoder(table.value, key), None, {}
         for batch in batches:
-            got = [np.array(code.encode_ordinary(w), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary_array(got)], ["word", "ids"])
+            packs = []
+            for shard, pack in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if shard != last:
+                    last, known = shard, {}
+                lengths, data = _unlisted(pack.as_py())
+                got, at = [], 0
+                for n in lengths.tolist():
+                    word, at = data[at : at + n], at + n
+                    ids = known.get(word)
+                    if ids is None:
+                        known[word] = ids = np.array(code.encode_ordinary(word.decode()), "<u4").tobytes()
+                    got.append(ids)
+                many, values = np.array([len(x) // 4 for x in got], np.int64), np.frombuffer(b"".join(got), "<u4")
+                packs.append(_packed([planes(many, _width(many)), planes(values, _width(values))]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_array(packs)], ["block", "shard", "ids"])
 
     def join_up(packs: pa.Table, words: pa.Table) -> pa.Table:
-        names = [id_col, "n_tokens", "ids"]
-        out = []
-        slot = words["slot"].to_numpy()
-        raw = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.binary())
-        raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
-        edge = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
-        ids = np.frombuffer(raw.buffers()[2], "<u4") if len(raw) else np.zeros(0, np.uint32)
-        begin, many = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
-        begin[slot], many[slot] = edge[:-1] // 4, np.diff(edge) // 4
+        names, out = [id_col, "n_tokens", "ids"], []
+        of_shard = dict(zip(words["shard"].to_pylist(), words["ids"].to_pylist(), strict=True))
         for pack in packs["pack"].to_pylist():
-            parts, at = [], 0
-            while at < len(pack):
-                n = int.from_bytes(pack[at : at + 8], "little")
-                parts.append(pack[at + 8 : at + 8 + n])
-                at += 8 + n
-            known, names_ = np.frombuffer(parts[0], bool), np.frombuffer(parts[1], np.int64)
-            per_text, flat = unplanes(parts[2]).astype(np.int64), unplanes(parts[3]).astype(np.int64)
+            known, names_, per_text, flat, shard = _parts(pack)
+            known, names_ = np.frombuffer(known, bool), np.frombuffer(names_, np.int64)
+            per_text, flat, shard = (unplanes(x).astype(np.int64) for x in (per_text, flat, shard))
+            got = [[unplanes(x) for x in _parts(of_shard[k])] for k in np.unique(shard).tolist()]  # in the order of shards, as below
+            order = np.argsort(shard, kind="stable")
+            ids = np.concatenate([x for _, x in got]).astype(np.int32) if got else np.zeros(0, np.int32)
+            lengths = np.concatenate([x for x, _ in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+            begin, many = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            begin[order], many[order] = np.cumsum(lengths) - lengths, lengths
             n = many[flat]
             ends = np.cumsum(n)
             values = ids[np.repeat(begin[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
             edges = np.r_[0, ends][np.r_[0, np.cumsum(per_text)]]
-            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values.astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
             out.append(pa.table([pa.array(names_, mask=~known), pa.array(np.diff(edges)), lists], names=names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=names)
 
-    rows = written(_blocks(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), pattern, block))
-    words = rows.where("word is not null").select("block", "slot", "word")
-    encoded = words.select("word").distinct().mapInArrow(encode, "word string, ids binary")
-    back = words.join(encoded, "word").select("block", "slot", "ids").toDF("block", "slot", "ids")
-    packs = rows.where("pack is not null").select("block", "pack").toDF("block", "pack")
+    shards = max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(_blocks(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), pattern, block, shards))
+    words = rows.where("shard is not null").repartition("shard").sortWithinPartitions("shard")
+    back = words.mapInArrow(encode, "block long, shard int, ids binary")
+    packs = rows.where("shard is null").select("block", "pack")
     return packs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(join_up, f"`{id_col}` long, n_tokens long, ids array<int>")
 
 
