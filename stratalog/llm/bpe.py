@@ -24,8 +24,10 @@ from .common import binary_array, planes, unplanes, written
 
 #: Characters of text per block.
 BLOCK = 16_000_000
-#: Shards of words' hashes, at least; as many as shuffle partitions where these are more.
-SHARDS = 512
+#: Shards of words' hashes, at least; twice the shuffle partitions where these are more. Fewer compress better.
+SHARDS = 64
+#: Numbers below LOW have a class of their own, those below MIDDLE share one by their high byte, those below HIGH by two.
+LOW, MIDDLE, HIGH = 160, 160 + (64 << 8), 160 + (64 << 8) + (31 << 16)
 #: White_Space of Unicode, as \s of the pattern means it.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -99,13 +101,31 @@ def _parts(pack: bytes) -> list[bytes]:
 
 
 def _squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
 
 
 def _spread(packed: bytes) -> bytes:
     return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
+def _numbers(values: np.ndarray) -> bytes:
+    """Numbers of which small ones are common: a byte of class each, and what the class leaves open apart."""
+    kind = np.where(values < LOW, values, np.where(values < MIDDLE, LOW + ((values - LOW) >> 8), np.where(values < HIGH, 224 + ((values - MIDDLE) >> 16), 255)))
+    near, far, wide = (kind >= LOW) & (kind < 224), (kind >= 224) & (kind < 255), kind == 255
+    low, rest = (values[near] - LOW) & 255, (values[far] - MIDDLE) & 65535
+    return _packed([_squeezed(x.tobytes()) for x in (kind.astype(np.uint8), low.astype(np.uint8), (rest & 255).astype(np.uint8), (rest >> 8).astype(np.uint8), values[wide].astype("<i8"))])
+
+
+def _unnumbers(packed: bytes) -> np.ndarray:
+    kind, low, rest, rest_high, wide = map(_spread, _parts(packed))
+    values = np.frombuffer(kind, np.uint8).astype(np.int64)
+    near, far, huge = (values >= LOW) & (values < 224), (values >= 224) & (values < 255), values == 255
+    values[near] = LOW + ((values[near] - LOW) << 8) + np.frombuffer(low, np.uint8)
+    values[far] = MIDDLE + ((values[far] - 224) << 16) + (np.frombuffer(rest_high, np.uint8).astype(np.int64) << 8) + np.frombuffer(rest, np.uint8)
+    values[huge] = np.frombuffer(wide, "<i8")
+    return values
+
+
 def _listed(items: list[bytes]) -> bytes:
     """Byte strings as one, with their lengths."""
     lengths = np.array([len(x) for x in items], np.int64)
@@ -134,7 +154,7 @@ def _blocks(docs: DataFrame, pattern: str, size: int, shards: int) -> DataFrame:
             block, made = (task << 32) + made, made + 1
             words, shard, per_text, flat = cut.block(shards)
             known = np.array([i is not None for i in ids], bool)
-            yield rows_of(block, [None], [_packed([known.tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), planes(per_text, 4), planes(flat, _width(flat)), planes(shard, _width(shard))])])
+            yield rows_of(block, [None], [_packed([known.tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), planes(per_text, 4), _numbers(flat), planes(shard, _width(shard))])])
             order = np.argsort(shard, kind="stable")
             held, begins = np.unique(shard[order], return_index=True)
             edges = [*begins.tolist(), len(order)]
@@ -183,6 +203,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(ranks(ranks_path))
     key = hashlib.sha256(ranks_path.encode()).hexdigest()
+    form = "<u2" if max(table.value.values(), default=0) < 1 << 16 else "<u4"
 
     def encode(batches):
         """Packed words to packed ids; the words of a shard, whose rows follow each other, are known until it ends."""
@@ -201,7 +222,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                         known[word] = ids = np.array(code.encode_ordinary(word.decode()), "<u4").tobytes()
                     got.append(ids)
                 many, values = np.array([len(x) // 4 for x in got], np.int64), np.frombuffer(b"".join(got), "<u4")
-                packs.append(_packed([planes(many, _width(many)), planes(values, _width(values))]))
+                packs.append(_packed([planes(many, _width(many)), _squeezed(values.astype(form).tobytes())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_array(packs)], ["block", "shard", "ids"])
 
     def join_up(packs: pa.Table, words: pa.Table) -> pa.Table:
@@ -210,8 +231,9 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         for pack in packs["pack"].to_pylist():
             known, names_, per_text, flat, shard = _parts(pack)
             known, names_ = np.frombuffer(known, bool), np.frombuffer(names_, np.int64)
-            per_text, flat, shard = (unplanes(x).astype(np.int64) for x in (per_text, flat, shard))
-            got = [[unplanes(x) for x in _parts(of_shard[k])] for k in np.unique(shard).tolist()]  # in the order of shards, as below
+            per_text, flat, shard = unplanes(per_text).astype(np.int64), _unnumbers(flat), unplanes(shard).astype(np.int64)
+            got = [_parts(of_shard[k]) for k in np.unique(shard).tolist()]  # in the order of shards, as below
+            got = [(unplanes(many), np.frombuffer(_spread(values), form)) for many, values in got]
             order = np.argsort(shard, kind="stable")
             ids = np.concatenate([x for _, x in got]).astype(np.int32) if got else np.zeros(0, np.int32)
             lengths = np.concatenate([x for x, _ in got]).astype(np.int64) if got else np.zeros(0, np.int64)
@@ -225,7 +247,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             out.append(pa.table([pa.array(names_, mask=~known), pa.array(np.diff(edges)), lists], names=names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=names)
 
-    shards = max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(SHARDS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = written(_blocks(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), pattern, block, shards))
     words = rows.where("shard is not null").repartition("shard").sortWithinPartitions("shard")
     back = words.mapInArrow(encode, "block long, shard int, ids binary")
