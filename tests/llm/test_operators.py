@@ -239,3 +239,12 @@ def test_html(spark):
     assert got[7][1] == "only this" and got[8] == (None, "", 0) and got[9][1] == "plain & text"
     assert {k: v for k, v in got.items()} == {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in extract_articles(table, most_broadcast=0).collect()}
     assert extract_articles(table.limit(0)).count() == 0
+
+
+def test_packed_numbers():
+    """Numbers at the edges of every class come back."""
+    from stratalog.llm.bpe import HIGH, LOW, MIDDLE, _numbers, _unnumbers
+
+    edges = np.array([0, LOW - 1, LOW, LOW + 255, LOW + 256, MIDDLE - 1, MIDDLE, MIDDLE + 65535, MIDDLE + 65536, HIGH - 1, HIGH, HIGH + 1, 1 << 40])
+    for values in (edges, edges[:0], edges[:1]):
+        assert _unnumbers(_numbers(values)).tolist() == values.tolist()
