@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, written
-from .markup import read_page
+from .markup import CLEAN, STRONG, Block, read_page
 
 #: Share of a host's pages on which a template token must be, and share of the host's text that the article's slot holds.
 SUPPORT, HOLDS = 0.8, 0.8
@@ -30,6 +30,14 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def clean_blocks(blocks: list[Block]) -> list[Block]:
+    """The blocks outside boilerplate; where all are marked, those marked by words only, or else all of the body."""
+    for most in (CLEAN, STRONG - 1):
+        if kept := [b for b in blocks if b.boiler <= most]:
+            return kept
+    return [b for b in blocks if not b.path.startswith("/html/head")]
+
+
 def occurrence_classes(pages: DataFrame) -> DataFrame:
     """(host, path, pages, total, vector, chars) per container token of pages (host, key, html): on how many pages it is, how
     often in all, the fingerprint of its occurrence vector, and characters of text within it that no boilerplate element holds."""
@@ -84,7 +92,8 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     """(id_col, url_col, text, n_chars), one row per row of pages: the blocks of the host's article slot joined by a line end.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out wherever they
-    are; character references are decoded and white space in a block is one space. A page without the host's slot gives its own
+    are, but not a container that wraps the page's article; a page of nothing else gives its text all the same. Names of
+    class, id and role count whole ("sidebar", not "has-sidebar"); character references are decoded and white space in a block is one space. A page without the host's slot gives its own
     article or main element, or else all its blocks outside boilerplate. Null or empty html gives ''. A null or
     odd url is the host ''. Repeated rows and ids are kept, one row each; other columns are not read."""
     rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
@@ -96,7 +105,7 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
         for batch in batches:
             out = []
             for source, slot in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                clean = [b for b in read_page(source or "").blocks if not b.boiler]
+                clean = clean_blocks(read_page(source or "").blocks)
                 for inside in (lambda p, s=slot: s is not None and (p == s or p.startswith(s + "/")), lambda p: "/article" in p or "/main" in p, lambda p: True):
                     text = "\n".join(b.text for b in clean if inside(b.path))
                     if text:

@@ -10,8 +10,9 @@ from typing import NamedTuple
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes"
-#: Containers that never hold an article's text, and words of class or id that say the same.
-BOILER_TAGS = frozenset("head nav header footer aside form script style noscript template svg button select option dialog iframe object canvas menu".split())
+#: Containers that never hold an article's text, and words of class, id or role that say the same. These words and
+#: forms are weaker: they do not count on wrappers of the page, nor words on a paragraph within an article.
+BOILER_TAGS = frozenset("head nav header footer aside script style noscript template svg button select option dialog iframe object canvas menu".split())
 BOILER_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo related share sidebar social sponsor sponsored subscribe toolbar widget".split())
 
 _TOKEN = re.compile(
@@ -23,11 +24,15 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _WORD = re.compile(r"[a-z]+")
+#: Elements that no word makes boilerplate, and the starts of an article.
+NEVER, HEADS = frozenset("html body article main".split()), frozenset("article main h1".split())
+#: What Block.boiler says: text, within a container marked by a word or a form, within an element of BOILER_TAGS.
+CLEAN, WEAK, STRONG = 0, 1, 2
 
 
 class Block(NamedTuple):
     path: str
-    boiler: bool
+    boiler: int
     text: str
 
 
@@ -38,12 +43,23 @@ class Page(NamedTuple):
     title: str
 
 
+def boiler_name(names: str) -> bool:
+    """Whether one of the names (of class, id and role) consists of words for boilerplate only: "ad", "cookie-banner" and
+    "nav2" do, "has-sidebar" and "article-header" do not."""
+    return any((w := _WORD.findall(name)) and BOILER_WORDS.issuperset(w) for name in names.lower().split())
+
+
 def read_page(source: str) -> Page:
     """Blocks in page order. A block ends at every element that is not inline; white space in it is one space. A
     container's path is its open elements with their first class or id; unclosed p, li and the like end where the
-    next one begins, unclosed inline elements end with their block, and end tags without a start are ignored."""
-    stack: list[tuple[str, str, bool]] = []
-    blocks: list[Block] = []
+    next one begins, unclosed inline elements end with their block, and end tags without a start are ignored.
+
+    A weak mark does not count on a container that holds more than half of the page's text and the start of its
+    article (if the page has one: the first article, main or h1)."""
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []
+    found: list[tuple[str, bool, tuple[int, ...], str]] = []
+    marked = 0
+    start: tuple[int, ...] | None = None
     containers: dict[str, int] = {}
     links: list[str] = []
     text: list[str] = []
@@ -54,7 +70,7 @@ def read_page(source: str) -> Page:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                blocks.append(Block(stack[-1][1] if stack else "", bool(stack) and stack[-1][2], line))
+                found.append((*(stack[-1][1:] if stack else ("", False, ())), line))
 
     for m in _TOKEN.finditer(source):
         if (t := m["text"]) is not None:
@@ -85,12 +101,27 @@ def read_page(source: str) -> Page:
             stack.pop()
         names = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m["attrs"] or "")}
         label = (names.get("class", "").split() or [names.get("id", "")])[0]
-        marks = set(_WORD.findall(f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".lower()))
-        above = stack[-1] if stack else ("", "", False)
-        boiler = above[2] or (tag in BOILER_TAGS and not (tag == "header" and "/article" in above[1])) or bool(marks & BOILER_WORDS)
+        above = stack[-1] if stack else ("", "", False, ())
+        strong = above[2] or (tag in BOILER_TAGS and not (tag == "header" and "/article" in above[1]))
+        marks = above[3]
+        if tag not in NEVER and not (tag == "p" and ("/article" in above[1] or "/main" in above[1])):
+            if tag == "form" or names and boiler_name(f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}"):
+                marks = (*marks, marked)
+                marked += 1
         path = above[1] if tag == "p" else f"{above[1]}/{tag}{'.' + label if label else ''}"
-        stack.append((tag, path, boiler))
+        stack.append((tag, path, strong, marks))
+        if start is None and tag in HEADS:
+            start = marks
         if tag != "p":
             containers[path] = containers.get(path, 0) + 1
     flush()
+    if marked:
+        size = [0] * marked
+        for _, _, marks, line in found:
+            for i in marks:
+                size[i] += len(line)
+        whole = sum(len(x[3]) for x in found)
+        wrappers = {i for i in range(marked) if 2 * size[i] > whole and (start is None or i in start)}
+        found = [(path, strong, tuple(i for i in marks if i not in wrappers), line) for path, strong, marks, line in found]
+    blocks = [Block(path, STRONG if strong else WEAK if marks else CLEAN, line) for path, strong, marks, line in found]
     return Page(blocks, containers, links, title)

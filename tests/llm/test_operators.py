@@ -241,6 +241,27 @@ def test_html(spark):
     assert extract_articles(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrap", [
+    "<body class='single has-sidebar'>{}</body>", "<body class='sidebar'>{}</body>", "<body><div class='no-sidebar content'>{}</div></body>",
+    "<body><article class='comments-open'>{}</article></body>", "<body><div id='page-with-nav'>{}</div></body>", "<body><form action='/'>{}</form></body>",
+    "<body><div class='widget'>{}</div><p class='ad'>buy</p></body>", "<body><nav>{}</body>",
+])
+def test_html_marked_wrappers(spark, wrap):
+    """Names on wrappers do not empty pages; real boilerplate still goes."""
+    inner = "<div class='article-header'><h1>Head {0}</h1></div><p>Body text of page {0}, long enough.</p><section id='related-work'><p>Work {0}</p></section><div class='comments'><p>reader</p></div><div class='cookie-banner'>eat</div>"
+    rows = [(i, f"http://h/{i}", f"<html>{wrap.format(inner.format(i))}</html>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "Head {0}\nBody text of page {0}, long enough.\nWork {0}" + ("\nreader\neat" if "<nav>" in wrap else "")
+    assert got == {i: want.format(i) for i in range(4)}
+
+
+def test_html_marked_parts(spark):
+    """A paragraph of an article may be called a notice; comments longer than the article are still left out."""
+    rows = [(1, "http://a/1", "<article><h1>T</h1><p class='notice'>Corrected.</p><p>Text</p></article>"), (2, "http://b/1", f"<div class='post'><h1>T</h1><p>Short</p></div><div id='comments'><p>{'long ' * 50}</p></div>")]
+    got = {r["page_id"]: r["text"] for r in extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "T\nCorrected.\nText", 2: "T\nShort"}
+
+
 def test_packed_numbers():
     """Numbers at the edges of every class come back."""
     from stratalog.llm.bpe import HIGH, LOW, MIDDLE, _numbers, _unnumbers
