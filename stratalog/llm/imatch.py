@@ -1,6 +1,7 @@
 """I-Match fingerprints: hashes of the terms in a band of document frequency, by randomised lexicon subsets.
 
-Terms whose share of the documents lies in [low, high] are the lexicon. Since a share is at least `low`, there are at most
+Terms whose share of the distinct documents (by their sets of terms) lies in [low, high] are the lexicon, so that copies
+move no term out of the band. A text of which the lexicon covers little, as in a large group of near copies, is hashed over all its terms. Since a share is at least `low`, there are at most
 (mean number of distinct terms per text) / low of them, however large the corpus is: it is broadcast behind a check
 of that size. DataFrame operations only.
 """
@@ -15,11 +16,13 @@ from .common import written
 
 #: Share of the documents that a lexicon term is in, at least and at most.
 LOW, HIGH = 0.001, 0.2
+#: A text with a smaller share of its terms in the lexicon has its subsets taken from all its terms.
+COVER = 0.25
 #: A random lexicon subset holds one term in so many (powers of two: sparse ones outlive edits of long texts, dense
 #: ones tell short texts apart), and the bit of the term's hash from which membership is read: four subsets of each.
 RATES = (16, 32, 64, 128, 256, 512)
 SUBSETS = tuple((rate, shift) for rate in RATES for shift in (0, 14, 28, 42))
-#: Lexicon terms that may be broadcast; beyond, the join shuffles.
+#: Lexicon terms, or sets of terms with copies, that may be broadcast; beyond, the join shuffles.
 MOST_BROADCAST = 2_000_000
 
 
@@ -28,10 +31,24 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> tuple[DataFrame, bool]:
-    """(t long) hashes of the terms in the band, and whether they are few enough to broadcast. The counts cover all rows of docs."""
-    rows = docs.count()
-    words = docs.select(F.explode(terms(F.col(text_col))).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+def distinct_texts(docs: DataFrame, id_col: str, text_col: str, most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, int]:
+    """The rows of docs whose id is the smallest of those with their set of terms, and their number. docs must have unique
+    ids. Only hashes are grouped; texts are shuffled just where more than most_broadcast sets have copies."""
+    key = F.xxhash64(F.sort_array(F.array_remove(terms(F.col(text_col)), "")))
+    sets = written(docs.select(key.alias("__k"), id_col).groupBy("__k").agg(F.min(id_col).alias("__first"), F.count("*").alias("__n")))
+    copied = sets.where("__n > 1").select("__k", "__first")
+    if copied.count() <= most_broadcast:
+        kept = docs.withColumn("__k", key).join(F.broadcast(copied), "__k", "left").where(F.col("__first").isNull() | (F.col("__first") == F.col(id_col)))
+    else:
+        kept = docs.join(sets.select(F.col("__first").alias(id_col)), id_col, "left_semi")
+    return kept.select(*docs.columns), sets.count()
+
+
+def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH, id_col: str = "id") -> tuple[DataFrame, bool]:
+    """(t long) hashes of the terms in the band, and whether they are few enough to broadcast. The counts cover all rows of
+    docs, whose ids must be unique; rows with one set of terms count once."""
+    once, rows = distinct_texts(docs, id_col, text_col)
+    words = once.select(F.explode(terms(F.col(text_col))).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
     band = written(words.where((F.col("n") >= low * rows) & (F.col("n") <= high * rows)).select(F.xxhash64("w").alias("t")).distinct())
     return band, band.count() <= MOST_BROADCAST
 
@@ -45,24 +62,29 @@ def _members(ts: str, rate: int, shift: int) -> Column:
 
 
 def _with_hashes(rows: DataFrame, sets: dict[str, Column], texts: dict[str, Column]) -> DataFrame:
-    """rows with <name>_fp for each name of sets (its lexicon terms) and texts. Each step is its own projection, so that
+    """rows with <name>_fp for each name of sets (its lexicon terms) and texts; where the lexicon covers less than COVER of
+    a text's terms, these are taken instead. Each step is its own projection, so that
     a set is sorted once; the subsets of one shift nest, so the sparser ones are taken from the densest."""
     least = min(RATES)
     shifts = sorted({shift for _, shift in SUBSETS})
-    sorted_ = rows.withColumns({f"__{c}": F.sort_array(F.coalesce(x, F.array().cast("array<bigint>"))) for c, x in sets.items()})
+    split = rows.withColumns({f"__{c}_w": F.array_remove(terms(texts[c]), "") for c in sets})
+    few = {c: F.coalesce(F.size(x), F.lit(0)) < COVER * F.size(f"__{c}_w") for c, x in sets.items()}
+    chosen = split.withColumns({f"__{c}_few": few[c] for c in sets})
+    chosen = chosen.withColumns({f"__{c}": F.sort_array(F.when(F.col(f"__{c}_few"), F.transform(f"__{c}_w", lambda w: F.xxhash64(w))).otherwise(F.coalesce(x, F.array().cast("array<bigint>")))) for c, x in sets.items()})
+    sorted_ = chosen.drop(*[f"__{c}_w" for c in sets])
     dense = sorted_.withColumns({f"__{c}_{s}": _members(f"__{c}", least, s) for c in sets for s in shifts})
     made = {}
     for c in sets:
         plain = F.substring(F.sha2(F.array_join(F.sort_array(terms(texts[c])), " "), 256), 1, 16)
         parts = [_hashed(_members(f"__{c}_{s}", r, s) if r > least else F.col(f"__{c}_{s}")) for r, s in SUBSETS]
-        made[f"{c}_fp"] = F.concat_ws("-", F.when(F.size(f"__{c}") > 0, _hashed(F.col(f"__{c}"))).otherwise(plain), *parts)
+        made[f"{c}_fp"] = F.concat_ws("-", F.when((F.size(f"__{c}") > 0) & ~F.col(f"__{c}_few"), _hashed(F.col(f"__{c}"))).otherwise(plain), *parts)
     return dense.withColumns(made)
 
 
 def fingerprints(docs: DataFrame, band: DataFrame, small: bool, id_col: str, text_cols: list[str]) -> DataFrame:
     """docs with one fingerprint column <text column>_fp per text column: hex hashes joined by '-', one per lexicon subset: the
     sorted distinct terms of the text in that subset, hashed; '0' where there are none. The first is over the
-    whole lexicon, or over all terms of a text that has none in it. docs must have unique ids."""
+    whole lexicon. For a text with less than COVER of its terms in the lexicon, all hashes are over all its terms. docs must have unique ids."""
     found = docs.select(F.col(id_col).alias("__id"), F.posexplode(F.array(*text_cols)).alias("__which", "__text"))
     found = found.select("__id", "__which", F.explode(terms(F.col("__text"))).alias("w")).select("__id", "__which", F.xxhash64("w").alias("t"))
     kept = found.join(F.broadcast(band) if small else band, "t").groupBy("__id").agg(
@@ -110,7 +132,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or all, of the next document's by ascending id; after the last comes the first), and both likenesses.
 
     Null texts are empty. Of rows with one id the smallest text counts, once; null ids are left out, having no place in
-    the order. Terms are counted over all documents. Other columns are not read."""
+    the order. Terms are counted over all documents, copies of a set of terms once. Other columns are not read."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
     sizes = docs.select("id", F.length("text").cast("long").alias("n"))
     if sizes.select("id").distinct().count() < sizes.count():

@@ -161,6 +161,30 @@ def test_fingerprints(docs, none):
     assert edited_likeness(none).count() == 0
 
 
+def test_fingerprints_of_large_groups(spark):
+    """With the band of production: near copies on a third of the rows keep their links, and exact copies move no term."""
+    from stratalog.llm.imatch import distinct_texts, lexicon
+
+    r = random.Random(9)
+    text = lambda: [f"w{r.randrange(2000)}" for _ in range(60)]
+    base = [f"g{i}" for i in range(80)]
+    near = lambda i: [*base[:20], f"rare{i}", *base[20:]]
+    rows = [(i, " ".join(near(i) if i < 60 or i < 180 and i % 4 == 0 else text())) for i in range(270)]
+    got = {x["doc_id"]: x for x in edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([got[i]["near_next"] for i in range(59)]) > 0.5
+    assert min(got[i]["near_next"] for i in range(59)) > 0
+    assert np.mean([got[i]["near_edited"] for i in [*range(59), *range(60, 180, 4)]]) > 0.2
+    assert np.mean([got[i]["near_edited"] for i in range(60, 180, 4)]) > 0.1
+    assert np.mean([got[i]["near_next"] for i in range(180, 269)]) < 0.05
+    alone = [(i, " ".join(text())) for i in range(200)]
+    copies = alone + [(1000 + i, alone[0][1].upper() + ".") for i in range(100)]
+    bands = [{x["t"] for x in lexicon(spark.createDataFrame(t, "id long, text string"))[0].collect()} for t in (alone, copies)]
+    assert bands[0] == bands[1] and bands[0]
+    for most in (0, 10):
+        once, n = distinct_texts(spark.createDataFrame(copies, "id long, text string"), "id", "text", most)
+        assert n == 200 and sorted(x["id"] for x in once.collect()) == list(range(200))
+
+
 def test_mixing(spark):
     rows = [(i, "a" if i % 3 else "b" if i % 2 else None, "x") for i in range(3000)] + [(5, "a", "x"), (None, "b", "x")]
     table = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string")
