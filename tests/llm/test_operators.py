@@ -252,6 +252,43 @@ def test_warc(spark):
     assert derivatives(page_responses(pages.limit(0))).count() == 0
 
 
+def test_warc_source_headers_and_codings(spark, tmp_path):
+    """All source headers come through, repeated ones too; chunked, gzip and deflate bodies are read."""
+    import gzip
+    import json
+    import zlib
+
+    from stratalog.llm.warc import digest, read_responses, record
+
+    page = "<html><head><title>Tü</title></head><body><p>Text é</p><a href='/y'>l</a></body></html>".encode()
+    raw = zlib.compressobj(wbits=-15)
+    chunk = lambda b: b"".join(b"%x;a=b\r\n%s\r\n" % (len(x), x) for x in (b[:7], b[7:])) + b"0\r\n\r\n"
+    packed = gzip.compress(page[:20]) + gzip.compress(page[20:])
+    bodies = {
+        "plain": (b"", page), "gzip": (b"Content-Encoding: gzip\r\n", packed), "deflate": (b"content-encoding: deflate\r\n", zlib.compress(page)),
+        "raw": (b"Content-Encoding: deflate\r\n", raw.compress(page) + raw.flush()), "chunked": (b"Transfer-Encoding: chunked\r\n", chunk(page)),
+        "both": (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n", chunk(packed)), "stored": (b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n", page),
+        "br": (b"Content-Encoding: br\r\n", b"\x0b\x02\x80page\x03"),
+    }
+    heads = [("WARC-Type", "response"), ("WARC-Date", "2024-05-06T07:08:09Z"), ("WARC-IP-Address", "192.0.2.7"), ("WARC-Block-Digest", "sha1:AAAA"), ("WARC-Concurrent-To", "<urn:uuid:1>"),
+             ("WARC-Concurrent-To", "<urn:uuid:2>"), ("WARC-Warcinfo-ID", "<urn:uuid:3>"), ("WARC-Truncated", "length"), ("WARC-Identified-Payload-Type", "text/html"), ("X-Own", "é")]
+    data = b"".join(record([*heads, ("WARC-Record-ID", n)], b"HTTP/1.1 200 OK\r\n" + h + b"\r\n" + b) for n, (h, b) in bodies.items())
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(data))
+    made = {(r["refers_to"], r["type"]): r for r in derivatives(read_responses(spark, str(tmp_path))).collect()}
+    assert len(made) == 2 * len(bodies)
+    for n, (_, body) in bodies.items():
+        meta, text = (next(parse_records(bytes(made[n, t]["record"])))[1] for t in ("metadata", "conversion"))
+        meta = json.loads(meta)
+        assert meta["source_headers"][: len(heads) + 1] == [list(x) for x in [*heads, ("WARC-Record-ID", n)]]
+        assert (meta["html"], text.decode()) == (({"title": "", "links": []}, "") if n == "br" else ({"title": "Tü", "links": ["/y"]}, "Text é\nl\n")), n
+        assert meta["http"].get("undecoded") == (["br"] if n == "br" else None)
+        assert made[n, "metadata"]["source_digest"] == digest({"chunked": page, "both": packed}.get(n, body))
+    pages = page_responses(spark.createDataFrame([(1, "http://a/", "<p>x")], "page_id long, url string, html string"))
+    for given, some in ((pages, True), (pages.drop("headers"), False)):
+        record_, = (r["record"] for r in derivatives(given).collect() if r["type"] == "metadata")
+        assert (b'["WARC-Identified-Payload-Type", "text/html"]' in bytes(record_)) == some
+
+
 def test_html(spark):
     def page(n):
         return f"<html><body><nav><a>menu</a></nav><div class='wrap'><div class='story'><h1>Title {n}</h1><p>Body <b>{n}</b>\n of\ttext &lt;{n}&gt;</p><p>More {n}</p></div><div class='sidebar'><p>side {n}</p></div><div id='comments'><p>reader {n}</p></div></div><footer>foot</footer><script>x</script></body></html>"
