@@ -1,10 +1,10 @@
-"""Main text of pages by templates deduced per host.
+"""Main text of pages by a container chosen per host.
 
 Tokens are the container tags in their context. A token's occurrence vector is its count on each page of the host;
 its fingerprint is an exclusive or over pages, so equal vectors meet by a sum and no host is ever gathered. Tokens with
-one vector are an equivalence class; classes that occur once on nearly every page are valid and nest by their paths into the host's
-template. What lies between its tokens are slots: the slot with the article's text is chosen per host, and each page
-gives the blocks in it.
+one vector are an equivalence class, whose size only breaks ties; tokens that occur once on nearly every page are valid. The
+one with the article's text is chosen per host as its slot, and each page gives the blocks in it. No template is nested
+from the classes, and text words are no tokens.
 """
 
 from __future__ import annotations
