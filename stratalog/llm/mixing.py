@@ -68,7 +68,8 @@ def mix_sources(
     block): the order (mix_slot, mix_pos) interleaves the sources' blocks to their target weights.
 
     weights: target weight per source, by default the square root of its number of rows. While all sources last, each has at any slot less
-    than one block more or less than its weight's share; when one is used up, its slots stay empty and the
+    than one block more or less than its share of the frame, which has one slot per source first and so is not the exact
+    weight: the distance from that grows with the number of slots. When one is used up, its slots stay empty and the
     rest go on in their proportions. Every row has its place exactly once. Inside a source the order is that of the
     MD5 of the id, then the id; blocks are full but the last. Null sources are one source ''; ids that
     are null or repeated are ordered somehow. Sources without a weight count as the smallest weight given. Columns of docs named
