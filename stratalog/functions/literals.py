@@ -30,6 +30,8 @@ class Other:
 
 
 OTHER = Other()
+#: Words that stand before or after a name within one TypeScript type.
+TYPE_WORDS = frozenset("keyof typeof readonly unique infer extends is asserts new abstract".split())
 
 
 class Source:
@@ -120,6 +122,25 @@ class Source:
                 out[self.text(a)] = Name(self.text(a), a)
         return out
 
+    def after_type(self, i: int) -> int:
+        """The place after a declaration's type annotation at i, if it has one: brackets of all kinds are passed as a whole, and
+        the annotation ends at its declaration's =, at a comma, semicolon or closing bracket, or where a statement begins."""
+        i += self.text(i) == "!"
+        if self.text(i) != ":":
+            return i
+        deep = 0
+        while (t := self.text(i)) and not (deep <= 0 and t in ("=", ",", ";")) and t not in (")", "]", "}"):
+            if t in CLOSING:
+                if (end := self.close(i)) is None:
+                    return i
+                i = end
+            elif t in ("<", ">"):
+                deep += 1 if t == "<" else -1
+            elif deep <= 0 and self.kind(i) == "name" and t not in TYPE_WORDS and (self.text(i + 1) == "(" or self.kind(i + 1) == "name" and self.text(i + 1) not in TYPE_WORDS):
+                return i + 1
+            i += 1
+        return i
+
     def assigned(self, name: str, before: int):
         """What a name was given last before a place."""
         for j in range(min(before, len(self.tokens)) - 1, -1, -1):
@@ -129,8 +150,7 @@ class Source:
             if self.language == "typescript":
                 if self.text(j - 1) not in ("const", "let", "var", ","):
                     continue
-                while self.text(eq) not in ("=", ";", "") and eq - j < 12:
-                    eq += 1
+                eq = self.after_type(eq)
             if self.text(eq) != "=":
                 continue
             end = eq + 1

@@ -102,8 +102,10 @@ def typescript_names(s: Source, module: str, name: str) -> tuple[set[str], set[s
     for i in range(len(s.tokens)):
         if s.text(i) != "import" or s.kind(i) != "name":
             continue
-        end = next((j for j in range(i, min(i + 200, len(s.tokens))) if s.text(j) == "from"), None)
-        if end is None or s.kind(end + 1) != "string" or s.string(end + 1) != module:
+        end = i + 1
+        while end < len(s.tokens) and s.kind(end) not in ("string", "text") and s.text(end) not in (";", "=", "(") and not (s.text(end) == "from" and s.kind(end + 1) == "string"):
+            end = (s.close(end) or len(s.tokens)) + 1 if s.text(end) == "{" else end + 1
+        if s.text(end) != "from" or s.kind(end + 1) != "string" or s.string(end + 1) != module:
             continue
         if [s.text(i + 1), s.text(i + 2)] == ["*", "as"]:
             spaces.add(s.text(i + 3))
