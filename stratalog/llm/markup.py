@@ -24,6 +24,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _WORD = re.compile(r"[a-z]+")
+_DIGITS, _NUMBER = re.compile(r"[0-9]+"), re.compile(r"[0-9]{3,}")
 #: Elements that no word makes boilerplate, and the starts of an article.
 NEVER, HEADS = frozenset("html body article main".split()), frozenset("article main h1".split())
 #: What Block.boiler says: text, within a container marked by a word or a form, within an element of BOILER_TAGS.
@@ -38,7 +39,7 @@ class Block(NamedTuple):
 
 class Page(NamedTuple):
     blocks: list[Block]
-    containers: dict[str, int]
+    opens: list[tuple[str, int]]
     links: list[str]
     title: str
 
@@ -51,8 +52,9 @@ def boiler_name(names: str) -> bool:
 
 def read_page(source: str) -> Page:
     """Blocks in page order. A block ends at every element that is not inline; white space in it is one space. A
-    container's path is its open elements with their first class or id; unclosed p, li and the like end where the
-    next one begins, unclosed inline elements end with their block, and end tags without a start are ignored.
+    container's path is its open elements with their first class or id, numbers as #; unclosed p, li and the like end where the
+    next one begins, unclosed inline elements end with their block, and end tags without a start are ignored. opens has
+    the containers in page order, each with the number of blocks before it.
 
     A weak mark does not count on a container that holds more than half of the page's text and the start of its
     article (if the page has one: the first article, main or h1)."""
@@ -60,7 +62,7 @@ def read_page(source: str) -> Page:
     found: list[tuple[str, bool, tuple[int, ...], str]] = []
     marked = 0
     start: tuple[int, ...] | None = None
-    containers: dict[str, int] = {}
+    opens: list[tuple[str, int]] = []
     links: list[str] = []
     text: list[str] = []
     title = ""
@@ -100,7 +102,8 @@ def read_page(source: str) -> Page:
         if stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
             stack.pop()
         names = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m["attrs"] or "")}
-        label = (names.get("class", "").split() or [names.get("id", "")])[0]
+        classes = names.get("class", "").split()
+        label = _NUMBER.sub("#", classes[0]) if classes else _DIGITS.sub("#", names.get("id", ""))
         above = stack[-1] if stack else ("", "", False, ())
         strong = above[2] or (tag in BOILER_TAGS and not (tag == "header" and "/article" in above[1]))
         marks = above[3]
@@ -113,7 +116,7 @@ def read_page(source: str) -> Page:
         if start is None and tag in HEADS:
             start = marks
         if tag != "p":
-            containers[path] = containers.get(path, 0) + 1
+            opens.append((path, len(found)))
     flush()
     if marked:
         size = [0] * marked
@@ -124,4 +127,4 @@ def read_page(source: str) -> Page:
         wrappers = {i for i in range(marked) if 2 * size[i] > whole and (start is None or i in start)}
         found = [(path, strong, tuple(i for i in marks if i not in wrappers), line) for path, strong, marks, line in found]
     blocks = [Block(path, STRONG if strong else WEAK if marks else CLEAN, line) for path, strong, marks, line in found]
-    return Page(blocks, containers, links, title)
+    return Page(blocks, opens, links, title)
