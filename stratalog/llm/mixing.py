@@ -1,97 +1,114 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source of weight w has for its block j (from 1) the window of slots [floor((j-1)/w), ceil(j/w)). One slot runs one
-block; the released block with the earliest deadline runs. Weights are parts of a frame, so the schedule repeats
-after a frame: only one frame, whose length does not depend on the data, is scheduled, by an SQL fold, and blocks get
-their slot from it by arithmetic. Everything is DataFrame operations.
+block; the released block with the earliest deadline runs. Weights are whole parts of a period, exactly as they are given, so
+all windows repeat after a period of as many slots as there are parts: one period, whose length depends on the weights and not on the data,
+is scheduled by an SQL fold, and blocks get their slot from it by arithmetic. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Documents per block, documents per numbering bucket, buckets per group, slots per frame, sources at most.
-BLOCK_ROWS, BUCKET_ROWS, GROUP, FRAME, MOST_SOURCES = 16, 2000, 1000, 512, 256
+#: Documents per block, documents per numbering bucket, buckets per group.
+BLOCK_ROWS, BUCKET_ROWS, GROUP = 16, 2000, 1000
+#: Parts that default weights are out of, about; slots per inner fold; slots of a period at most.
+DEFAULT_PARTS, FOLD, MOST_PERIOD = 512, 512, 1 << 20
+#: Slots of a period that are broadcast; beyond, the join with blocks shuffles.
+MOST_BROADCAST = 200_000
+
+
+def default_parts(counts: dict[str, int], parts: int = DEFAULT_PARTS) -> dict[str, int]:
+    """The default target weights: whole parts in proportion to the square roots of counts, about `parts` in all, one each at least."""
+    total = sum(n**0.5 for n in counts.values())
+    return {s: max(1, math.floor(n**0.5 / total * parts + 0.5)) for s, n in counts.items()}
 
 
-def frame_shares(counts: dict[str, float], frame: int) -> dict[str, int]:
-    """Whole slots per frame in proportion to counts, one at least, by largest remainder; ties by name."""
-    total = sum(counts.values())
-    want = {s: c / total * (frame - len(counts)) for s, c in counts.items()} if total else {s: 0.0 for s in counts}
-    got = {s: 1 + int(w) for s, w in want.items()}
-    rest = sorted(want, key=lambda s: (-(want[s] - int(want[s])), s))
-    for s in rest[: frame - sum(got.values())]:
-        got[s] += 1
-    if rest:
-        got[rest[0]] += frame - sum(got.values())
-    return got
+def whole_parts(weights: dict[str, float], most: int = MOST_PERIOD) -> dict[str, int]:
+    """Weights as whole parts of one period, in lowest terms: exact (a float counts as the decimal number that it prints as), unless
+    the period would be longer than `most` slots; then the nearest parts out of `most`, one each at least, so that a share is off by
+    1 / most at the utmost. A weight that is not a positive finite number is an error."""
+    for s, w in weights.items():
+        if not (isinstance(w, int | float | Fraction) and math.isfinite(w) and w > 0):
+            raise ValueError(f"the weight of {s!r} is not a positive number: {w!r}")
+    exact = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    parts = {s: int(w * scale) for s, w in exact.items()}
+    common = math.gcd(*parts.values()) if parts else 1
+    parts = {s: n // common for s, n in parts.items()}
+    total = sum(parts.values())
+    return parts if total <= most else {s: max(1, round(Fraction(n * most, total))) for s, n in parts.items()}
 
 
-def pfair_frame(shares: DataFrame, frame: int) -> DataFrame:
-    """(source, nth, slot) for one frame from shares (source, share), whose shares sum to frame: earliest deadline
-    first among released blocks, ties by source. Each source has at every time a count less than one block from its share."""
-    # state: how many blocks each source has run, and the sources in slot order
-    one = shares.agg(F.sort_array(F.collect_list(F.struct("source", F.col("share").cast("int").alias("share")))).alias("s"))
+def pfair_period(spark: SparkSession, parts: dict[str, int]) -> DataFrame:
+    """(source, nth, slot) for one period of sum(parts) slots: earliest deadline first among released blocks, ties by
+    source. After any number of slots of repeated periods each source has run less than one block more or less than its weight's share."""
+    names, period = sorted(parts), sum(parts.values())
+    one = spark.range(1).select(F.array(*[F.lit(parts[s]).cast("double") for s in names]).alias("p") if names else F.array().cast("array<double>").alias("p"))
 
     def step(state: Column, t: Column) -> Column:
-        # released: floor(ran * frame / share) <= t; deadline: ceil((ran + 1) * frame / share)
-        best = F.array_min(
-            F.filter(
-                F.transform(
-                    F.col("s"),
-                    lambda x, i: F.when(
-                        F.floor(F.element_at(state["ran"], i + 1) * frame / x["share"]) <= t,
-                        F.struct(F.ceil((F.element_at(state["ran"], i + 1) + 1) * frame / x["share"]).alias("deadline"), i.alias("i")),
-                    ),
-                ),
-                lambda x: x.isNotNull(),
-            )
-        )["i"]
-        return F.struct(
-            F.transform(state["ran"], lambda r, i: F.when(i == best, r + 1).otherwise(r)).alias("ran"),
-            F.concat(state["order"], F.array(best)).alias("order"),
-        )
-
-    zero = F.struct(F.transform("s", lambda x: F.lit(0)).alias("ran"), F.array().cast("array<int>").alias("order"))
-    done = one.select("s", F.aggregate(F.sequence(F.lit(0), F.lit(frame - 1)), zero, step, lambda state: state["order"]).alias("order"))
-    slots = done.select("s", F.posexplode("order").alias("slot", "i")).select(F.element_at("s", F.col("i") + 1)["source"].alias("source"), "slot")
+        # released: floor(ran / w) <= t; deadline: ceil((ran + 1) / w); w = part / period
+        ran = lambda i: F.element_at(state["ran"], i + 1)
+        live = F.transform("p", lambda p, i: F.when(F.floor(ran(i) * period / p) <= t, F.struct(F.ceil((ran(i) + 1) * period / p).alias("deadline"), (i + 1).alias("i"))))
+        # an array of one binds the choice, so that it is made once a slot and not once a source
+        best = F.array(F.array_min(F.filter(live, lambda x: x.isNotNull()))["i"])
+        return F.transform(best, lambda k: F.struct(F.transform(state["ran"], lambda r, i: F.when(i + 1 == k, r + 1).otherwise(r)).alias("ran"), F.concat(state["order"], F.array(k)).alias("order")))[0]
+
+    def run(state: Column, at: Column) -> Column:
+        # an inner fold per FOLD slots: its order is copied once
+        start = F.struct(state["ran"].alias("ran"), F.array().cast("array<int>").alias("order"))
+        slots = F.sequence(at, F.least(at + FOLD, F.lit(period)) - 1)
+        return F.aggregate(slots, start, step, lambda x: F.struct(x["ran"].alias("ran"), F.concat(state["orders"], F.array(x["order"])).alias("orders")))
+
+    zero = F.struct(F.transform("p", lambda x: F.lit(0)).alias("ran"), F.array().cast("array<array<int>>").alias("orders"))
+    folds = F.sequence(F.lit(0), F.lit(max(period, 1) - 1), F.lit(FOLD)) if period else F.array().cast("array<int>")
+    done = one.select(F.flatten(F.aggregate(folds, zero, run, lambda x: x["orders"])).alias("order"))
+    source = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("i")) if names else F.lit("")
+    slots = done.select(F.posexplode("order").alias("slot", "i")).select(source.alias("source"), "slot")
     return slots.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).alias("nth"), "slot")
 
 
 def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
-    block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, frame: int = FRAME,
+    block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
     """docs with mix_block (long, from 0 within its source), mix_slot (long, one per block) and mix_pos (int in the
     block): the order (mix_slot, mix_pos) interleaves the sources' blocks to their target weights.
 
-    weights: target weight per source, by default the square root of its number of rows. While all sources last, each has at any slot less
-    than one block more or less than its share of the frame, which has one slot per source first and so is not the exact
-    weight: the distance from that grows with the number of slots. When one is used up, its slots stay empty and the
-    rest go on in their proportions. Every row has its place exactly once. Inside a source the order is that of the
-    MD5 of the id, then the id; blocks are full but the last. Null sources are one source ''; ids that
-    are null or repeated are ordered somehow. Sources without a weight count as the smallest weight given. Columns of docs named
-    mix_* are replaced. Numbering a source takes no sorted pass over it: ids are hashed to buckets of about bucket_rows
-    rows, and bucket sizes are added up in two levels.
-    The number of sources is at most MOST_SOURCES (an error says so): weights are a parameter, not data."""
+    weights: target weight per source, exact (whole_parts); by default whole parts near to the square root of its number of rows
+    (default_parts). While all sources last, each has at any slot less than one block more or less than its weight's
+    share of the slots. When one is used up, its slots stay empty and the rest go on in their proportions. Every row has
+    its place exactly once. Inside a source the order is that of the MD5 of the id (of the whole row, where the id is null), then the id, then a
+    hash of the row; blocks are full but the last. Only rows that are equal in all columns are interchangeable, so a task that runs
+    again gives the same places. Null sources are one source ''. Sources without a weight count as the smallest weight
+    given; weights of sources that are not there count for nothing. Columns of docs named mix_* are replaced. Numbering a source takes no sorted pass over it: ids are hashed
+    to buckets of about bucket_rows rows, and bucket sizes are added up in two levels. There may be any number of sources; their
+    sizes are read to the driver, and the fold takes a period's slots times sources steps."""
     docs = docs.drop("mix_block", "mix_slot", "mix_pos")
-    sizes = {r[0]: r[1] for r in docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).count().limit(MOST_SOURCES + 1).collect()}
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    rows = sum(sizes.values())
-    least = min((w for w in (weights or {}).values() if w > 0), default=1.0)
-    target = {s: (weights.get(s, least) if weights else n**0.5) for s, n in sizes.items()}
-    shares = frame_shares(target, frame)
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    found = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n"), F.count(id_col).alias("known")).collect()
+    sizes, rows = {r["s"]: r["n"] for r in found}, sum(r["n"] for r in found)
+    if weights:
+        least = min(weights.values())
+        parts = whole_parts({s: weights.get(s, least) for s in sizes})
+    else:
+        parts = whole_parts(default_parts(sizes))
+    period = sum(parts.values()) or 1
     buckets = max(1, -(-rows // bucket_rows))
-    spark = docs.sparkSession
-    by_source = spark.createDataFrame(sorted(shares.items()) or [("", frame)], "source string, share int")
-    slots = pfair_frame(by_source, frame).select(F.col("source").alias("__s"), F.col("nth").alias("__nth"), F.col("slot").alias("__slot"))
+    slots = pfair_period(docs.sparkSession, parts).select(F.col("source").alias("__s"), F.col("nth").alias("__nth"), F.col("slot").alias("__slot"))
+    shares = docs.sparkSession.createDataFrame(sorted(parts.items()) or [("", 1)], "__s string, __share int")
 
-    key = docs.withColumn("__s", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn(
-        "__b", F.coalesce(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long") % buckets, F.lit(0))
-    )
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    whole = F.xxhash64(*hashed) if hashed else F.lit(0)
+    name = F.col(id_col).cast("string")
+    if any(r["known"] < r["n"] for r in found):
+        name = F.coalesce(name, whole.cast("string"))
+    key = docs.withColumn("__s", source).withColumn("__b", F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % buckets)
     # rows of the source in earlier buckets: sums within groups of buckets, and of earlier groups
     count = key.groupBy("__s", "__b").agg(F.count("*").alias("n")).withColumn("g", F.floor(F.col("__b") / GROUP))
     group = count.groupBy("__s", "g").agg(F.sum("n").alias("n"))
@@ -99,9 +116,10 @@ def mix_sources(
     group = group.select("__s", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("__s", "g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     start = count.withColumn("skip", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(group, ["__s", "g"]).select("__s", "__b", (F.col("base") + F.col("skip")).alias("__start"))
-    number = F.row_number().over(Window.partitionBy("__s", "__b").orderBy(id_col)) - 1
+    number = F.row_number().over(Window.partitionBy("__s", "__b").orderBy(id_col, whole)) - 1
     at = key.withColumn("__i", number).join(start, ["__s", "__b"]).withColumn("__n", F.col("__start") + F.col("__i"))
     block = at.withColumn("mix_block", F.floor(F.col("__n") / block_rows)).withColumn("mix_pos", (F.col("__n") % block_rows).cast("int"))
-    weighed = block.join(F.broadcast(by_source.select(F.col("source").alias("__s"), F.col("share").alias("__share"))), "__s")
-    placed = weighed.withColumn("__nth", (F.col("mix_block") % F.col("__share")).cast("int")).join(F.broadcast(slots), ["__s", "__nth"])
-    return placed.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("__share")) * frame + F.col("__slot")).select(*docs.columns, "mix_block", "mix_slot", "mix_pos")
+    near = lambda x, n: F.broadcast(x) if n <= most_broadcast else x
+    weighed = block.join(near(shares, len(parts)), "__s")
+    placed = weighed.withColumn("__nth", (F.col("mix_block") % F.col("__share")).cast("int")).join(near(slots, period), ["__s", "__nth"])
+    return placed.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("__share")) * period + F.col("__slot")).select(*docs.columns, "mix_block", "mix_slot", "mix_pos")

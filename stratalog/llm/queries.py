@@ -89,23 +89,24 @@ from u group by conv_id
 """
 
 
-#: Shares by largest remainder, one frame of earliest deadline first as a recursion, then arithmetic on numbered rows.
+#: Whole parts near to the square roots of the sources' rows, one period of earliest deadline first as a recursion over the blocks'
+#: windows in exact integers, then arithmetic on numbered rows.
 OP4_SQL = """
 with recursive d as (
   select doc_id, source, coalesce(source, '') as s from documents
 ), sizes as (select s, count(*) as n from d group by s),
-tot as (select count(*) as k, sum(sqrt(n)) as t, sum(n) as rows from sizes),
-want as (select s, sqrt(n) / t * (512 - k) as w from sizes, tot),
-base as (select s, 1 + cast(floor(w) as int) as b, row_number() over (order by w - floor(w) desc, s) as r from want),
-shares as (select s, b + case when r <= 512 - (select sum(b) from base) then 1 else 0 end as share from base),
-arr as (select list(cast(share as int) order by s) as sh, list(s order by s) as ss from shares),
+tot as (select sum(sqrt(n)) as t, sum(n) as rows from sizes),
+raw as (select s, greatest(1, cast(floor(sqrt(n) / t * 512 + 0.5) as bigint)) as part from sizes, tot),
+common as (select list_reduce(list(part), lambda x, y: gcd(x, y)) as c from raw),
+shares as (select s, part // c as share from raw, common),
+arr as (select list(cast(share as bigint) order by s) as sh, list(s order by s) as ss, cast(sum(share) as bigint) as p from shares),
 frame(t, ran, pick) as (
-  select -1, [0 for x in sh], 0 from arr
+  select cast(-1 as bigint), [cast(0 as bigint) for x in sh], cast(0 as bigint) from arr
   union all
-  select t + 1, [case when i = best then r + 1 else r end for r, i in ran], cast(best as int)
+  select t + 1, [case when i = best then r + 1 else r end for r, i in ran], best
   from (
-    select t, ran, list_min([{'d': cast(ceil((ran[i] + 1) * 512 / x) as int), 'i': i} for x, i in sh if floor(ran[i] * 512 / x) <= t + 1]).i as best
-    from frame, arr where t < 511
+    select t, ran, cast(list_min([{'d': ((ran[i] + 1) * p + x - 1) // x, 'i': i} for x, i in sh if ran[i] * p // x <= t + 1]).i as bigint) as best
+    from frame, arr where t < p - 1
   )
 ), slots as (
   select ss[pick] as s, t as slot, row_number() over (partition by pick order by t) - 1 as nth from frame, arr where pick > 0
@@ -114,8 +115,8 @@ frame(t, ran, pick) as (
     cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 8) as bigint) % greatest(1, (rows + 1999) // 2000), doc_id) - 1 as i
   from d, tot
 )
-select doc_id, source, i // 16 as mix_block, cast(i % 16 as int) as mix_pos, (i // 16) // share * 512 + slot as mix_slot
-from numbered join shares using (s) join slots on slots.s = numbered.s and nth = (i // 16) % share
+select doc_id, source, i // 16 as mix_block, cast(i % 16 as int) as mix_pos, (i // 16) // share * p + slot as mix_slot
+from numbered join shares using (s) join slots on slots.s = numbered.s and nth = (i // 16) % share, arr
 """
 
 

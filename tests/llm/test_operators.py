@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from stratalog.llm.html_extract import extract_articles
 from stratalog.llm.imatch import edited_likeness
 from stratalog.llm.jaccard import jaccard_components, jaccard_dedupe
 from stratalog.llm.lm_score import cross_entropy_difference
-from stratalog.llm.mixing import mix_sources
+from stratalog.llm.mixing import mix_sources, pfair_period, whole_parts
 from stratalog.llm.quality import keep_quality, quality_scores
 from stratalog.llm.warc import derivatives, page_responses, parse_records
 
@@ -185,22 +186,72 @@ def test_fingerprints_of_large_groups(spark):
         assert n == 200 and sorted(x["id"] for x in once.collect()) == list(range(200))
 
 
+def lag(order, weights, slots):
+    """The largest distance of a source from its weight's share of the slots run, over so many slots of repeated periods."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    part = {s: int(w * scale) for s, w in exact.items()}
+    total, far, ran = sum(part.values()), 0, dict.fromkeys(part, 0)
+    for t in range(slots):
+        ran[order[t % len(order)]] += 1
+        far = max(far, max(abs(ran[s] * total - w * (t + 1)) for s, w in part.items()))
+    return far / total
+
+
+@pytest.mark.parametrize("weights, slots", [
+    ({"a": 3.0, "b": 2.0, "": 1.0}, 100_000), ({f"s{i}": 1 for i in range(20)}, 20_000), ({"hot": 10_000, "rare": 1}, 100_000), ({"x": 0.7, "y": 0.123, "z": 0.177}, 20_000),
+    ({f"s{i}": 1 + i % 7 for i in range(60)} | {"half": 230}, 5_000), ({"a": 2 / 3, "b": 1 / 3}, 100_000),
+])
+def test_pfair_deviation(spark, weights, slots):
+    """Less than one block from the given weights, at every slot."""
+    parts = whole_parts(weights)
+    got = sorted((r["slot"], r["source"], r["nth"]) for r in pfair_period(spark, parts).collect())
+    assert [s for s, _, _ in got] == list(range(sum(parts.values())))
+    far = lag([s for _, s, _ in got], weights, slots)
+    assert far < 1
+    nth = Counter()
+    for _, s, n in got:
+        assert nth[s] == n
+        nth[s] += 1
+
+
+def test_whole_parts():
+    assert whole_parts({"a": 3.0, "b": 2.0, "c": 1.0}) == {"a": 3, "b": 2, "c": 1} == whole_parts({"a": 0.75, "b": 0.5, "c": 0.25})
+    long = whole_parts({"a": math.pi, "b": math.e, "c": 1e-9}, most=1000)
+    assert long == {"a": 536, "b": 464, "c": 1} and whole_parts({}) == {}
+    for w in (0, -1.0, float("nan"), float("inf"), None):
+        with pytest.raises(ValueError):
+            whole_parts({"a": 1.0, "b": w})
+
+
 def test_mixing(spark):
     rows = [(i, "a" if i % 3 else "b" if i % 2 else None, "x") for i in range(3000)] + [(5, "a", "x"), (None, "b", "x")]
     table = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string")
-    got = mix_sources(table, {"a": 3.0, "b": 2.0, "": 1.0}, block_rows=4, bucket_rows=100, frame=60).collect()
+    weights = {"a": 3.0, "b": 2.0, "": 1.0, "not there": 9.0}
+    got = mix_sources(table, weights, block_rows=4, bucket_rows=100).collect()
     assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((a, b) for a, b, _ in rows)
     slots = {}
     for r in got:
         assert slots.setdefault(r["mix_slot"], (r["source"], r["mix_block"])) == (r["source"], r["mix_block"])
-    shares = Counter(slots[s][0] for s in range(60))
-    run = Counter()
-    for s in range(240):  # all sources last so long: 500 rows of the smallest are 125 blocks of 1 in 6 slots
-        run[slots[s][0]] += 1
-        assert all(abs(run[k] - (s + 1) * n / 60) < 1 for k, n in shares.items())
+    # all sources last so long: 501 rows of b are 126 blocks of 2 in 6 slots
+    assert lag([slots[s][0] or "" for s in range(375)], {"a": 3, "b": 2, "": 1}, 375) < 1
+    again = mix_sources(table.repartition(5), weights, block_rows=4, bucket_rows=100, most_broadcast=0).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
     assert mix_sources(table.limit(0)).count() == 0
 
 
+def test_mixing_many_sources_and_null_ids(spark):
+    """300 sources keep their weights; a third of the rows without an id is spread over buckets; rows without an id have definite places."""
+    rows = [(None if i % 3 == 0 else i, f"s{i % 300}", f"text {i}") for i in range(9000)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix_sources(table, {f"s{i}": 1 for i in range(300)}, block_rows=3).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((a, c) for a, _, c in rows)
+    at = {r["mix_slot"]: r["source"] for r in got}
+    assert lag([at[s] for s in range(3000)], {f"s{i}": 1 for i in range(300)}, 3000) < 1
+    again = mix_sources(table.repartition(7), {f"s{i}": 1 for i in range(300)}, block_rows=3).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_lm_scoring(docs, spark, none):
     good = spark.createDataFrame([(i,) for i in range(0, 30)] + [(None,), (999,)], "doc_id long")
     got = {r["doc_id"]: r for r in cross_entropy_difference(docs, good, block=2000).collect()}
