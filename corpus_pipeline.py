@@ -6,7 +6,9 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratalog.llm.bpe import bpe_encode
 from stratalog.llm.common import written
@@ -26,15 +28,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the files' order of the slots that their sources' weights give them."""
+    """All documents, in the order of the slots that their sources' weights give them: files by number, rows in them."""
     return mix_sources(docs).sort("mix_slot", "mix_pos").drop("mix_block", "mix_slot", "mix_pos")
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with mix_file and mix_row (long), each row's place in the files that docs is read from, so that the mixed order outlives
+    shuffles; a table that is not read from files has its partitions in their place."""
+    try:
+        return docs.withColumns({"mix_file": F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long"), "mix_row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return docs.withColumns({"mix_file": F.spark_partition_id().cast("long"), "mix_row": F.monotonically_increasing_id()})
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every document."""
+    """doc_id, n_tokens and ids of every document, with its place in the mixed order: by mix_file, then mix_row."""
     import public_tokenizers
 
-    return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_encode(placed(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("mix_file", "mix_row"))
 
 
 STAGES = [("quality classifier", drop_low_quality), ("n-gram Jaccard join", drop_near_copies), ("source mixing", mix), ("byte-level BPE", encode)]

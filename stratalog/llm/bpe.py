@@ -26,6 +26,8 @@ from .common import binary_array, planes, unplanes, written
 BLOCK = 16_000_000
 #: Shards of words' hashes, at least; twice the shuffle partitions where these are more. Fewer compress better.
 SHARDS = 64
+#: Bytes of words and ids that a task remembers; a shard with more distinct words has some of them encoded again.
+HELD = 64_000_000
 #: Numbers below LOW have a class of their own, those below MIDDLE share one by their high byte, those below HIGH by two.
 LOW, MIDDLE, HIGH = 160, 160 + (64 << 8), 160 + (64 << 8) + (31 << 16)
 #: White_Space of Unicode, as \s of the pattern means it.
@@ -144,7 +146,8 @@ def _blocks(docs: DataFrame, pattern: str, size: int, shards: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        task, made, cut, ids = TaskContext.get().partitionId(), 0, PreTokens(pattern), []
+        task, made, cut = TaskContext.get().partitionId(), 0, PreTokens(pattern)
+        ids: list[tuple] = []
 
         def rows_of(block, shard, packs):
             return pa.RecordBatch.from_arrays([pa.array([block] * len(packs), pa.int64()), pa.array(shard, pa.int32()), binary_array(packs)], ["block", "shard", "pack"])
@@ -153,8 +156,10 @@ def _blocks(docs: DataFrame, pattern: str, size: int, shards: int) -> DataFrame:
             nonlocal made, ids
             block, made = (task << 32) + made, made + 1
             words, shard, per_text, flat = cut.block(shards)
-            known = np.array([i is not None for i in ids], bool)
-            yield rows_of(block, [None], [_packed([known.tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), planes(per_text, 4), _numbers(flat), planes(shard, _width(shard))])])
+            columns = [pa.array(c, pa.int64()) for c in zip(*ids, strict=True)]
+            known = np.concatenate([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+            names = np.concatenate([c.fill_null(0).to_numpy() for c in columns])
+            yield rows_of(block, [None], [_packed([known.tobytes(), names.tobytes(), planes(per_text, 4), _numbers(flat), planes(shard, _width(shard))])])
             order = np.argsort(shard, kind="stable")
             held, begins = np.unique(shard[order], return_index=True)
             edges = [*begins.tolist(), len(order)]
@@ -165,8 +170,8 @@ def _blocks(docs: DataFrame, pattern: str, size: int, shards: int) -> DataFrame:
             ids = []
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(i)
+            for *i, text in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.columns[-1], strict=True):
+                ids.append(tuple(i))
                 cut.add(text.as_py() or "")
                 if cut.chars >= size:
                     yield from flush()
@@ -193,9 +198,9 @@ def _encoder(table: dict[bytes, int], key: str):
     return _encoders[key]
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id_col, n_tokens, ids array<int>), one row per row of docs: each match of pattern in the whole text encoded
-    separately, no special tokens.
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, columns of keep as long, n_tokens, ids array<int>), one row per row of docs: each match of pattern in the
+    whole text encoded separately, no special tokens.
 
     Null and empty texts have no ids; repeated rows and repeated or null ids are kept, one row each; other columns
     are not read. The ranks (a vocabulary's size) are read on the driver and broadcast. The pattern's matches must
@@ -206,13 +211,13 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     form = "<u2" if max(table.value.values(), default=0) < 1 << 16 else "<u4"
 
     def encode(batches):
-        """Packed words to packed ids; the words of a shard, whose rows follow each other, are known until it ends."""
-        code, last, known = _encoder(table.value, key), None, {}
+        """Packed words to packed ids; the words of a shard, whose rows follow each other, are known until it ends or HELD is reached."""
+        code, last, known, held = _encoder(table.value, key), None, {}, 0
         for batch in batches:
             packs = []
             for shard, pack in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if shard != last:
-                    last, known = shard, {}
+                if shard != last or held > HELD:
+                    last, known, held = shard, {}, 0
                 lengths, data = _unlisted(pack.as_py())
                 got, at = [], 0
                 for n in lengths.tolist():
@@ -220,17 +225,18 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                     ids = known.get(word)
                     if ids is None:
                         known[word] = ids = np.array(code.encode_ordinary(word.decode()), "<u4").tobytes()
+                        held += len(word) + len(ids)
                     got.append(ids)
                 many, values = np.array([len(x) // 4 for x in got], np.int64), np.frombuffer(b"".join(got), "<u4")
                 packs.append(_packed([planes(many, _width(many)), _squeezed(values.astype(form).tobytes())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_array(packs)], ["block", "shard", "ids"])
 
     def join_up(packs: pa.Table, words: pa.Table) -> pa.Table:
-        names, out = [id_col, "n_tokens", "ids"], []
+        names, out = [id_col, *keep, "n_tokens", "ids"], []
         of_shard = dict(zip(words["shard"].to_pylist(), words["ids"].to_pylist(), strict=True))
         for pack in packs["pack"].to_pylist():
             known, names_, per_text, flat, shard = _parts(pack)
-            known, names_ = np.frombuffer(known, bool), np.frombuffer(names_, np.int64)
+            known, names_ = np.frombuffer(known, bool).reshape(1 + len(keep), -1), np.frombuffer(names_, np.int64).reshape(1 + len(keep), -1)
             per_text, flat, shard = unplanes(per_text).astype(np.int64), _unnumbers(flat), unplanes(shard).astype(np.int64)
             got = [_parts(of_shard[k]) for k in np.unique(shard).tolist()]  # in the order of shards, as below
             got = [(unplanes(many), np.frombuffer(_spread(values), form)) for many, values in got]
@@ -244,15 +250,15 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             values = ids[np.repeat(begin[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
             edges = np.r_[0, ends][np.r_[0, np.cumsum(per_text)]]
             lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
-            out.append(pa.table([pa.array(names_, mask=~known), pa.array(np.diff(edges)), lists], names=names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], names=names)
+            out.append(pa.table([*(pa.array(x, mask=~k) for x, k in zip(names_, known, strict=True)), pa.array(np.diff(edges)), lists], names=names))
+        return pa.concat_tables(out) if out else pa.table([*[pa.array([], pa.int64())] * (len(names) - 1), pa.array([], pa.list_(pa.int32()))], names=names)
 
     shards = max(SHARDS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(_blocks(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), pattern, block, shards))
+    rows = written(_blocks(docs.select(*(F.col(c).cast("long") for c in (id_col, *keep)), F.col(text_col).cast("string")), pattern, block, shards))
     words = rows.where("shard is not null").repartition("shard").sortWithinPartitions("shard")
     back = words.mapInArrow(encode, "block long, shard int, ids binary")
     packs = rows.where("shard is null").select("block", "pack")
-    return packs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(join_up, f"`{id_col}` long, n_tokens long, ids array<int>")
+    return packs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(join_up, "".join(f"`{c}` long, " for c in (id_col, *keep)) + "n_tokens long, ids array<int>")
 
 
 class TokenBytes:

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from stratalog.llm import queries as llm
+from stratalog.llm.mixing import mix_sources
 from stratalog.llm.quality import quality_scores
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,12 @@ def test_pipeline(spark):
     good = {r["doc_id"] for r in quality_scores(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("keep").collect()}
     text = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in good}
     left = {i for i, (_, c) in brute_components(sorted(text.items()), 5, 80).items() if i == c}
-    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()}
-    assert got == {i: code.encode_ordinary(text[i] or "") for i in left}
+    rows = corpus_pipeline.run(spark, SF).collect()
+    got = {r["doc_id"]: r["ids"] for r in rows}
+    assert len(rows) == len(got) and got == {i: code.encode_ordinary(text[i] or "") for i in left}
+    # the mixed order is there: that of the schedule over the documents that are left
+    left_docs = docs.where(docs.doc_id.isin(sorted(left)))
+    slots = {r["doc_id"]: (r["mix_slot"], r["mix_pos"]) for r in mix_sources(left_docs).collect()}
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["mix_file"], r["mix_row"]))]
+    assert order == sorted(left, key=slots.get) != sorted(left)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "source mixing", "byte-level BPE"]
