@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors per shard, queries per block, blocks per task, vectors per leaf.
-SHARD_ROWS, QUERY_ROWS, GROUP_BLOCKS, LEAF_ROWS = 4096, 512, 16, 128
+#: Vectors per shard, queries per block, blocks per task, shards per task at most, vectors per leaf.
+SHARD_ROWS, QUERY_ROWS, GROUP_BLOCKS, GROUP_SHARDS, LEAF_ROWS = 4096, 512, 16, 8, 128
 
 
 class VantageTree:
@@ -118,52 +118,66 @@ def search_shard(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
 
 def nearest(
     vectors: DataFrame, k: int = 20, every: int = 20, slack: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding",
-    shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, leaf_rows: int = LEAF_ROWS,
+    shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, leaf_rows: int = LEAF_ROWS, group_shards: int = GROUP_SHARDS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose id is divisible by `every`, its k rows of largest inner product
     among all other rows, best first, ties to smaller ids; all, if fewer.
 
-    slack 1 is exact; more skips more leaves. Vectors that are null, zero, or hold null, NaN or infinite components take no part, nor
-    do rows with a null id; vectors of another length than the most common one take no part. Rows that share an id are different
-    candidates with one id; a query's own id is never its neighbour. Shards are hashed by id, so hot labels or copies spread.
-    Query blocks meet every shard: blocks and shards are packed arrays, and a shard keeps k rows per query."""
+    slack 1 is exact; more skips more leaves at the cost of recall (README: figures). Vectors that are null, zero, or hold null, NaN or
+    infinite components take no part, nor do rows with a null id; vectors of another length than the most common one take no part. Rows that share an id are different
+    candidates with one id; queries that share an id share one list; a query's own id is never its neighbour. Vectors are scaled by a power of two, so large or small ones
+    neither overflow nor vanish in the search; a score beyond the range of doubles is infinite. Shards are hashed by id, so hot labels or copies spread.
+    Query blocks meet every shard: blocks and shards are packed arrays, and a task hands on k rows per query for up to group_shards shards."""
     v = F.col("v")
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(
         F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     )
-    sizes = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).orderBy(F.desc("n"), "d").first()
-    dim, n, top = (sizes["d"], sizes["n"], float(np.sqrt(sizes["top"])) * (1 + 1e-12)) if sizes else (0, 0, 0.0)
+    # the length, by way of the largest component: its square may be beyond the range of doubles
+    norm = F.element_at(F.transform(F.array(F.array_max(F.transform("v", lambda x: F.abs(x)))), lambda m: m * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / m) * (x / m)))), 1)
+    sizes = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("top")).orderBy(F.desc("n"), "d").first()
+    dim, n, top = (sizes["d"], sizes["n"], min(sizes["top"], np.finfo(float).max)) if sizes else (0, 0, 0.0)
+    top, power = (float(x) for x in np.frexp(top))
+    top, power = top * (1 + 1e-12), int(power)  # of the vectors divided by 2**power
     clean = clean.where(F.size("v") == dim)
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // (every * query_rows)))
 
     def pack(table: pa.Table) -> pa.Table:
-        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
+        flat = np.ldexp(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), -power).astype("<f8")
         key = table.schema.names[0]
         return pa.table({key: table[key].slice(0, 1), "ids": pa.array([table["id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "vs": pa.array([flat.tobytes()], pa.binary())})
 
     shard = clean.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v").groupBy("shard").applyInArrow(pack, "shard long, ids binary, vs binary")
     query = clean.where(F.col("id") % every == 0).select(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).alias("block"), "id", "v").groupBy("block").applyInArrow(pack, "block long, ids binary, vs binary")
-    # a task is a shard and some query blocks: packed sides travel, a shard once per group of blocks
+    # a task is some shards and some query blocks: packed sides travel, a shard once per group of blocks
     groups = -(-blocks // GROUP_BLOCKS)
+    many = max(1, min(group_shards, shards * groups // (4 * vectors.sparkSession.sparkContext.defaultParallelism)))
+    sides = -(-shards // many)
     unit = lambda s, g: (F.col(s) * groups + F.col(g)).alias("unit")
-    here = shard.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(unit("shard", "g"), "ids", "vs")
-    asked = query.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("g", F.floor(F.col("block") / GROUP_BLOCKS))
+    here = shard.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("s", F.floor(F.col("shard") / many)).select(unit("s", "g"), "ids", "vs")
+    asked = query.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))).withColumn("g", F.floor(F.col("block") / GROUP_BLOCKS))
     asked = asked.select(unit("s", "g"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         out: list = [[], [], []]
-        if x.num_rows and y.num_rows:
-            ids, p = np.frombuffer(x["ids"][0].as_py(), "<i8"), np.frombuffer(x["vs"][0].as_py(), "<f8").reshape(-1, dim)
-            for raw_ids, raw in zip(y["q_ids"].to_pylist(), y["q_vs"].to_pylist(), strict=True):
-                q_ids, q = np.frombuffer(raw_ids, "<i8"), np.frombuffer(raw, "<f8").reshape(-1, dim)
-                for i, near, score in search_shard(ids, p, q_ids, q, top, k, slack, leaf_rows):
-                    out[0].append(np.full(len(near), q_ids[i]))
-                    out[1].append(near)
-                    out[2].append(score)
+        for raw_ids, raw in zip(y["q_ids"].to_pylist(), y["q_vs"].to_pylist(), strict=True) if x.num_rows else ():
+            q_ids, q = np.frombuffer(raw_ids, "<i8"), np.frombuffer(raw, "<f8").reshape(-1, dim)
+            found: list = [[], [], []]
+            for ids, vs in zip(x["ids"], x["vs"], strict=True):
+                for i, near, score in search_shard(np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(vs.as_py(), "<f8").reshape(-1, dim), q_ids, q, top, k, slack, leaf_rows):
+                    for column, value in zip(found, (np.full(len(near), i), near, score), strict=True):
+                        column.append(value)
+            if found[0]:
+                i, near, score = map(np.concatenate, found)
+                order = np.lexsort((near, -score, i))
+                first = np.flatnonzero(np.r_[True, np.diff(i[order]) != 0])
+                best = order[np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < k]
+                for column, value in zip(out, (q_ids[i[best]], near[best], score[best]), strict=True):
+                    column.append(value)
         cat = lambda a, t: pa.array(np.concatenate(a).astype(t) if a else np.zeros(0, t))
         return pa.table([cat(out[0], np.int64), cat(out[1], np.int64), cat(out[2], np.float64)], names=["query_id", "vec_id", "score"])
 
     near = here.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    half, rest = (float(np.ldexp(1.0, n)) for n in (power // 2, power - power // 2))
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", (F.col("score") * half * rest * half * rest).alias("score"))

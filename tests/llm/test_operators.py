@@ -9,8 +9,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from stratalog.llm.ann import nearest
+from stratalog.llm.ann import VantageTree, nearest
 from stratalog.llm.bpe import bpe_decode, bpe_digests, bpe_encode, ranks
 from stratalog.llm.chat_format import chat_digests, format_chats, parse_chat
 from stratalog.llm.components import connected_components
@@ -139,10 +140,37 @@ def test_nearest(spark):
         got[g["query_id"]].append((g["vec_id"], g["score"]))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     assert all(np.allclose([s for _, s in got[q]], [s for _, s in want[q]]) for q in want)
+    merged = nearest(table, shard_rows=16, query_rows=4, leaf_rows=8).orderBy("query_id", "rank").collect()
+    assert [(g["query_id"], g["vec_id"]) for g in merged] == [(q, i) for q in sorted(got) for i, _ in got[q]]
     near = nearest(table, slack=1.3, shard_rows=64, query_rows=4, leaf_rows=8).collect()
     hit = sum((g["query_id"], g["vec_id"]) in {(q, i) for q in want for i, _ in want[q]} for g in near)
     assert hit >= 0.9 * 20 * len(want)
     assert nearest(table.limit(0)).count() == 0 and nearest(table.limit(3)).count() == 2
+    for scale in (2.0**700, 2.0**-700):  # neither overflow nor underflow changes the order
+        big = nearest(table.withColumn("embedding", F.transform("embedding", lambda v: v * scale)), shard_rows=64, query_rows=4, leaf_rows=8).collect()
+        assert len(big) == 20 * len(want) and {(g["query_id"], g["vec_id"]) for g in big} == {(q, i) for q in want for i, _ in want[q]}
+
+
+def test_nearest_prunes_and_recalls(spark):
+    """Clustered vectors in many dimensions: the exact search leaves out most leaves, a slack of 2 more of them at a recall of 0.9 at least."""
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(60, 32))
+    x = centres[r.integers(60, size=3000)] + 0.1 * r.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    score = x[::20] @ x.T
+    score[np.arange(150), np.arange(150) * 20] = -9
+    want = {(20 * q, int(i)) for q in range(150) for i in np.argsort(-score[q])[:20]}
+    for slack, least in ((1.0, 1.0), (2.0, 0.9)):
+        got = {(g["query_id"], g["vec_id"]) for g in nearest(table, slack=slack, shard_rows=1500, leaf_rows=32).collect()}
+        assert len(got) == 3000 and len(got & want) >= least * len(want)
+    p, tree = np.c_[x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))], None
+    tree = VantageTree(p, 32)
+    q = np.c_[x[::20], np.zeros(150)]
+    bound = tree.least_distances(np.linalg.norm(q[:, None] - p[tree.points][None], axis=2))
+    kth = np.sqrt(np.maximum(2 - 2 * np.sort(score, axis=1)[:, -20], 0))
+    seen = [(bound * slack <= kth[:, None]).mean() for slack in (1, 2)]
+    assert seen[1] < seen[0] < 0.5
 
 
 def test_fingerprints(docs, none):
