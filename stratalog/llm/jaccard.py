@@ -209,11 +209,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _links(nodes: DataFrame, percent: int, chunk: int) -> DataFrame:
     slim = nodes.select("id", "n", "g", "prefix")
-    groups = slim.groupBy("g").agg(F.min("id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # groupings are written before they are joined: a hot group or shingle is then a skewed join, which is split
+    groups = written(slim.groupBy("g").agg(F.min("id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     # leaders of groups meet the leader of each prefix shingle and size class; members meet their group's leader
     size_class = F.floor(F.log("n") / F.lit(math.log(100 / percent) or 1.0))
     entry = groups.select("gid", F.explode("prefix").alias("t"), size_class.alias("c"))
-    lead = entry.groupBy("t", "c").agg(F.min("gid").alias("lead"))
+    lead = written(entry.groupBy("t", "c").agg(F.min("gid").alias("lead")))
     first = (
         entry.join(lead, ["t", "c"]).where("gid <> lead").select(F.col("gid").alias("a"), F.col("lead").alias("b"))
         .union(slim.join(groups.select("g", "gid"), "g").where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b")))
@@ -228,7 +229,7 @@ def _links(nodes: DataFrame, percent: int, chunk: int) -> DataFrame:
     reached = connected_components(links)
     tagged = slim.join(reached, "id", "left").select("id", "g", "prefix", F.coalesce("component", "id").alias("label"))
     entry = written(tagged.select("id", "label", F.explode("prefix").alias("t")))
-    open_ = entry.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("lead")).where("lo < hi")
+    open_ = written(entry.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("lead")).where("lo < hi"))
     live = entry.join(open_.select("t", "lead"), "t")
     home = live.groupBy("id").agg(F.min("lead").alias("home"), F.first("label").alias("label"))
     k = home.groupBy("home").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("k"))

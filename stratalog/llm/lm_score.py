@@ -57,10 +57,10 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = parts = max(1, -(-size // block))
-    bucket = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
+    bucket = lambda text: F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.xxhash64(text))), F.lit(blocks)).alias("block")
     marks = targets.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    # texts and marks meet in one exchange by block; a hot id cannot be, as ids are dealt by hash
-    base = rows.select(bucket, "id", "text", F.lit(False).alias("mark")).union(marks.select(bucket, "id", F.lit(None).cast("string"), F.lit(True)))
+    # texts and marks meet in one exchange by block; rows without an id are dealt by their text
+    base = rows.select(bucket(F.col("text")), "id", "text", F.lit(False).alias("mark")).union(marks.select(bucket(F.lit(None).cast("string")), "id", F.lit(None).cast("string"), F.lit(True)))
 
     def split(table: pa.Table):
         mark = table["mark"].to_numpy()
