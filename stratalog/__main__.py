@@ -11,12 +11,12 @@ from .rules import RuleError, builtin_rules, load_rules
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="stratalog", description="Scan a directory tree and report dependency-related manifests.")
+    p = argparse.ArgumentParser(prog="stratalog", description="List the software manifests below a folder and what they depend on.")
     p.add_argument("path", nargs="?", default=".")
-    p.add_argument("--json", action="store_true", help="emit machine-readable JSON output")
-    p.add_argument("--show-empty", action="store_true", help="include matched manifests that were confirmed to have no dependencies")
-    p.add_argument("--ignore", default="", help="comma-separated directory names to skip, instead of the default ones")
-    p.add_argument("--rules", default="", help="path to a YAML file with manifest detection rules")
+    p.add_argument("--json", action="store_true", help="print one JSON document instead of text")
+    p.add_argument("--show-empty", action="store_true", help="print manifests without dependencies too")
+    p.add_argument("--ignore", default="", help="names of folders to leave out in place of the usual ones, with commas between")
+    p.add_argument("--rules", default="", help="a YAML rule file in place of the built-in rules")
     return p
 
 

@@ -16,32 +16,39 @@ from pyspark.sql import DataFrame
 
 from ..functions.paths import I, K
 
+#: Nodes per Arrow batch that a task hands on.
+BATCH_NODES = 20_000
 NODES = "root string, path string, ordinal int, parser string, at string, kind string, value string, size int"
 #: A node: place, kind (object, array, string, int, float, bool, null, other, error), text, number of children.
 Node = tuple[str, str, str | None, int]
+#: What of a document is asked for: steps from the top at most, and keys of the top (None: all). None is everything.
+Reach = tuple[int, frozenset[str] | None] | None
 
 
 def _refuse(constant: str):
     raise ValueError(f"invalid literal {constant}")
 
 
-def _plain(value, at: str, shown) -> list[Node]:
-    """Nodes of JSON-like values; shown gives the text of a value."""
+def _plain(value, at: str, shown, reach: Reach = None) -> list[Node]:
+    """Nodes of JSON-like values within reach; shown gives the text of a value."""
     out: list[Node] = []
-    todo = [(value, at)]
+    todo = [(value, at, 0)]
+    deepest, tops = reach or (1 << 30, None)
     while todo:
-        v, at = todo.pop()
+        v, at, depth = todo.pop()
         kind = {dict: "object", list: "array", str: "string", bool: "bool", int: "int", float: "float", type(None): "null"}.get(type(v), "other")
         out.append((at, kind, shown(v), len(v) if kind in ("object", "array", "string") else 0))
+        if depth == deepest:
+            continue
         if kind == "object":
-            todo += [(x, f"{at}{K}{k}") for k, x in v.items()]
-        elif kind == "array":
-            todo += [(x, f"{at}{I}{i:08d}") for i, x in enumerate(v)]
+            todo += [(x, f"{at}{K}{k}", depth + 1) for k, x in v.items() if depth or tops is None or k in tops]
+        elif kind == "array" and (depth or tops is None):
+            todo += [(x, f"{at}{I}{i:08d}", depth + 1) for i, x in enumerate(v)]
     return out
 
 
-def read_json(content: bytes) -> list[Node]:
-    return _plain(json.loads(content.decode("utf-8", "replace"), parse_constant=_refuse), "", lambda v: v if isinstance(v, str) else json.dumps(v) if not isinstance(v, (dict, list)) else None)
+def read_json(content: bytes, reach: Reach = None) -> list[Node]:
+    return _plain(json.loads(content.decode("utf-8", "replace"), parse_constant=_refuse), "", lambda v: v if isinstance(v, str) else json.dumps(v) if not isinstance(v, (dict, list)) else None, reach)
 
 
 def toml_text(v) -> str | None:
@@ -63,17 +70,17 @@ def toml_text(v) -> str | None:
     return None
 
 
-def read_toml(content: bytes, tables: bool = True) -> list[Node]:
+def read_toml(content: bytes, tables: bool = True, reach: Reach = None) -> list[Node]:
     """tables: whether tables and arrays get their one-line text, which only path queries need."""
     value = tomllib.loads(content.decode("utf-8"))
-    return _plain(value, "", lambda v: v if isinstance(v, str) else toml_text(v) if tables or not isinstance(v, (dict, list)) else None)
+    return _plain(value, "", lambda v: v if isinstance(v, str) else toml_text(v) if tables or not isinstance(v, (dict, list)) else None, reach)
 
 
 _Loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 _KINDS = {"str": "string", "int": "int", "float": "float", "bool": "bool", "null": "null"}
 
 
-def read_yaml(content: bytes) -> list[Node]:
+def read_yaml(content: bytes, reach: Reach = None) -> list[Node]:
     """Nodes of the first document; scalars keep the text they are written with. Maps with keys that are not strings have no children here."""
     loader = _Loader(content)
     try:
@@ -82,8 +89,10 @@ def read_yaml(content: bytes) -> list[Node]:
         loader.dispose()
     out: list[Node] = []
     todo = [(top, "", ())] if top is not None else []
+    deepest, tops = reach or (1 << 30, None)
     while todo:
         node, at, above = todo.pop()
+        deep = len(above) >= deepest
         if isinstance(node, yaml.ScalarNode):
             kind = _KINDS.get(node.tag.rpartition(":")[2], "other")
             out.append((at, kind, node.value, len(node.value)))
@@ -91,7 +100,7 @@ def read_yaml(content: bytes) -> list[Node]:
             raise ValueError("an alias contains itself")
         elif isinstance(node, yaml.SequenceNode):
             out.append((at, "array", None, len(node.value)))
-            todo += [(x, f"{at}{I}{i:08d}", (*above, id(node))) for i, x in enumerate(node.value)]
+            todo += [(x, f"{at}{I}{i:08d}", (*above, id(node))) for i, x in enumerate(node.value) if not deep and (above or tops is None)]
         else:
             out.append((at, "object", None, len(node.value)))
             pairs: dict = {}
@@ -102,7 +111,7 @@ def read_yaml(content: bytes) -> list[Node]:
                             pairs.setdefault(mk.value, (mk, mv))
             pairs |= {k.value if isinstance(k, yaml.ScalarNode) else id(k): (k, v) for k, v in node.value if not k.tag.endswith(":merge")}
             if all(k.tag.endswith(":str") for k, _ in pairs.values()):
-                todo += [(v, f"{at}{K}{name}", (*above, id(node))) for name, (_, v) in pairs.items()]
+                todo += [(v, f"{at}{K}{name}", (*above, id(node))) for name, (_, v) in pairs.items() if not deep and (above or tops is None or name in tops)]
     return out
 
 
@@ -153,22 +162,35 @@ def read_ini(content: bytes) -> list[Node]:
 READERS = {"json": read_json, "yaml": read_yaml, "toml": read_toml, "xml": read_xml, "ini": read_ini}
 
 
-def nodes(rows: DataFrame) -> DataFrame:
-    """NODES of the rows of candidates() that have a format; each document has a row for its top, with the place ''; one that cannot be read gives a row of kind error."""
+def nodes(rows: DataFrame, reaches: dict[int, Reach] | None = None) -> DataFrame:
+    """NODES of the rows of candidates() that have a format; each document has a row for its top, with the place ''; one that cannot be read gives a row
+    of kind error. reaches: by ordinal, what a rule can ask for; the rest of its documents is read and checked, but gives no rows."""
+    reaches = reaches or {}
 
     def run(batches):
         for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
             for root, path, ordinal, parser, form, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                reach = reaches.get(ordinal)
                 try:
-                    found = read_toml(content or b"", parser == "toml") if form == "toml" else READERS[form](content or b"")
+                    if form == "toml":
+                        found = read_toml(content or b"", parser == "toml", reach)
+                    else:
+                        found = READERS[form](content or b"", *([reach] if form in ("json", "yaml") else []))
                 except (ValueError, yaml.YAMLError, RecursionError) as e:
                     found = [("", "error", f"parse {form} file {path!r}: {e}", 0)]
                 found = found if any(x[0] == "" for x in found) else [("", "null", None, 0), *found]
-                n = len(found)
-                at, kind, value, size = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([root] * n, pa.string()), pa.array([path] * n, pa.string()), pa.array([ordinal] * n, pa.int32()), pa.array([parser] * n, pa.string()), pa.array(at, pa.string()), pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array(size, pa.int32())],
-                    ["root", "path", "ordinal", "parser", "at", "kind", "value", "size"],
-                )
+                for column, values in zip(out, ([root] * len(found), [path] * len(found), [ordinal] * len(found), [parser] * len(found), *zip(*found, strict=True)), strict=True):
+                    column.extend(values)
+                if len(out[0]) >= BATCH_NODES:
+                    yield _batch(out)
+                    out = [[] for _ in range(8)]
+            if out[0]:
+                yield _batch(out)
 
     return rows.where("format is not null").select("root", "path", "ordinal", "parser", "format", "content").mapInArrow(run, NODES)
+
+
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    names = [f.split()[0] for f in NODES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("ordinal", "size") else pa.string()) for n, c in zip(names, columns, strict=True)], names)

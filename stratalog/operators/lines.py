@@ -16,10 +16,16 @@ from .presence import dep_rows, found_rows
 #: Options whose lines are not dependencies, and options that include a file.
 DIRECTIVES = ("-c", "--constraint", "--index-url", "--extra-index-url", "--find-links", "--trusted-host", "--hash")
 INCLUDES = ("-r", "--requirement", "--requirements")
+#: Directives of go.mod, and those that may head a block.
+GO_DIRECTIVES = ("exclude", "go", "godebug", "ignore", "module", "replace", "require", "retract", "tool", "toolchain")
+GO_BLOCKS = ("exclude", "godebug", "ignore", "module", "replace", "require", "retract", "tool")
+#: Included files that are broadcast by path; beyond, files are shuffled by path.
+MOST_BROADCAST = 500_000
 
 
 def go_mod(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All requirements in order; `// indirect` is their section. A requirement without a version is an error."""
+    """All requirements in order; `// indirect` is their section. A requirement without a version, an unknown directive or block and a
+    bracket without its other half are errors."""
     lines = rows.select(*KEY, F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line", "text"))
     code = tidy(F.regexp_replace("text", "//.*$", ""))
     lines = lines.withColumn("code", code).withColumn("note", tidy(F.regexp_extract("text", "//(.*)$", 1)))
@@ -31,7 +37,16 @@ def go_mod(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = inside.withColumn("spec", spec).where("spec is not null")
     bare = lambda g: F.regexp_replace(F.regexp_extract("spec", r"^(\S+)\s+(\S+)\z", g), "^[\"`]|[\"`]$", "")
     own = wanted.withColumn("name", bare(1)).withColumn("version", bare(2))
-    bad = own.where("name = ''").groupBy(*KEY).agg(F.min(F.concat(F.lit("unexpected requirement: "), "spec")).alias("e"))
+    top, word = F.coalesce("in", F.lit("")) == "", F.regexp_extract("code", r"^([^\s(]*)", 1)
+    last = F.last(edge, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    wrong = (
+        F.when(F.col("edge") & (F.col("code") != ")"), F.when(~top, F.concat(F.lit("block within a block: "), "code")).when(~word.isin(*GO_BLOCKS), F.concat(F.lit("unknown block type: "), word)))
+        .when(top & (F.col("code") == ")"), F.lit("unexpected )"))
+        .when(top & (F.col("code") != "") & ~word.isin(*GO_DIRECTIVES), F.concat(F.lit("unknown directive: "), word))
+        .when((F.col("line") == 0) & (last != ""), F.concat(F.lit("unclosed block: "), last))
+    )
+    faults = inside.select(*KEY, wrong.alias("e")).where("e is not null").unionByName(own.where("name = ''").select(*KEY, F.concat(F.lit("unexpected requirement: "), "spec").alias("e")))
+    bad = faults.groupBy(*KEY).agg(F.min("e").alias("e"))
     section = F.when(F.col("note").rlike(r"^indirect(;|\z)"), "indirect")
     return found_rows(rows.join(bad, KEY, "left"), F.lit(True), F.lit(False), F.col("e")), dep_rows(own, F.format_string("%09d", "line"), raw=F.col("name"), name=F.col("name"), version=F.col("version"), section=section)
 
@@ -62,7 +77,7 @@ def requirements(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
     deps, notes = [], []
     content = files.select("root", F.regexp_replace("path", r"\\", "/").alias("aim"), F.col("content").alias("content"))
     while True:
-        lines = kept(_split(level)) if deps else _split(level)
+        lines = kept(_split(level))
         deps.append(lines.where("target is null"))
         more = lines.where("target is not null").withColumn("aim", clean_path(F.concat_ws("/", parent_of(F.element_at("stack", -1)), "target")))
         if more.isEmpty():
@@ -70,7 +85,10 @@ def requirements(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
         cycle = F.array_contains("stack", F.col("aim"))
         full = F.concat_ws("/", "root", "aim")
         notes.append(more.where(cycle).select(*KEY, "seat", F.concat(F.lit("detected requirements include cycle for "), quoted(full), F.lit(" via "), quoted(F.col("target"))).alias("warning")))
-        met = more.where(~cycle).join(content, ["root", "aim"], "left")
+        # the few files that are included are found by path before any content is joined
+        aims = kept(more.where(~cycle).select("root", "aim").distinct())
+        wanted = content.join(F.broadcast(aims) if aims.count() <= MOST_BROADCAST else aims, ["root", "aim"], "left_semi")
+        met = more.where(~cycle).join(wanted, ["root", "aim"], "left")
         notes.append(met.where("content is null").select(*KEY, "seat", F.concat(F.lit("could not read included requirements file "), quoted(F.col("target")), F.lit(": open "), full, F.lit(": no such file or directory")).alias("warning")))
         level = kept(met.where("content is not null").select(*KEY, F.concat("stack", F.array("aim")).alias("stack"), "seat", "content"))
     every = reduce(lambda a, b: a.unionByName(b), deps)

@@ -44,6 +44,21 @@ def having(rules: Ruleset, parser: str, *options: str) -> Column:
     return F.col("ordinal").isin([r.ordinal for r in rules.using(parser) if any(r.params.get(o) for o in options)] or [-1])
 
 
+def reaches(rules: Ruleset) -> dict[int, tuple[int, frozenset[str] | None]]:
+    """What the rules that only ask for places can reach in their documents, by ordinal: steps from the top, keys of the top."""
+    out = {}
+    for r in rules.using("json", "yaml", "toml"):
+        if r.parser == "json":
+            out[r.ordinal] = (1, frozenset(r.params["exists-any"]))
+            continue
+        given = [x for o in ("query", "exists", "exists-any", "queries", "table-queries", "table-exists-any") for x in ([r.params[o]] if isinstance(r.params.get(o), str) else r.params.get(o) or [])]
+        steps = [path_steps(q, True) for q in given]
+        # tables that a query names give a row per key
+        deepest = max(sum(1 + each for _, each in x) for x in steps) + 1
+        out[r.ordinal] = (deepest, None if any(x[0][0] == "*" for x in steps) else frozenset(x[0][0] for x in steps))
+    return out
+
+
 #: Not empty: everything but null, "", [] and {}.
 FULL = "kind <> 'null' and not (kind in ('string', 'array', 'object') and size = 0) and kind <> 'error'"
 

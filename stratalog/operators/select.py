@@ -46,13 +46,25 @@ def candidate_ordinals(rules: Ruleset, name: Column, path: Column) -> Column:
     return F.filter(found, lambda o: stop.isNull() | (o <= stop))
 
 
-def candidates(files: DataFrame, rules: Ruleset) -> DataFrame:
-    """(root, path, name, content, ordinal, parser, format): one row per file and candidate rule."""
+def selector_type(rules: Ruleset, name: Column) -> Column:
+    """The type of the first rule without a path glob and without a reader that accepts a file name; null where none does."""
+    plain = [r for r in rules.rules if r.parser is None and not r.path_glob]
+    return F.coalesce(*[F.when(name.rlike(r.name_regex), F.lit(r.type)) for r in plain], F.lit(None).cast("string"))
+
+
+def candidates(files: DataFrame, rules: Ruleset, globs: bool = True) -> DataFrame:
+    """(root, path, name, content, ordinal, parser, format): one row per file and candidate rule. Without globs, rules with a
+    path glob accept nothing; the path '' is that of no file, which only rules without a reader accept."""
+    if not globs:
+        rules = Ruleset(tuple(r for r in rules.rules if not r.path_glob))
+    if not rules.rules:
+        return files.select("root", "path", F.col("path").alias("name"), "content", F.lit(0).alias("ordinal"), F.lit("").alias("parser"), F.lit(None).cast("string").alias("format")).where(F.lit(False))
     parser = F.create_map(*[x for r in rules.rules for x in (F.lit(r.ordinal), F.lit(r.parser or ""))])
     formats = F.create_map(*[x for k, v in FORMATS.items() for x in (F.lit(k), F.lit(v))])
     path = F.regexp_replace("path", r"\\", "/")
     rows = files.select("root", path.alias("path"), F.coalesce(F.col("name"), F.substring_index(path, "/", -1)).alias("name"), "content")
     found = rows.withColumn("ordinal", F.explode(candidate_ordinals(rules, F.col("name"), F.col("path"))))
     named = found.withColumn("parser", parser[F.col("ordinal")]).withColumn("format", formats[F.col("parser")])
+    named = named.where("path <> '' or parser = ''")
     # banners lie in the first 4096 bytes, selectors need none
     return named.withColumn("content", F.when(F.col("parser") == "banner-regex", F.substring("content", 1, 4096)).when(F.col("parser") != "", F.col("content")))

@@ -23,11 +23,11 @@ def _union(parts: list[DataFrame]) -> DataFrame | None:
     return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
 
 
-def outcomes(files: DataFrame, rules: Ruleset, contents: DataFrame | None = None) -> DataFrame:
+def outcomes(files: DataFrame, rules: Ruleset, contents: DataFrame | None = None, globs: bool = True) -> DataFrame:
     """(root, path, ordinal, matched, has_dependencies, dependencies, warnings, error) per file and candidate rule. Only the
     readers that the ruleset uses are in the plan. contents: where included files are looked up, by default files."""
     used = {r.parser for r in rules.rules}
-    rows = candidates(files, rules)
+    rows = candidates(files, rules, globs)
     plain = [p for p in used if p not in (None, *FORMATS)]
     several = len(used - {None}) > 1
     rows = kept(rows) if several else rows
@@ -47,7 +47,7 @@ def outcomes(files: DataFrame, rules: Ruleset, contents: DataFrame | None = None
             yarn = rows.where("parser = 'yarn-lock'").withColumn("kind", kind)
             add(*locks.yarn_classic(yarn.where("kind = 'classic'").drop("kind")))
             source = rows.where("parser <> 'yarn-lock'").unionByName(yarn.where("kind = 'modern'").drop("kind"))
-        nodes = kept(nodes_of(source))
+        nodes = kept(nodes_of(source, presence.reaches(rules)))
         if used & {"json", "xml", "yaml", "toml"}:
             add(presence.presence(nodes, rules))
         if any(r.params.get("exists") for r in rules.using("yaml")):
@@ -92,23 +92,26 @@ def outcomes(files: DataFrame, rules: Ruleset, contents: DataFrame | None = None
 def _collected(deps: DataFrame) -> DataFrame:
     """Dependencies per file and rule, by seat. Maps do not sort, so extras travel as entries."""
     flat = deps.withColumn("extras", F.map_entries("extras"))
-    got = flat.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("seat", *DEP_FIELDS))).alias("d"))
+    # seats differ within a file; equal rows come of a path that is given twice
+    got = flat.groupBy(*KEY).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("seat", *DEP_FIELDS)))).alias("d"))
     back = lambda x: F.struct(*[(F.when(x[f].isNotNull(), F.map_from_entries(x[f])) if f == "extras" else x[f]).alias(f) for f in DEP_FIELDS])
     return got.select(*KEY, F.transform("d", back).alias("dependencies"))
 
 
-def detect(files: DataFrame, rules: Ruleset | None = None, ignored: tuple[str, ...] = DEFAULT_IGNORED, on_error: str = "fail") -> DataFrame:
+def detect(files: DataFrame, rules: Ruleset | None = None, ignored: tuple[str, ...] = DEFAULT_IGNORED, on_error: str = "fail", globs: bool = True) -> DataFrame:
     """MANIFESTS of files (root, path, name, content): per file the first rule by ordinal that matches.
 
     A document that cannot be read ends the job, unless an earlier rule matched; with on_error='skip' it falls through to later
     rules, and with 'warn' it becomes a manifest of unknown status whose warning says why. Files under ignored folders are left
-    out, but requirements files may include them. Rows without a path are dropped; a repeated path is an error of the caller."""
+    out, but requirements files may include them. Paths are relative to the root; where they are not, globs=False leaves rules with a path glob
+    out. A row with the path '' stands for a name alone: only rules without a reader see it. Rows without a path are
+    dropped; equal rows of one path count once, different ones as one file with the dependencies of both."""
     if on_error not in ("fail", "skip", "warn"):
         raise ValueError(f"on_error: {on_error}")
     rules = rules or builtin_rules()
     rows = files.select("root", "path", F.col("name") if "name" in files.columns else F.lit(None).cast("string").alias("name"), "content").where("path is not null")
     kept_rows = rows.where(not_ignored(F.regexp_replace("path", r"\\", "/"), ignored))
-    every = outcomes(kept_rows, rules, rows)
+    every = outcomes(kept_rows, rules, rows, globs)
     fails = F.col("error").isNotNull() if on_error != "skip" else F.lit(False)
     first = every.where(F.col("matched") | fails).groupBy(*FILE).agg(F.min_by(F.struct("ordinal", "matched", "has_dependencies", F.col("dependencies"), "warnings", "error"), "ordinal").alias("m"))
     types = F.create_map(*[x for r in rules.rules for x in (F.lit(r.ordinal), F.lit(r.type))])

@@ -19,6 +19,10 @@ from ..operators.select import DEFAULT_IGNORED
 from ..schema import FILES
 
 
+#: Bytes of content per Arrow batch.
+BATCH_BYTES = 16_000_000
+
+
 def walk(root: str, ignored: tuple[str, ...] = DEFAULT_IGNORED) -> Iterator[str]:
     """Relative paths of all files below root, folders of ignored names pruned; links to folders are not followed."""
     skip = set(ignored)
@@ -47,9 +51,15 @@ class TreeReader(DataSourceReader):
         return [Paths(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] or [Paths([])]
 
     def read(self, partition):
-        for path in partition.value:
-            content = Path(self.root, path).read_bytes()
-            yield pa.RecordBatch.from_arrays([pa.array([self.root]), pa.array([path]), pa.array([os.path.basename(path)]), pa.array([content], pa.binary())], ["root", "path", "name", "content"])
+        paths, contents, held = [], [], 0
+        for path in [*partition.value, None]:
+            if paths and (path is None or held >= BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array([self.root] * len(paths)), pa.array(paths), pa.array([os.path.basename(p) for p in paths]), pa.array(contents, pa.binary())], ["root", "path", "name", "content"])
+                paths, contents, held = [], [], 0
+            if path is not None:
+                paths.append(path)
+                contents.append(Path(self.root, path).read_bytes())
+                held += len(contents[-1])
 
 
 class TreeSource(DataSource):

@@ -1,6 +1,9 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from cases import CASES
+from stratalog.operators.select import selector_type
 from stratalog.plans import views
 from stratalog.plans.detect import detect
 from stratalog.plans.report import json_report, text_report
@@ -122,3 +125,31 @@ def test_rule_errors(text, message):
 def test_rule_blocks():
     assert len(builtin_rules().rules) == 95 and builtin_rules().types[0] == "python-requirements"
     assert parse_rules("rules: [{name: x, filename-regex: x, uv-lock: }]").rules[0].parser is None
+
+
+def test_strict_go_mod(spark):
+    """Unknown directives and blocks, and brackets without their other half, fail the file."""
+    texts = {
+        "bogus y\n": "unknown directive: bogus", "module m\nthings (\n\tx\n)\n": "unknown block type: things", "module m\n)\n": "unexpected )", "module m\nrequire (\n\ta.b/c v1.0.0\n": "unclosed block: require",
+        "go (\n\t1.22\n)\n": "unknown block type: go", "module m // note\n\ngo 1.22\ntoolchain go1.22.1\nrequire a.b/c v1.0.0\nretract v1\nexclude (\n\tx.y/z v1.0.0\n)\ntool x.y/t\n": None,
+    }
+    rows = files(spark, [(str(i), "go.mod", t) for i, t in enumerate(texts)])
+    got = {int(r["root"]): r["warnings"] for r in detect(rows, builtin_rules().only("go-mod"), on_error="warn").collect()}
+    assert got == {i: [e] if e else None for i, e in enumerate(texts.values())}
+
+
+def test_names_alone(spark):
+    """Rules without a reader answer for names; readers and path globs do not."""
+    rules = parse_rules("rules:\n- {name: globbed, path-glob: 'x/*.k'}\n- {name: read, filename-regex: '^go[.]mod$', go-mod: {}}\n- {name: sum, filename-regex: '[.]sum$'}\n- {name: late, filename-regex: '^go[.]'}\n")
+    table = spark.createDataFrame([("", n, f"x/{n}", bytearray(b"")) for n in ("go.sum", "go.mod", "a.k", "other")], "root string, name string, path string, content binary")
+    assert {r["name"]: r["t"] for r in table.select("name", selector_type(rules, F.col("name")).alias("t")).collect()} == {"go.sum": "sum", "go.mod": "late", "a.k": None, "other": None}
+    of = lambda t, **o: {r["path"]: r["type"] for r in detect(t, rules, on_error="skip", **o).collect()}
+    assert of(table) == {"x/go.sum": "sum", "x/go.mod": "read", "x/a.k": "globbed"} and of(table, globs=False) == {"x/go.sum": "sum", "x/go.mod": "read"}
+    bare = spark.createDataFrame([(n, n, "", bytearray(b"module m\n")) for n in ("go.sum", "package.json")], "root string, name string, path string, content binary")
+    assert [(r["root"], r["type"]) for r in detect(bare).collect()] == [("go.sum", "go-sum")]
+
+
+def test_repeated_rows(spark):
+    """A path that is given twice counts once."""
+    rows = files(spark, [("", "requirements.txt", "a\na\nb")] * 2)
+    assert [[d["raw"] for d in r["dependencies"]] for r in detect(rows, builtin_rules().only("python-requirements")).collect()] == [["a", "a", "b"]]
