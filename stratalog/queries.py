@@ -5,16 +5,20 @@ QUERIES and SQL hold, per name, the query and the SQL that gives its rows straig
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import pep508
-from .operators.select import not_ignored
+from .operators.select import not_ignored, selector_type
 from .operators.web import script_blocks
 from .plans import views
 from .plans.detect import detect
+from .plans.report import rendered, write_json
 from .rules import builtin_rules, parse_rules
 from .sources.tree import files_from_table
+from .storage import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -293,3 +297,208 @@ def package_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = text("part-", F.col("l_partkey"), "==", F.col("l_linenumber"))
     rows = gathered(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey"], line)
     return views.package_usage(found(files_from_table(rows, text("orders/", F.col("l_orderkey"), "/requirements.txt"), F.col("body")), "python-requirements"))
+
+
+#: Files that a name alone recognises, and one that only a reader can.
+NAMES = (("bun.lock", "js-bun-lock"), ("Gemfile", "ruby-gemfile"), ("go.sum", "go-sum"), ("Package.swift", "swift-package"), ("build.gradle.kts", "java-gradle-kts"), ("stack.yaml.lock", "haskell-stack-lock"), ("paket.lock", "dotnet-paket-lock"), ("go.mod", None))
+
+
+def _by_key(key: str, values) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+NAMES_SQL = """
+with n as (select c_custkey as k, {names}[c_custkey % 8 + 1] as name, {types}[c_custkey % 8 + 1] as type from customer)
+""".replace("{names}", str([n for n, _ in NAMES])).replace("{types}", str([t for _, t in NAMES]).replace("None", "null"))
+
+
+@query(NAMES_SQL + "select k as c_custkey, name, type from n")
+def selector_only_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of bare names, without files."""
+    names = table(spark, sf_dir, "customer").select("c_custkey", _by_key("c_custkey", [n for n, _ in NAMES]).alias("name"))
+    return names.withColumn("type", selector_type(builtin_rules(), F.col("name")))
+
+
+@query(NAMES_SQL + "select 'c/' || k || '/' || name as path, coalesce(type, 'go-mod') as type, case when type is null then 'empty' else 'unknown' end as status from n")
+def selector_only_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All built-in rules over files that mostly need no reader."""
+    files = files_from_table(table(spark, sf_dir, "customer"), text("c/", F.col("c_custkey"), "/", _by_key("c_custkey", [n for n, _ in NAMES])), F.lit("module m\n"))
+    return detect(files, builtin_rules().only(*(t for _, t in NAMES if t), "go-mod")).select("path", "type", views.status().alias("status"))
+
+
+GLOB_RULES = r"""
+rules:
+  - {name: both, path-glob: 'src/**/y?.[a-c]', filename-regex: '^y[0-4]'}
+  - {name: glob, path-glob: 'src/**/y?.[a-c]'}
+  - {name: name, filename-regex: '[.]d$'}
+"""
+
+
+@query("""
+with p as (select p_partkey as k, ['src', 'src/x', 'src/x/z', 'lib'][p_partkey % 4 + 1] || '/' || p_partkey || '/y' || (p_partkey % 10) || '.' || ['a', 'b', 'd'][p_partkey % 3 + 1] as path from part)
+select path, case when k % 3 = 2 then 'name' when k % 10 <= 4 then 'both' else 'glob' end as type from p where k % 3 = 2 or k % 4 < 3
+""")
+def path_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path globs, and selectors of which both must hold."""
+    key = F.col("p_partkey")
+    path = text(_by_key("p_partkey", ["src", "src/x", "src/x/z", "lib"]), "/", key, "/y", key % 10, ".", _by_key("p_partkey", ["a", "b", "d"]))
+    return detect(files_from_table(table(spark, sf_dir, "part"), path, F.lit("")), parse_rules(GLOB_RULES)).select("path", "type")
+
+
+@query("""
+select 'n/' || s_nationkey || '/Pipfile' as path, row_number() over (partition by s_nationkey order by s_suppkey % 2, 's' || s_suppkey) - 1 as pos,
+  's' || s_suppkey || case when s_suppkey % 2 = 0 then ' = "*"' else ' = { extras = ["x"], version = "==' || (s_suppkey % 7) || '" }' end as raw,
+  case when s_suppkey % 2 = 0 then 'packages' else 'dev-packages' end as section from supplier
+""")
+def toml_table_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of a Pipfile: keys with their values on one line, packages first, excluded tables left out."""
+    s, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    value = F.when(key % 2 == 0, '"*"').otherwise(text('{ version = "==', key % 7, '", extras = ["x"] }'))
+    lines = lambda part, name: gathered(s.where(part), "s_nationkey", ["s_suppkey"], text("s", key, " = ", value)).withColumnRenamed("body", name)
+    rows = lines("s_suppkey % 2 = 0", "even").join(lines("s_suppkey % 2 = 1", "odd"), "s_nationkey", "full")
+    body = text('[[source]]\nurl = "u"\n[dev-packages]\n', F.coalesce("odd", F.lit("")), "\n[packages]\n", F.coalesce("even", F.lit("")), '\n[requires]\npython_version = "3"\n')
+    return listed(files_from_table(rows, text("n/", F.col("s_nationkey"), "/Pipfile"), body), "python-pipfile", fields=("raw", "section"))
+
+
+@query("""
+select distinct 'n/' || s_nationkey || '/package-lock.json' as path, unnest(['s' || s_suppkey || '@' || (s_suppkey % 7), 'in-' || (s_suppkey % 5) || '@9']) as raw from supplier
+""")
+def npm_version_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested dependencies of the first format; a name and version that come again count once."""
+    key = F.col("s_suppkey")
+    body = _json_map(spark, sf_dir, text("s", key), text('{"version": "', key % 7, '", "dependencies": {"in-', key % 5, '": {"version": "9"}}}'))
+    files = files_from_table(body, text("n/", F.col("s_nationkey"), "/package-lock.json"), text('{"lockfileVersion": 1, "dependencies": {', F.col("body"), "}}"))
+    return views.dependencies(found(files, "js-npm-lock")).select("path", "raw")
+
+
+@query("""
+select 'n/' || s_nationkey || '/package-lock.json' as path, row_number() over (partition by s_nationkey order by s_suppkey % 2, 's' || s_suppkey) - 1 as pos, 's' || s_suppkey as raw,
+  case when s_suppkey % 2 = 0 then 'dependencies' else 'devDependencies' end as section from supplier
+""")
+def npm_root_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lock that holds nothing but its root: the root's maps are the dependencies."""
+    s, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    entry = lambda part, name: gathered(s.where(part), "s_nationkey", ["s_suppkey"], text('"s', key, '": "*"'), ", ").withColumnRenamed("body", name)
+    rows = entry("s_suppkey % 2 = 0", "even").join(entry("s_suppkey % 2 = 1", "odd"), "s_nationkey", "full")
+    body = text('{"lockfileVersion": 3, "packages": {"": {"dependencies": {', F.coalesce("even", F.lit("")), '}, "devDependencies": {', F.coalesce("odd", F.lit("")), "}}}}")
+    return listed(files_from_table(rows, text("n/", F.col("s_nationkey"), "/package-lock.json"), body), "js-npm-lock", fields=("raw", "section"))
+
+
+@query("""
+select 'j/' || p_partkey || '.py' as path, unnest(['part-' || p_partkey || '==' || p_size, 'numpy']) as raw from part where p_partkey % 3 > 0
+""")
+def python_cdk_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A construct whose argument is a constant that is assigned before, twice: the last assignment before the call counts."""
+    key = F.col("p_partkey")
+    body = text(
+        'from aws_cdk import aws_glue as glue\nMODS = "old"\nMODS = "part-', key, "==", F.col("p_size"), ',numpy"\nargs = {"--job-language": "', F.when(key % 3 > 0, "python").otherwise("scala"),
+        '", "--additional-python-modules": MODS}\nglue.CfnJob(self, "x", default_arguments=args)\nMODS = "late"\n',
+    )
+    files = files_from_table(table(spark, sf_dir, "part"), text("j/", key, ".py"), body)
+    return views.dependencies(found(files, "python.cdk.aws_glue_job.python")).select("path", "raw")
+
+
+@query("""
+select 'c/' || c_custkey || '/setup.py' as path, unnest(['own-' || c_custkey, 'nation-' || c_nationkey]) as raw from customer
+""")
+def setup_py_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call's arguments; what is listed again counts once."""
+    key = F.col("c_custkey")
+    body = text("from setuptools import setup\nsetup(install_requires=['own-", key, "', 'nation-", F.col("c_nationkey"), "', 'own-", key, "'])\n")
+    return views.dependencies(found(files_from_table(table(spark, sf_dir, "customer"), text("c/", key, "/setup.py"), body), "python-setup-py")).select("path", "raw")
+
+
+@query("""
+select 'c/' || c_custkey || '/requirements.txt' as path, cast(i as bigint) as pos, case i when 0 then 'own-' || c_custkey || ' >=1' else 'nation-' || c_nationkey || '[x]==2 ; a' end as raw,
+  case i when 0 then 'own-' || c_custkey else 'nation-' || c_nationkey end as name, case i when 0 then '>=1' else '[x]==2 ; a' end as "constraint"
+from customer, (select unnest([0, 1]) as i)
+""")
+def requirements_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that go on after a backslash, options, comments and blank lines."""
+    body = text("--index-url https://x\n\n# note\nown-", F.col("c_custkey"), " \\\n   >=1\n-c other.txt\n  nation-", F.col("c_nationkey"), "[x]==2 ; a\n--hash=sha256:1\n")
+    return listed(files_from_table(table(spark, sf_dir, "customer"), text("c/", F.col("c_custkey"), "/requirements.txt"), body), "python-requirements", fields=("raw", "name", "constraint"))
+
+
+@query("""
+select 'c/' || c_custkey || '/requirements.txt' as path, c_custkey % 2 = 0 as has_dependencies, unnest([
+  'detected requirements include cycle for "/c/' || c_custkey || '/requirements.txt" via "requirements.txt"',
+  'could not read included requirements file "gone.txt": open /c/' || c_custkey || '/gone.txt: no such file or directory']) as warning
+from customer
+""")
+def requirements_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Includes that lead to themselves or to nothing; without dependencies they leave the status unknown."""
+    body = text("-r requirements.txt\n-r gone.txt\n", F.when(F.col("c_custkey") % 2 == 0, "a\n").otherwise(""))
+    got = found(files_from_table(table(spark, sf_dir, "customer"), text("c/", F.col("c_custkey"), "/requirements.txt"), body), "python-requirements")
+    return got.select("path", F.coalesce("has_dependencies", F.lit(False)).alias("has_dependencies"), F.explode("warnings").alias("warning"))
+
+
+def _go_mods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of go.mod files with none, one, or two requirements, one of them indirect."""
+    key = F.col("c_custkey")
+    lines = F.when(key % 3 == 0, "").when(key % 3 == 1, text("require a.b/c", key, " v1.0.0\n")).otherwise(text("require (\n\ta.b/c", key, " v1.0.0\n\td.e/f v2.1.0 // indirect\n)\n"))
+    return found(files_from_table(table(spark, sf_dir, "customer"), text("c/", key, "/go.mod"), text("module m\n\ngo 1.22\n\n", lines)), "go-mod")
+
+
+BLOCK_SQL = """
+select 'c/' || c_custkey || '/go.mod' as path, chr(10) || 'c/' || c_custkey || '/go.mod ' || case c_custkey % 3
+  when 0 then '[no dependencies]' || chr(10) when 1 then '[1 dep]' || chr(10) || '  - a.b/c' || c_custkey || '@v1.0.0' || chr(10)
+  else '[2 deps]' || chr(10) || '  [default group]' || chr(10) || '    - a.b/c' || c_custkey || '@v1.0.0' || chr(10) || '  indirect:' || chr(10) || '    - d.e/f@v2.1.0' || chr(10) end as block
+from customer
+"""
+
+
+@query(BLOCK_SQL + " where c_custkey % 3 > 0")
+def text_report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text report's block per manifest with its label and sections; manifests without dependencies are hidden."""
+    return rendered(views.visible(_go_mods(spark, sf_dir))).select("path", "block")
+
+
+@query(BLOCK_SQL)
+def text_report_show_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered(views.visible(_go_mods(spark, sf_dir), show_empty=True)).select("path", "block")
+
+
+@query("select 'c/' || c_custkey || '/go.mod' as path, 'go-mod' as type, c_custkey % 3 > 0 as has_dependencies, cast(c_custkey % 3 as bigint) as deps from customer")
+def json_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distributed JSON report, written and read again."""
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    write_json(_go_mods(spark, sf_dir), path)
+    back = spark.read.schema("path string, type string, has_dependencies boolean, dependencies array<struct<name: string>>").json(path)
+    return back.select("path", "type", "has_dependencies", F.coalesce(F.size("dependencies"), F.lit(0)).cast("long").alias("deps"))
+
+
+@query("""
+select 'c/' || c_custkey || '/go.mod' as path, case when c_custkey % 3 = 0 then 'empty' else 'unknown' end as status,
+  [null, 'unknown directive: bogus', 'unknown block type: things'][c_custkey % 3 + 1] as warning from customer
+""")
+def go_mod_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that cannot be read, kept as manifests of unknown status with a warning."""
+    body = text("module m\n", _by_key("c_custkey", ["", "bogus y\n", "things (\n\tx\n)\n"]))
+    got = detect(files_from_table(table(spark, sf_dir, "customer"), text("c/", F.col("c_custkey"), "/go.mod"), body), builtin_rules().only("go-mod"), on_error="warn")
+    return got.select("path", views.status().alias("status"), F.get("warnings", F.lit(0)).alias("warning"))
+
+
+TOML_RULE = "rules: [{name: any, filename-regex: '[.]toml$', toml: {exists-any: ['x.*.y'], table-exists-any: [q]}}, {name: tables, filename-regex: '[.]tml$', toml: {table-exists-any: ['t.*']}}]"
+
+
+@query("""
+select 'p/' || p_partkey || case when p_partkey % 2 = 0 then '.toml' else '.tml' end as path, case when p_partkey % 2 = 0 then 'any' else 'tables' end as type,
+  case when p_partkey % 2 = 0 then p_partkey % 4 = 0 else p_partkey % 3 = 0 end as has_dependencies from part
+""")
+def toml_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and tables that paths with wildcards reach; empty ones do not count."""
+    key = F.col("p_partkey")
+    even = text("[x.k", key, "]\ny = ", F.when(key % 4 == 0, "0").otherwise('""'), "\n[q]\nr = 1\n")
+    odd = text("[t.k", key, "]\n", F.when(key % 3 == 0, "z = 1\n").otherwise(""))
+    files = files_from_table(table(spark, sf_dir, "part"), text("p/", key, F.when(key % 2 == 0, ".toml").otherwise(".tml")), F.when(key % 2 == 0, even).otherwise(odd))
+    return detect(files, parse_rules(TOML_RULE)).select("path", "type", "has_dependencies")
+
+
+@query("""
+select distinct 'n/' || s_nationkey || '/poetry.lock' as path, 's' || (s_suppkey % 4) || '==' || (s_suppkey % 3) as raw from supplier
+""")
+def poetry_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages that a lock lists more than once."""
+    key = F.col("s_suppkey")
+    rows = gathered(table(spark, sf_dir, "supplier"), "s_nationkey", ["s_suppkey"], text('[[package]]\nname = "s', key % 4, '"\nversion = "', key % 3, '"\n'))
+    return views.dependencies(found(files_from_table(rows, text("n/", F.col("s_nationkey"), "/poetry.lock"), F.col("body")), "python-poetry-lock")).select("path", "raw")

@@ -5,17 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written once as Parquet to the shared folder of spark.checkpoint.dir and reread, so that it is parsed once and
-    outlives lost executors. Only where that setting is missing (tests), a temporary folder takes its place."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The application's folder in spark.checkpoint.dir, which may be removed as a whole once the application has ended. Only a local
+    session without that setting (as in tests) gets a temporary folder: on a cluster, executors would write to their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-kept-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written once as Parquet to the shared folder and reread, so that it is parsed once and outlives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
