@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..storage import shared_folder
 
 #: Bytes of text that one numpy pass handles; temporaries take about 60 times as much.
 SLICE_BYTES = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where the session has none, a temporary one is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, reread: it cuts lineage and outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -80,9 +72,22 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of every row, A-Z lowered, and each row's first word (with an end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, most: int = 2 * SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of every row, A-Z lowered, and each row's first word (with an end). Longer
+    data is worked off in pieces that end between words, so temporaries follow `most` and the longest word; what stays is a number per word."""
     n = len(data)
+    if n > most:
+        hashes, first, at = [], np.zeros(len(offsets), np.int64), 0
+        while at < n:
+            end = at + most
+            while end < n and not (blank := np.flatnonzero((data[end : end + most] == 32) | ((data[end : end + most] >= 9) & (data[end : end + most] <= 13)))[:1]).size:
+                end += most
+            end = min(n, end + int(blank[0]) if end < n else n)
+            h, own = word_hashes(data[at:end], np.clip(offsets - at, 0, end - at), lower, n)
+            hashes.append(h)
+            first += own
+            at = end
+        return np.concatenate(hashes), first
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     if lower:

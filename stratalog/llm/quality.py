@@ -7,14 +7,16 @@ log odds are added.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, sums, text_slices, word_hashes, written
+from .common import sums, text_slices, word_hashes, written
 
 #: Labelled rows that are fitted at most, pseudo-labels that a view hands over per round and class at most. Which ones they are
 #: goes by the hash of the id; the search for pseudo-labels and the scores cover all rows.
@@ -57,14 +59,15 @@ def text_features(column: pa.Array):
         ], axis=1)
 
 
-def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
-    """Hashed one-hot values of language, source and the length's power of two."""
+def meta_features(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> np.ndarray:
+    """Hashed one-hot values of language, source and the length's power of two. Each distinct value is hashed once."""
     out = np.zeros((len(lang), META))
-    for i, values in enumerate(zip(lang, source, n_chars, strict=True)):
-        size = int(max(values[2] or 0, 0)).bit_length()
-        for kind, value in enumerate((values[0], values[1], size)):
-            code = int.from_bytes(f"{kind}:{value}".encode()[-32:].rjust(32, b"\0")[-8:], "little") ^ (kind << 40) ^ sum(f"{value}".encode())
-            out[i, int(mix(np.array([code], np.uint64))[0] % np.uint64(META))] = 1.0
+    size = np.frexp(np.maximum(pc.fill_null(n_chars, 0).to_numpy(zero_copy_only=False), 0).astype(float))[1]
+    for kind, column in enumerate((lang, source, pa.array(size, pa.int64()))):
+        code = column.dictionary_encode()
+        known = code.dictionary.to_pylist()
+        bucket = np.array([int.from_bytes(hashlib.blake2b(f"{kind}:{v}".encode(), digest_size=8).digest(), "little") % META for v in (*known, None)])
+        out[np.arange(len(out)), bucket[pc.fill_null(code.indices, len(known)).to_numpy(zero_copy_only=False)]] = 1.0
     return out
 
 
@@ -141,16 +144,17 @@ def features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.mapInArrow(run, "id long, text_view array<double>, lang string, source string, n_chars long")
 
 
-def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r["text_view"] for r in rows], float).reshape(-1, len(TEXT_FEATURES)), meta_features([r["lang"] for r in rows], [r["source"] for r in rows], [r["n_chars"] for r in rows])
+def _matrix(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    column = lambda c: x.combine_chunks() if isinstance(x := rows.column(rows.schema.get_field_index(c)), pa.ChunkedArray) else x
+    return column("text_view").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(TEXT_FEATURES)), meta_features(column("lang"), column("source"), column("n_chars"))
 
 
 def cotrain(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS, pseudo_rows: int = PSEUDO_ROWS, rounds: int = ROUNDS, sure: float = SURE) -> QualityModel:
     """The model from a feature table and labels (id_col, label_col 0 or 1). Other labels and nulls are ignored."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     order = F.xxhash64("id", F.lit(11))
-    got = table.join(known, "id").orderBy(order, "id").limit(fit_rows).collect()
-    y = np.array([r["y"] for r in got], float)
+    got = table.join(known, "id").orderBy(order, "id").limit(fit_rows).toArrow()
+    y = got["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return QualityModel(None, None)
     text, meta = _matrix(got)
@@ -161,18 +165,19 @@ def cotrain(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     sets = {"text": [(text[fit], y[fit])], "meta": [(meta[fit], y[fit])]}
     spark = table.sparkSession
     unlabelled = table.join(known.select("id").distinct(), "id", "left_anti")
-    model = QualityModel(None, None)
+    rate = (y.sum() + 1) / (len(y) + 2)
     for r in range(rounds + 1):
-        model = QualityModel(*(Logistic.fit(np.concatenate([x for x, _ in sets[v]]), np.concatenate([t for _, t in sets[v]])) for v in ("text", "meta")))
+        of_text, of_meta = (Logistic.fit(np.concatenate([x for x, _ in sets[v]]), np.concatenate([t for _, t in sets[v]])) for v in ("text", "meta"))
+        # calibrated on held-out labels, a view that knows little is never sure and teaches nothing
+        model = QualityModel(of_text, of_meta, _platt(of_text.logit(text[held]), y[held]), _platt(of_meta.logit(meta[held]), y[held]), float(np.log(rate / (1 - rate))))
         if r == rounds:
-            break
+            return model
         now = spark.sparkContext.broadcast(model)
 
         def run(batches, now=now):
             for batch in batches:
-                rows = batch.to_pylist()
-                if rows:
-                    a, b, _ = now.value.logits(*_matrix(rows))
+                if batch.num_rows:
+                    a, b, _ = now.value.logits(*_matrix(batch))
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sigmoid(a)), pa.array(_sigmoid(b))], [*batch.schema.names, "p_text", "p_meta"])
 
         sets = {"text": sets["text"][:1], "meta": sets["meta"][:1]}
@@ -180,11 +185,9 @@ def cotrain(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
                          .where((F.col("p_text") >= sure) | (F.col("p_text") <= 1 - sure) | (F.col("p_meta") >= sure) | (F.col("p_meta") <= 1 - sure)))
         for teacher, pupil in (("p_text", "meta"), ("p_meta", "text")):
             for value, which in ((1.0, F.col(teacher) >= sure), (0.0, F.col(teacher) <= 1 - sure)):
-                rows = scored.where(which).orderBy(F.xxhash64("id", F.lit(13 + r)), "id").limit(pseudo_rows).collect()
-                if rows:
-                    sets[pupil].append((_matrix(rows)[pupil == "meta"], np.full(len(rows), value)))
-    rate = (y.sum() + 1) / (len(y) + 2)
-    return QualityModel(model.text, model.meta, _platt(model.text.logit(text[held]), y[held]), _platt(model.meta.logit(meta[held]), y[held]), float(np.log(rate / (1 - rate))))
+                rows = scored.where(which).orderBy(F.xxhash64("id", F.lit(13 + r)), "id").limit(pseudo_rows).toArrow()
+                if rows.num_rows:
+                    sets[pupil].append((_matrix(rows)[pupil == "meta"], np.full(rows.num_rows, value)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.5, **options) -> DataFrame:
@@ -199,7 +202,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches):
         for batch in batches:
-            a, b, c = now.value.logits(*_matrix(batch.to_pylist()))
+            a, b, c = now.value.logits(*_matrix(batch))
             p = _sigmoid(c)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(a)), pa.array(_sigmoid(b)), pa.array(p), pa.array(p >= threshold)], [id_col, "p_text", "p_meta", "p_quality", "keep"])
 
@@ -216,7 +219,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", thr
             column = lambda c: batch.column(at[c])
             keep = np.zeros(batch.num_rows, bool)
             for a, b, x in text_features(column("text").cast(pa.string())):
-                meta = meta_features(*(column(c).slice(a, b - a).to_pylist() for c in ("lang", "source", "n_chars")))
+                meta = meta_features(*(column(c).slice(a, b - a) for c in ("lang", "source", "n_chars")))
                 keep[a:b] = _sigmoid(now.value.logits(x, meta)[2]) >= threshold
             yield batch.filter(pa.array(keep))
 

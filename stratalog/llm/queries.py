@@ -30,7 +30,9 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    losses = cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    # sums of logarithms are the same on any engine to so many places
+    return losses.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,5 +151,49 @@ select page_id, url, array_to_string(b, chr(10)) as text, length(array_to_string
 """
 
 
+#: Words and blanks as the contracts have them: A-Z lowered, split at white space of ASCII.
+WORDS_SQL = """
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents
+)
+"""
+
+#: Both models over all texts, each text's own counts taken out of its side.
+OP2_SQL = WORDS_SQL.rstrip() + """, good as (select distinct doc_id from labels where quality = 1 and toxic = 0 and doc_id is not null),
+d as (select doc_id, w, doc_id in (select doc_id from good) as side from w),
+t as (select doc_id, side, unnest(w) as x, unnest(range(len(w))) as i, unnest(list_concat([null], w)[1:len(w)]) as before from d),
+n as (select count(distinct x) as v, count(*) filter (where side) as nt, count(*) filter (where not side) as nb from t),
+uni as (select x, count(*) filter (where side) as ut, count(*) filter (where not side) as ub from t group by 1),
+bi as (select before, x, count(*) filter (where side) as bt, count(*) filter (where not side) as bb from t where i > 0 group by 1, 2),
+own as (select doc_id, x, count(*) as o from t group by 1, 2),
+own2 as (select doc_id, before, x, count(*) as o from t where i > 0 group by 1, 2, 3),
+size as (select doc_id, count(*) as k from t group by 1),
+c as (
+  select t.doc_id, t.i, k, v, case when side then o1.o else 0 end as ot, case when side then 0 else o1.o end as ob, case when side then o2.o else 0 end as pt, case when side then 0 else o2.o end as pb,
+    case when side then o3.o else 0 end as ct, case when side then 0 else o3.o end as cb, nt - case when side then k else 0 end as nt, nb - case when side then 0 else k end as nb,
+    a.ut, a.ub, bi.bt, bi.bb, z.ut as zt, z.ub as zb
+  from t cross join n join size on size.doc_id = t.doc_id join uni a on a.x = t.x join own o1 on o1.doc_id = t.doc_id and o1.x = t.x
+    left join bi on bi.before = t.before and bi.x = t.x left join own2 o2 on o2.doc_id = t.doc_id and o2.before = t.before and o2.x = t.x
+    left join uni z on z.x = t.before left join own o3 on o3.doc_id = t.doc_id and o3.x = t.before
+), u as (select *, (ut - ot + 0.5) / (nt + 0.5 * (v + 1)) as qt, (ub - ob + 0.5) / (nb + 0.5 * (v + 1)) as qb from c),
+p as (select doc_id, -ln(case when i = 0 then qt else (bt - pt + 5.0 * qt) / (zt - ct + 5.0) end) as lt, -ln(case when i = 0 then qb else (bb - pb + 5.0 * qb) / (zb - cb + 5.0) end) as lb from u),
+l as (select doc_id, avg(lt) as lt, avg(lb) as lb from p group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_tokens, round(lt, 6) as target_loss, round(lb, 6) as background_loss, round(lt - lb, 6) as score from d left join l using (doc_id)
+"""
+
+#: All pairs with a common shingle, then everything that links reach.
+OP9_SQL = WORDS_SQL.replace("with w as", "with recursive w as", 1).rstrip() + """, s as (
+  select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w
+), x as (select doc_id, len(s) as n, unnest(s) as t from s),
+links as (
+  select a.doc_id as a, b.doc_id as b from x a join x b on a.t = b.t and a.doc_id <> b.doc_id and 10 * a.n >= 9 * b.n and 10 * b.n >= 9 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach(a, b) as (select doc_id, doc_id from s union select reach.a, links.b from reach join links on reach.b = links.a),
+top as (select a, min(b) as c from reach group by a)
+select doc_id, cast(len(s) as bigint) as n_shingles, c as component_id from s join top on a = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_html_extraction": OP10_SQL, "op7_nearest_neighbours": OP7_SQL, "op4_mixing_sources": OP4_SQL, "op1_chat_formatting": OP1_SQL}
+    return {"op2_lm_scoring": OP2_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_html_extraction": OP10_SQL, "op7_nearest_neighbours": OP7_SQL, "op4_mixing_sources": OP4_SQL, "op1_chat_formatting": OP1_SQL}

@@ -1,10 +1,16 @@
 """The queries of the subpackage against their SQL, and the pipeline against brute force."""
 
+import base64
 import glob
+import hashlib
 import os
+from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
+import regex
+import xxhash
 
 import corpus_pipeline
 from stratalog.llm import queries as llm
@@ -30,6 +36,94 @@ def test_sql(spark, name):
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
 
 
+def test_encoding_of_the_whole_table(spark):
+    """op6 against the tiktoken library on every text."""
+    import public_tokenizers
+    import tiktoken
+
+    from stratalog.llm.bpe import ranks
+
+    code = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = code.encode_ordinary(r["text"] or "")
+        want[r["doc_id"]] = (len(ids), sha(np.array(ids, "<u4").tobytes()), sha((r["text"] or "").encode()))
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in llm.op6_byte_level_bpe(spark, SF).collect()} == want
+
+
+def test_classifier_of_the_whole_table(spark):
+    """op3 agrees with the labels far better than the larger class, and scores every row."""
+    sf = "/root/testdata/sf0.01"  # the smallest table has eleven bad labels
+    got = llm.op3_quality_classifier(spark, sf)
+    both = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("keep", "quality").collect()
+    share = sum(r["quality"] for r in both) / len(both)
+    right = sum(r["keep"] == (r["quality"] == 1) for r in both) / len(both)
+    assert right >= 0.97 > max(share, 1 - share) + 0.02
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+
+
+def test_derivatives_of_the_whole_table(spark):
+    """op5: two linked records per page, whose digests are those of its html and of the blocks."""
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = llm.op5_warc_derivatives(spark, SF).collect()
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    assert Counter((r["page_id"], r["type"]) for r in rows) == Counter((i, t) for i in pages for t in ("metadata", "conversion"))
+    links = defaultdict(set)
+    for r in rows:
+        page = pages[r["page_id"]]
+        links[r["page_id"]].add(r["refers_to"])
+        assert r["source_digest"] == sha1((page["html"] or "").encode()) and r["target_uri"] == page["url"] and r["record_bytes"] > 0
+    assert all(len(x) == 1 for x in links.values()) and len({r["record_id"] for r in rows}) == len(rows)
+
+
+def test_fingerprints_of_the_whole_table(spark):
+    """op8 against brute force with the band of production."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in llm.op8_document_fingerprints(spark, SF).collect()}
+    want = brute_fingerprints(texts, 0.001, 0.2)
+    assert {i: tuple(got[i][c] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")) for i in texts} == {i: v[:4] for i, v in want.items()}
+    assert all(got[i]["near_edited"] == pytest.approx(want[i][4]) and got[i]["near_next"] == pytest.approx(want[i][5]) for i in texts)
+
+
+def brute_fingerprints(texts, low, high):
+    split = lambda t: [w for w in dict.fromkeys(regex.split(r"[^\p{L}\p{N}]+", t.lower())) if w]
+    number = lambda w: xxhash.xxh64(w.encode(), seed=42).intdigest()
+    signed = lambda n: n - (1 << 64) if n >= 1 << 63 else n
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    sets = {frozenset(split(t)) for t in texts.values()}
+    counts = Counter(w for s in sets for w in s)
+    band = {w for w, n in counts.items() if low * len(sets) <= n <= high * len(sets)}
+    lexicon = {number(w) for w in band}
+    packed = lambda ns: sha(",".join(map(str, ns)))[:16] if ns else "0"
+
+    def fingerprint(text):
+        words = split(text)
+        inside = {n for n in map(number, words) if n in lexicon}
+        few = len(inside) < 0.25 * len(words)
+        chosen = sorted(map(number, words) if few else inside, key=signed)
+        some = [signed(n) for n in chosen]
+        plain = sha(" ".join(sorted({*regex.split(r"[^\p{L}\p{N}]+", text.lower())}, key=lambda w: w.encode())))[:16]
+        parts = [packed([n for n in some if (n >> shift) & (rate - 1) == 0]) for rate in (16, 32, 64, 128, 256, 512) for shift in (0, 14, 28, 42)]
+        return "-".join([packed(some) if some and not few else plain, *parts])
+
+    def like(a, b):
+        pairs = [(x, y) for x, y in zip(a.split("-"), b.split("-"), strict=True) if x != "0" or y != "0"]
+        return 1.0 if a == b else sum(x == y for x, y in pairs) / len(pairs)
+
+    ids, out = sorted(texts), {}
+    edited = {}
+    for at, i in enumerate(ids):
+        t, after = texts[i], texts[ids[(at + 1) % len(ids)]]
+        cut = len(t) // 4
+        edited[i] = t[: len(t) - cut] + after[:cut]
+    own = {i: fingerprint(texts[i]) for i in ids}
+    for at, i in enumerate(ids):
+        e = fingerprint(edited[i])
+        out[i] = (len(texts[i]), sha(edited[i]), own[i], e, like(own[i], e), like(own[i], own[ids[(at + 1) % len(ids)]]))
+    return out
+
+
 def test_pipeline(spark):
     import public_tokenizers
     import tiktoken
