@@ -10,6 +10,7 @@ with the token-byte table, whose size is the vocabulary's; it is broadcast.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 import zlib
@@ -181,6 +182,7 @@ def _blocks(docs: DataFrame, pattern: str, size: int, shards: int) -> DataFrame:
     return docs.mapInArrow(run, "block long, shard int, pack binary")
 
 
+@functools.lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
     """The ranks of a .tiktoken file."""
     with open(path, "rb") as f:

@@ -149,11 +149,19 @@ def _matrix(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return column("text_view").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(TEXT_FEATURES)), meta_features(column("lang"), column("source"), column("n_chars"))
 
 
+def _collected(rows: DataFrame) -> pa.Table:
+    """A bounded number of rows on the driver. They are written first, so that tasks hand their candidates to one another and not to
+    the driver; and they come as rows, since Arrow's pooled memory would stay with the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return pa.Table.from_pylist([r.asDict() for r in written(rows).collect()], to_arrow_schema(rows.schema))
+
+
 def cotrain(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS, pseudo_rows: int = PSEUDO_ROWS, rounds: int = ROUNDS, sure: float = SURE) -> QualityModel:
     """The model from a feature table and labels (id_col, label_col 0 or 1). Other labels and nulls are ignored."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     order = F.xxhash64("id", F.lit(11))
-    got = table.join(known, "id").orderBy(order, "id").limit(fit_rows).toArrow()
+    got = _collected(table.join(known, "id").orderBy(order, "id").limit(fit_rows))
     y = got["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return QualityModel(None, None)
@@ -185,7 +193,7 @@ def cotrain(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
                          .where((F.col("p_text") >= sure) | (F.col("p_text") <= 1 - sure) | (F.col("p_meta") >= sure) | (F.col("p_meta") <= 1 - sure)))
         for teacher, pupil in (("p_text", "meta"), ("p_meta", "text")):
             for value, which in ((1.0, F.col(teacher) >= sure), (0.0, F.col(teacher) <= 1 - sure)):
-                rows = scored.where(which).orderBy(F.xxhash64("id", F.lit(13 + r)), "id").limit(pseudo_rows).toArrow()
+                rows = _collected(scored.where(which).orderBy(F.xxhash64("id", F.lit(13 + r)), "id").limit(pseudo_rows))
                 if rows.num_rows:
                     sets[pupil].append((_matrix(rows)[pupil == "meta"], np.full(rows.num_rows, value)))
 
