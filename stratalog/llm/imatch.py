@@ -107,14 +107,10 @@ def likeness(a: Column, b: Column) -> Column:
 def next_ids(ids: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
     """ids (id, n) with the next id, ascending (after the last: the first), and the previous row's n.
 
-    The order is cut at quantiles of the id into ranges of about bucket_rows rows; each range is a window of its own, and the
-    ranges' first and last rows are tied in a table of one row per range."""
-    rows = ids.count()
-    cuts = max(1, rows // bucket_rows)
-    bounds = ids.select(F.percentile_approx("id", [i / cuts for i in range(1, cuts)], 10_000)).first()[0] if cuts > 1 else []
-    bounds = sorted(set(bounds or []))
-    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else None
-    cut = ids.withColumn("r", F.size(F.filter(edges, lambda b: b < F.col("id"))) if bounds else F.lit(0))
+    Spark's range partitioning cuts the order into ranges of about bucket_rows rows, written with their numbers; each range is
+    a window of its own, and the ranges' first and last rows are tied in a table of one row per range."""
+    cuts = max(1, ids.count() // bucket_rows)
+    cut = written(ids.repartitionByRange(cuts, "id").withColumn("r", F.spark_partition_id()))
     w = Window.partitionBy("r").orderBy("id")
     inner = cut.withColumn("next", F.lead("id").over(w)).withColumn("prev", F.lag("id").over(w)).withColumn("prev_n", F.lag("n").over(w))
     ends = cut.groupBy("r").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max_by("n", "id").alias("hi_n"))
