@@ -1,6 +1,6 @@
 """Quality classifier by co-training on two views: the text, and the page's metadata.
 
-Each view has its own logistic model. In every round each model labels the unlabelled documents of which it is
+The text's view has counts of characters and words beside hashed words and word pairs. Each view has its own logistic model. In every round each model labels the unlabelled documents of which it is
 sure, and these join the other model's training rows. In the end both are calibrated on held-out labels and their
 log odds are added.
 """
@@ -16,13 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sums, text_slices, word_hashes, written
+from .common import mix, sums, text_slices, word_hashes, written
 
 #: Labelled rows that are fitted at most, pseudo-labels that a view hands over per round and class at most. Which ones they are
 #: goes by the hash of the id; the search for pseudo-labels and the scores cover all rows.
 FIT_ROWS, PSEUDO_ROWS, ROUNDS, SURE = 20_000, 2_000, 3, 0.97
-#: Buckets of the metadata view's hashed values.
-META = 128
+#: Buckets of the metadata view's hashed values; of the text view's hashed words and word pairs, and these buckets' ridge. It is
+#: strong, so that few labels teach counts of characters before words.
+META, WORDS, WORD_RIDGE = 128, 128, 30.0
 
 
 def _class(data: np.ndarray, chars: str) -> np.ndarray:
@@ -32,10 +33,23 @@ def _class(data: np.ndarray, chars: str) -> np.ndarray:
 
 
 TEXT_FEATURES = ("words", "upper", "digits", "symbols", "bangs", "bars", "stops", "distinct", "repeats", "word length", "lines", "wide")
+TEXT = len(TEXT_FEATURES) + WORDS
+
+
+def word_features(h: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Words and pairs of neighbours hashed into WORDS signed buckets, over the root of their number."""
+    before = np.r_[np.zeros(min(1, len(h)), np.uint64), h[:-1]]
+    words = np.diff(first)
+    before[first[:-1][words > 0]] = 0
+    out = np.zeros(len(words) * WORDS)
+    for grams in (h, mix(h * np.uint64(0x9FB21C651E98DF25) + before)):
+        code = rows * WORDS + (grams % np.uint64(WORDS)).astype(np.int64)
+        out += np.bincount(code, weights=1.0 - 2.0 * ((grams >> np.uint64(32)) & np.uint64(1)), minlength=len(out))
+    return out.reshape(-1, WORDS) / np.sqrt(np.maximum(2 * words, 1))[:, None]
 
 
 def text_features(column: pa.Array):
-    """Rows of TEXT_FEATURES for the texts of a column, some rows at a time; an empty text has zeros."""
+    """Rows of TEXT_FEATURES and word_features (float16) for the texts of a column, some rows at a time; an empty text has zeros."""
     for at, end, data, offsets in text_slices(column):
         n = np.diff(offsets).astype(float)
         h, first = word_hashes(data, offsets)
@@ -53,21 +67,22 @@ def text_features(column: pa.Array):
         w, b = np.maximum(words, 1), np.maximum(n, 1)
         wide = sums((data > 127).astype(np.int64), offsets).astype(float)
         share = lambda x: np.log1p(100 * x)
-        yield at, end, np.stack([
+        counts = np.stack([
             np.log1p(words), share(upper / np.maximum(upper + lower, 1)), share(of("0123456789") / b), share(of("#$%&*+<=>@^_~\\/") / b), share(of("!") / w), share(of("|") / w),
             share(of(".,;:") / w), sums(new, first) / w, share(sums(same, first) / w), np.log1p(n / w), share(of("\n") / w), share(wide / b),
         ], axis=1)
+        yield at, end, np.concatenate([counts, word_features(h, first, rows)], axis=1).astype(np.float16)
 
 
 def meta_features(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> np.ndarray:
     """Hashed one-hot values of language, source and the length's power of two. Each distinct value is hashed once."""
-    out = np.zeros((len(lang), META))
+    out = np.zeros((len(lang), META), np.uint8)
     size = np.frexp(np.maximum(pc.fill_null(n_chars, 0).to_numpy(zero_copy_only=False), 0).astype(float))[1]
     for kind, column in enumerate((lang, source, pa.array(size, pa.int64()))):
         code = column.dictionary_encode()
         known = code.dictionary.to_pylist()
         bucket = np.array([int.from_bytes(hashlib.blake2b(f"{kind}:{v}".encode(), digest_size=8).digest(), "little") % META for v in (*known, None)])
-        out[np.arange(len(out)), bucket[pc.fill_null(code.indices, len(known)).to_numpy(zero_copy_only=False)]] = 1.0
+        out[np.arange(len(out)), bucket[pc.fill_null(code.indices, len(known)).to_numpy(zero_copy_only=False)]] = 1
     return out
 
 
@@ -80,15 +95,17 @@ class Logistic:
     beta: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
-        mean, scale = x.mean(axis=0), x.std(axis=0)
+    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 1.0) -> Logistic:
+        mean, scale = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float)
         scale = np.where(scale > 1e-9, scale, 1.0)
-        z = np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]
+        z = np.ones((len(x), x.shape[1] + 1))
+        np.clip((x - mean) / scale, -8, 8, out=z[:, :-1])
+        ridge = np.broadcast_to(ridge, x.shape[1])
         beta = np.zeros(z.shape[1])
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-            g = z.T @ (p - y) + ridge * np.r_[beta[:-1], 0]
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(np.r_[np.full(len(beta) - 1, ridge), 1e-6]), g)
+            g = z.T @ (p - y) + np.r_[ridge * beta[:-1], 0]
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(np.r_[ridge, 1e-6]), g)
             beta -= np.clip(step, -4, 4)
             if np.abs(step).max() < 1e-6:
                 break
@@ -131,22 +148,23 @@ def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, text_view array<double>, lang, source, n_chars) of all rows."""
+    """(id, text_view, lang, source, n_chars) of all rows; text_view is a row of text_features as bytes."""
 
     def run(batches):
         for batch in batches:
             for at, end, x in text_features(batch.column(1)):
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * (2 * TEXT)), pa.py_buffer(x)])
                 some = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([some.column(0), lists, *(some.column(i) for i in (2, 3, 4))], ["id", "text_view", "lang", "source", "n_chars"])
+                yield pa.RecordBatch.from_arrays([some.column(0), packed, *(some.column(i) for i in (2, 3, 4))], ["id", "text_view", "lang", "source", "n_chars"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    return rows.mapInArrow(run, "id long, text_view array<double>, lang string, source string, n_chars long")
+    return rows.mapInArrow(run, "id long, text_view binary, lang string, source string, n_chars long")
 
 
 def _matrix(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     column = lambda c: x.combine_chunks() if isinstance(x := rows.column(rows.schema.get_field_index(c)), pa.ChunkedArray) else x
-    return column("text_view").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(TEXT_FEATURES)), meta_features(column("lang"), column("source"), column("n_chars"))
+    packed = np.concatenate([np.zeros(0, np.uint8), *(data for _, _, data, _ in text_slices(column("text_view")))])
+    return packed.view(np.float16).reshape(-1, TEXT), meta_features(column("lang"), column("source"), column("n_chars"))
 
 
 def _collected(rows: DataFrame) -> pa.Table:
@@ -174,8 +192,9 @@ def cotrain(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     spark = table.sparkSession
     unlabelled = table.join(known.select("id").distinct(), "id", "left_anti")
     rate = (y.sum() + 1) / (len(y) + 2)
+    text_ridge = np.r_[np.ones(len(TEXT_FEATURES)), np.full(WORDS, WORD_RIDGE)]
     for r in range(rounds + 1):
-        of_text, of_meta = (Logistic.fit(np.concatenate([x for x, _ in sets[v]]), np.concatenate([t for _, t in sets[v]])) for v in ("text", "meta"))
+        of_text, of_meta = (Logistic.fit(np.concatenate([x for x, _ in sets[v]]), np.concatenate([t for _, t in sets[v]]), ridge) for v, ridge in (("text", text_ridge), ("meta", 1.0)))
         # calibrated on held-out labels, a view that knows little is never sure and teaches nothing
         model = QualityModel(of_text, of_meta, _platt(of_text.logit(text[held]), y[held]), _platt(of_meta.logit(meta[held]), y[held]), float(np.log(rate / (1 - rate))))
         if r == rounds:
@@ -189,7 +208,7 @@ def cotrain(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sigmoid(a)), pa.array(_sigmoid(b))], [*batch.schema.names, "p_text", "p_meta"])
 
         sets = {"text": sets["text"][:1], "meta": sets["meta"][:1]}
-        scored = written(unlabelled.mapInArrow(run, "id long, text_view array<double>, lang string, source string, n_chars long, p_text double, p_meta double")
+        scored = written(unlabelled.mapInArrow(run, "id long, text_view binary, lang string, source string, n_chars long, p_text double, p_meta double")
                          .where((F.col("p_text") >= sure) | (F.col("p_text") <= 1 - sure) | (F.col("p_meta") >= sure) | (F.col("p_meta") <= 1 - sure)))
         for teacher, pupil in (("p_text", "meta"), ("p_meta", "text")):
             for value, which in ((1.0, F.col(teacher) >= sure), (0.0, F.col(teacher) <= 1 - sure)):

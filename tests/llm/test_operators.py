@@ -417,6 +417,30 @@ def test_quality_of_odd_rows(spark):
     assert len({tuple(round(v, 9) for v in x) for x in got if x["doc_id"] == 1000}) == 1
 
 
+def test_quality_by_words_alone(spark):
+    """Texts that differ in their words only, not in any count of characters, are told apart by the text view."""
+    r = random.Random(4)
+    kinds = (["abide", "bacon", "cedar", "delve", "eagle"], ["fable", "gavel", "haste", "ideal", "jelly"])
+    rows = [(i, " ".join(r.choice(kinds[i % 2]) for _ in range(30)), "en", "web", 179) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 300)], "doc_id long, quality int")
+    got = quality_scores(table, labels).where("doc_id >= 300").collect()
+    assert len(got) == 300 and all((g["p_text"] > 0.8) == (g["doc_id"] % 2 == 1) and (g["p_text"] < 0.2) == (g["doc_id"] % 2 == 0) for g in got)
+
+
+def test_next_ids_over_many_ranges(spark):
+    """Each id's neighbours come right across the ends of ranges, for few and many rows in one."""
+    from stratalog.llm.imatch import next_ids
+
+    r = random.Random(8)
+    ids = sorted(r.sample(range(-(10**6), 10**6), 700))
+    table = spark.createDataFrame([(i, i % 97) for i in r.sample(ids, len(ids))], "id long, n long")
+    for bucket_rows in (7, 350, 10_000):
+        got = {x["id"]: (x["n"], x["next"], x["prev"], x["prev_n"]) for x in next_ids(table, bucket_rows).collect()}
+        assert got == {i: (i % 97, ids[(k + 1) % len(ids)], ids[k - 1], ids[k - 1] % 97) for k, i in enumerate(ids)}, bucket_rows
+    assert next_ids(table.limit(0)).count() == 0
+
+
 def test_long_texts_are_cut_between_words():
     """Pieces of any size give the same words."""
     r = random.Random(6)
