@@ -179,7 +179,9 @@ def cotrain(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     """The model from a feature table and labels (id_col, label_col 0 or 1). Other labels and nulls are ignored."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     order = F.xxhash64("id", F.lit(11))
-    got = _collected(table.join(known, "id").orderBy(order, "id").limit(fit_rows))
+    # one join tells labelled rows from the others, for all rounds
+    marked = written(table.join(known, "id", "left"))
+    got = _collected(marked.where("y is not null").orderBy(order, "id").limit(fit_rows))
     y = got["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return QualityModel(None, None)
@@ -190,7 +192,7 @@ def cotrain(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     fit = ~held if not held.all() else held
     sets = {"text": [(text[fit], y[fit])], "meta": [(meta[fit], y[fit])]}
     spark = table.sparkSession
-    unlabelled = table.join(known.select("id").distinct(), "id", "left_anti")
+    unlabelled = marked.where("y is null").drop("y")
     rate = (y.sum() + 1) / (len(y) + 2)
     text_ridge = np.r_[np.ones(len(TEXT_FEATURES)), np.full(WORDS, WORD_RIDGE)]
     for r in range(rounds + 1):
