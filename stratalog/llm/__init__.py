@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs over documents, pages, embeddings and conversations.
+"""Training-data operators: thirteen Spark jobs over documents, pages, embeddings and conversations.
 
 Nothing else in the library imports this subpackage.
 """

@@ -107,6 +107,29 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, most:
     return mix(h + (e - s).astype(np.uint64)), np.searchsorted(s, offsets)
 
 
+def joined_words(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, drop: np.ndarray | None = None) -> pa.Array:
+    """Per row its words (first: each row's first word, with an end) that are not dropped, joined by one space."""
+    n = len(data)
+    word = (data != 32) & ((data < 9) | (data > 13))
+    lead = word.copy()
+    lead[1:] &= ~word[:-1]
+    inner = offsets[:-1][np.diff(offsets) > 0]
+    lead[inner] = word[inner]  # a row's first byte starts a word whatever comes before
+    keep = word
+    kept = np.arange(first[-1])
+    if drop is not None and drop.any():
+        keep = word & ~drop[np.maximum(np.cumsum(lead) - 1, 0)]
+        kept = np.flatnonzero(~drop)
+    rows = np.searchsorted(first, kept, "right") - 1
+    tail = np.flatnonzero(word & np.r_[~word[1:] | lead[1:], True]) if n else kept
+    space = tail[kept[:-1][rows[1:] == rows[:-1]]] + 1  # after a word that another kept one follows in the row
+    out = data.copy()
+    out[space] = 32
+    keep[space] = True
+    to = np.r_[0, np.cumsum(keep)][offsets].astype(np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(to.tobytes()), pa.py_buffer(out[keep].tobytes()))
+
+
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Per run of rows: (first row, end row, sorted distinct k-word shingle hashes of all rows, row offsets).
 

@@ -14,7 +14,10 @@ from .jaccard import jaccard_components
 from .lm_score import cross_entropy_difference
 from .mixing import mix_sources
 from .quality import quality_scores
+from .runs import periodic_runs, repeated_tails
+from .simhash import simhash_components
 from .warc import derivatives, page_responses
+from .whiten import grid, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +74,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_articles(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(grid(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64, shift=1_000_000), components=32)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeated_tails(table(spark, sf_dir, "documents")), min_length=6, min_exponent=4)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"), F.col("best.p").alias("period"),
+        F.expr("-1000 * best.l div best.p").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), k=4, radius=4)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -195,5 +216,35 @@ select doc_id, cast(len(s) as bigint) as n_shingles, c as component_id from s jo
 """
 
 
+#: All pairs of equal words of a text up to a quarter of its length apart, their stretches, the smallest period of each.
+OP12_SQL = """
+with crc as (
+  select doc_id, coalesce(text, '') as t, list_reduce(
+    list_concat([cast(4294967295 as bigint)], list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+    lambda c, x: list_reduce(list_concat([xor(c, x)], list_transform(range(8), lambda z: cast(0 as bigint))),
+      lambda a, z: case when a % 2 = 1 then xor(a // 2, cast(3988292384 as bigint)) else a // 2 end)) as c
+  from documents
+), hashed as (select doc_id, t, xor(c, cast(4294967295 as bigint)) as h from crc),
+split as (select doc_id, h, h // 10 as g, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from hashed),
+cut as (select *, case when len(w) > 0 then g % len(w) end as a from split),
+tail as (select *, 1 + (len(w) - a) // (3 + g % 8) as p from cut),
+made as (
+  select doc_id, case when h % 10 = 0 and len(w) > 0 then list_transform(range(len(w)), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) else w end as w from tail
+), t as (select doc_id, len(w) as n, unnest(w) as x, unnest(range(len(w))) as i from made),
+equal as (select s.doc_id, s.i, o.i - s.i as q from t s join t o on s.doc_id = o.doc_id and s.x = o.x and o.i > s.i and 4 * (o.i - s.i) <= s.n),
+stretch as (select *, i - row_number() over (partition by doc_id, q order by i) as g from equal),
+found as (select doc_id, q, min(i) as s, count(*) + q as l from stretch group by doc_id, q, g having count(*) + q >= greatest(6, 4 * q)),
+runs as (select doc_id, s, l, min(q) as q from found group by doc_id, s, l),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) as i from runs),
+kept as (select t.doc_id, string_agg(x, ' ' order by t.i) as c from t left join gone on gone.doc_id = t.doc_id and gone.i = t.i where gone.i is null group by t.doc_id),
+sums as (
+  select doc_id, count(*) as n, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as r, min(struct_pack(l := -l, s := s, q := q)) as b from runs group by doc_id
+)
+select doc_id, coalesce(n, 0) as n_runs, b.s as "start", -b.l as "length", b.q as period, -1000 * b.l // b.q as exponent_milli,
+  sha256(coalesce(r, '')) as runs_sha256, sha256(coalesce(c, '')) as collapsed_sha256
+from made left join sums using (doc_id) left join kept using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lm_scoring": OP2_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_html_extraction": OP10_SQL, "op7_nearest_neighbours": OP7_SQL, "op4_mixing_sources": OP4_SQL, "op1_chat_formatting": OP1_SQL}
+    return {"op12_periodic_runs": OP12_SQL, "op2_lm_scoring": OP2_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_html_extraction": OP10_SQL, "op7_nearest_neighbours": OP7_SQL, "op4_mixing_sources": OP4_SQL, "op1_chat_formatting": OP1_SQL}

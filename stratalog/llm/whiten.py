@@ -32,7 +32,8 @@ def grid(vectors: DataFrame, scale: float = 64.0, shift: int = 1_000_000, id_col
     v = F.col("v")
     fits = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * abs(scale) + abs(shift) < F.lit(float(BOUND)))
     rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
-    whole = F.transform(v, lambda c: F.floor(c * F.lit(float(scale))) + F.lit(shift).cast("long"))
+    # a filter may be moved behind this: no entry overflows
+    whole = F.transform(v, lambda c: F.when(fits(c), F.floor(c * F.lit(float(scale)))) + F.lit(shift).cast("long"))
     return rows.where(v.isNotNull() & F.forall(v, fits)).select(F.col("i").alias(id_col), whole.alias("x"))
 
 
