@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
+from numbers import Integral, Rational, Real
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +35,9 @@ def whole_parts(weights: dict[str, float], most: int = MOST_PERIOD) -> dict[str,
     the period would be longer than `most` slots; then the nearest parts out of `most`, one each at least, so that a share is off by
     1 / most at the utmost. A weight that is not a positive finite number is an error."""
     for s, w in weights.items():
-        if not (isinstance(w, int | float | Fraction) and math.isfinite(w) and w > 0):
+        if not (isinstance(w, Real) and math.isfinite(w) and w > 0):
             raise ValueError(f"the weight of {s!r} is not a positive number: {w!r}")
-    exact = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in weights.items()}
+    exact = {s: Fraction(int(w)) if isinstance(w, Integral) else Fraction(w) if isinstance(w, Rational) else Fraction(str(float(w))) for s, w in weights.items()}
     scale = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
     parts = {s: int(w * scale) for s, w in exact.items()}
     common = math.gcd(*parts.values()) if parts else 1
@@ -47,30 +48,46 @@ def whole_parts(weights: dict[str, float], most: int = MOST_PERIOD) -> dict[str,
 
 def pfair_period(spark: SparkSession, parts: dict[str, int]) -> DataFrame:
     """(source, nth, slot) for one period of sum(parts) slots: earliest deadline first among released blocks, ties by
-    source. After any number of slots of repeated periods each source has run less than one block more or less than its weight's share."""
+    source. After any number of slots of repeated periods each source has run less than one block more or less than its weight's share.
+
+    Sources of equal parts have equal windows, so they run in turn, by name: the fold's state is a number per distinct part, of
+    which there are at most sqrt(2 * period), and its choice the source whose turn it is. All of it is in exact longs."""
     names, period = sorted(parts), sum(parts.values())
-    one = spark.range(1).select(F.array(*[F.lit(parts[s]).cast("double") for s in names]).alias("p") if names else F.array().cast("array<double>").alias("p"))
+    groups: dict[int, list[int]] = {}
+    for i, s in enumerate(names):
+        groups.setdefault(parts[s], []).append(i)
+    sizes = sorted(groups)
+    data = [(sizes, [groups[p] for p in sizes])] if names else []
+    one = spark.createDataFrame(data, "p array<long>, who array<array<int>>")
+    div = lambda x, y: F.call_function("div", x, y)
+    whole = F.lit(period).cast("long")
 
     def step(state: Column, t: Column) -> Column:
-        # released: floor(ran / w) <= t; deadline: ceil((ran + 1) / w); w = part / period
-        ran = lambda i: F.element_at(state["ran"], i + 1)
-        live = F.transform("p", lambda p, i: F.when(F.floor(ran(i) * period / p) <= t, F.struct(F.ceil((ran(i) + 1) * period / p).alias("deadline"), (i + 1).alias("i"))))
-        # an array of one binds the choice, so that it is made once a slot and not once a source
-        best = F.array(F.array_min(F.filter(live, lambda x: x.isNotNull()))["i"])
-        return F.transform(best, lambda k: F.struct(F.transform(state["ran"], lambda r, i: F.when(i + 1 == k, r + 1).otherwise(r)).alias("ran"), F.concat(state["order"], F.array(k)).alias("order")))[0]
+        # of a group's next block: floor(done / w) <= t releases it, ceil((done + 1) / w) is its deadline; w = part / period
+        def next_block(p: Column, g: Column) -> Column:
+            ran, members = F.get(state["ran"], g), F.get(F.col("who"), g)
+            done = div(ran, F.size(members).cast("long"))
+            turn = F.get(members, (ran % F.size(members)).cast("int"))
+            return F.when(div(done * whole, p) <= t, F.struct(div((done + 1) * whole + p - 1, p).alias("deadline"), turn.alias("source"), g.alias("g")))
+
+        live = F.transform("p", next_block)
+        # an array of one binds the choice, so that it is made once a slot and not once a group
+        best = F.array(F.array_min(F.filter(live, lambda x: x.isNotNull())))
+        moved = lambda k: F.transform(state["ran"], lambda r, g: F.when(g == k["g"], r + 1).otherwise(r))
+        return F.transform(best, lambda k: F.struct(moved(k).alias("ran"), F.concat(state["order"], F.array(k["source"])).alias("order")))[0]
 
     def run(state: Column, at: Column) -> Column:
         # an inner fold per FOLD slots: its order is copied once
         start = F.struct(state["ran"].alias("ran"), F.array().cast("array<int>").alias("order"))
-        slots = F.sequence(at, F.least(at + FOLD, F.lit(period)) - 1)
+        slots = F.sequence(at, F.least(at + FOLD, whole) - 1)
         return F.aggregate(slots, start, step, lambda x: F.struct(x["ran"].alias("ran"), F.concat(state["orders"], F.array(x["order"])).alias("orders")))
 
-    zero = F.struct(F.transform("p", lambda x: F.lit(0)).alias("ran"), F.array().cast("array<array<int>>").alias("orders"))
-    folds = F.sequence(F.lit(0), F.lit(max(period, 1) - 1), F.lit(FOLD)) if period else F.array().cast("array<int>")
+    zero = F.struct(F.transform("p", lambda x: F.lit(0).cast("long")).alias("ran"), F.array().cast("array<array<int>>").alias("orders"))
+    folds = F.sequence(F.lit(0).cast("long"), F.greatest(whole, F.lit(1)) - 1, F.lit(FOLD).cast("long"))
     done = one.select(F.flatten(F.aggregate(folds, zero, run, lambda x: x["orders"])).alias("order"))
-    source = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("i")) if names else F.lit("")
-    slots = done.select(F.posexplode("order").alias("slot", "i")).select(source.alias("source"), "slot")
-    return slots.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).alias("nth"), "slot")
+    slots = done.select(F.posexplode("order").alias("slot", "i"))
+    named = spark.createDataFrame(list(enumerate(names)), "i int, source string")
+    return slots.join(named, "i").select("source", (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).alias("nth"), "slot")
 
 
 def mix_sources(
@@ -88,7 +105,7 @@ def mix_sources(
     again gives the same places. Null sources are one source ''. Sources without a weight count as the smallest weight
     given; weights of sources that are not there count for nothing. Columns of docs named mix_* are replaced. Numbering a source takes no sorted pass over it: ids are hashed
     to buckets of about bucket_rows rows, and bucket sizes are added up in two levels. There may be any number of sources; their
-    sizes are read to the driver, and the fold takes a period's slots times sources steps."""
+    sizes are read to the driver, and the fold takes a period's slots times distinct parts steps, in one task; neither grows with the rows of a source."""
     docs = docs.drop("mix_block", "mix_slot", "mix_pos")
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     found = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n"), F.count(id_col).alias("known")).collect()
@@ -101,7 +118,7 @@ def mix_sources(
     period = sum(parts.values()) or 1
     buckets = max(1, -(-rows // bucket_rows))
     slots = pfair_period(docs.sparkSession, parts).select(F.col("source").alias("__s"), F.col("nth").alias("__nth"), F.col("slot").alias("__slot"))
-    shares = docs.sparkSession.createDataFrame(sorted(parts.items()) or [("", 1)], "__s string, __share int")
+    shares = docs.sparkSession.createDataFrame(sorted(parts.items()) or [("", 1)], "__s string, __share long")
 
     hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     whole = F.xxhash64(*hashed) if hashed else F.lit(0)
@@ -121,5 +138,5 @@ def mix_sources(
     block = at.withColumn("mix_block", F.floor(F.col("__n") / block_rows)).withColumn("mix_pos", (F.col("__n") % block_rows).cast("int"))
     near = lambda x, n: F.broadcast(x) if n <= most_broadcast else x
     weighed = block.join(near(shares, len(parts)), "__s")
-    placed = weighed.withColumn("__nth", (F.col("mix_block") % F.col("__share")).cast("int")).join(near(slots, period), ["__s", "__nth"])
+    placed = weighed.withColumn("__nth", F.col("mix_block") % F.col("__share")).join(near(slots, period), ["__s", "__nth"])
     return placed.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("__share")) * period + F.col("__slot")).select(*docs.columns, "mix_block", "mix_slot", "mix_pos")

@@ -459,3 +459,27 @@ def test_packed_numbers():
     edges = np.array([0, LOW - 1, LOW, LOW + 255, LOW + 256, MIDDLE - 1, MIDDLE, MIDDLE + 65535, MIDDLE + 65536, HIGH - 1, HIGH, HIGH + 1, 1 << 40])
     for values in (edges, edges[:0], edges[:1]):
         assert _unnumbers(_numbers(values)).tolist() == values.tolist()
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.61803, "b": 0.38197}, {"a": 500000, "b": 300001, "c": 199999}, {"a": np.float32(0.5), "b": np.int64(1), "c": Fraction(1, 3)}])
+def test_pfair_long_periods(spark, weights):
+    """Periods of up to a million slots, numbers of any kind: at every slot each source is less than one block off its exact share."""
+    parts = whole_parts(weights)
+    period = sum(parts.values())
+    rows = pfair_period(spark, parts).toPandas().sort_values("slot")
+    assert rows["slot"].tolist() == list(range(period))
+    for s, n in parts.items():
+        ran = np.cumsum((rows["source"] == s).to_numpy(np.int64))
+        off = np.abs(ran * period - n * (np.arange(period, dtype=np.int64) + 1))
+        assert off.max() < period and ran[-1] == n
+
+
+def test_pfair_of_very_many_sources(spark):
+    """Fifty thousand sources, one of half the weight: no source is ever a block off."""
+    weights = {f"s{i:05d}": 1 for i in range(50_000)} | {"hot": 50_000}
+    rows = pfair_period(spark, whole_parts(weights)).toPandas().sort_values("slot")
+    hot = np.cumsum((rows["source"] == "hot").to_numpy(np.int64))
+    slot = np.arange(100_000) + 1
+    assert len(rows) == 100_000 and (np.abs(2 * hot - slot) < 2).all()
+    others = rows[rows["source"] != "hot"]
+    assert others["source"].is_unique and others["nth"].eq(0).all()
