@@ -33,7 +33,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, blocks: int, bodies: bool) -> DataFrame:
-    """Per row (id, n, h1, h2); with bodies, per set that a task meets first (block, h1, h2, n, body)."""
+    """Per row (id, row, n, h1, h2), row being a hash of it; with bodies, per set that a task meets first (block, h1, h2, n, body)."""
 
     def run(batches):
         seen: set = set()
@@ -45,7 +45,7 @@ def _sets(docs: DataFrame, k: int, blocks: int, bodies: bool) -> DataFrame:
                 h2 = sums(mix(tokens + np.uint64(0x2545F4914F6CDD1D)), offsets)
                 if not bodies:
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, end - at), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["id", "n", "h1", "h2"]
+                        [ids.slice(at, end - at), batch.column(2).slice(at, end - at), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["id", "row", "n", "h1", "h2"]
                     )
                     continue
                 keep = []
@@ -60,7 +60,7 @@ def _sets(docs: DataFrame, k: int, blocks: int, bodies: bool) -> DataFrame:
                     ["block", "h1", "h2", "n", "body"],
                 )
 
-    schema = "block long, h1 long, h2 long, n long, body binary" if bodies else "id long, n long, h1 long, h2 long"
+    schema = "block long, h1 long, h2 long, n long, body binary" if bodies else "id long, row long, n long, h1 long, h2 long"
     return docs.mapInArrow(run, schema)
 
 
@@ -177,33 +177,39 @@ def _hash(*cols) -> F.Column:
     return F.xxhash64(*cols)
 
 
+def _labelled(docs: DataFrame, row: F.Column, id_col: str, text_col: str, k: int, percent: int, block: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(id, row, n, h1, h2) per row of docs, and per distinct set (h1, h2, low, label): its smallest id, and a number that it shares
+    with all sets that links reach from it. Sets, not ids, are linked, so a repeated id ties nothing and a null one loses nothing."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
+    flat = written(_sets(docs, k, 1, bodies=False))
+    alike = flat.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("low")).withColumn("node", _hash("h1", "h2"))
+    tokens = flat.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, math.ceil(tokens / block))
+    bits = min(8 * WIDTH, max(32, int(tokens).bit_length() + 6))
+    base = _sets(docs.drop("row"), k, blocks, bodies=True)
+    found = written(_candidates(base, _counts(base, blocks, bits), percent, bits))
+    nodes = written(found.select(_hash("h1", "h2").alias("id"), "n", "body", "prefix", _hash("n", "prefix").alias("g")))
+    reached = connected_components(_links(nodes, percent, chunk))
+    return flat, alike.join(reached, F.col("node") == F.col("id"), "left").select("h1", "h2", "low", F.coalesce("component", "node").alias("label"), F.col("component").isNotNull().alias("tied"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(id_col, n_shingles, component_id), one row per row of docs.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lowered. A row's set is its distinct k-word shingles; with fewer words
     the whole sequence is one shingle. Rows link when 100 * intersection >= percent * union; component_id is the
     smallest id reachable. Null, empty and blank texts have no shingle and are alone with their own id. Repeated
-    texts share a component. A repeated id is reported once per row; a null id is carried and never is the
+    texts share a component. A repeated id is reported once per row, and does not link its rows; a null id is carried, takes part in links, and never is the
     smallest while another one is there. Other columns are not read, so their names cannot clash. Sets are compared by
-    64-bit shingle hashes, cut to 48 bits in verification."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    flat = written(_sets(docs, k, 1, bodies=False))
-    alike = flat.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.count("*").alias("rows"))
-    tokens = flat.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, math.ceil(tokens / block))
-    bits = min(8 * WIDTH, max(32, int(tokens).bit_length() + 6))
-    base = _sets(docs, k, blocks, bodies=True)
-    found = written(_candidates(base, _counts(base, blocks, bits), percent, bits))
-    nodes = written(
-        found.join(alike.select("h1", "h2", "node"), ["h1", "h2"]).where("node is not null")
-        .select(F.col("node").alias("id"), "n", "body", "prefix", _hash("n", "prefix").alias("g"))
-    )
-    links = _links(nodes, percent, chunk)
-    reached = connected_components(links)
-    part = alike.join(reached, F.col("node") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+    64-bit shingle hashes, cut to 48 bits in verification, and named by 64-bit hashes."""
+    flat, sets = _labelled(docs, F.lit(0).cast("long"), id_col, text_col, k, percent, block, chunk)
+    sets = written(sets)
+    tied = sets.where("tied")
+    best = tied.groupBy("label").agg(F.min("low").alias("best"))
+    part = tied.join(best, "label").select("h1", "h2", "best").union(sets.where("not tied").select("h1", "h2", "low"))
     return flat.join(part.withColumn("some", F.lit(True)), ["h1", "h2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when((F.col("n") > 0) & F.col("some"), F.col("component")).otherwise(F.col("id")).alias("component_id"),
+        F.when((F.col("n") > 0) & F.col("some"), F.col("best")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
@@ -247,9 +253,28 @@ def _links(nodes: DataFrame, percent: int, chunk: int) -> DataFrame:
     return links.union(_verify(side("p"), side("q"), percent))
 
 
-def jaccard_dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns: one text of each group
-    of near copies stays (five-word shingles, similarity 0.8). Rows with a null id stay."""
-    part = jaccard_components(docs, id_col, text_col, k, percent)
-    gone = part.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+def jaccard_dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each group of near copies stays (five-word shingles, similarity 0.8).
+
+    Rows count, not ids: the row of the smallest id stays, of equal ids that of the smallest row hash, and rows without an id
+    only where the group has no other. Of rows that are equal in all columns one stays. Texts without words are no group, so all their rows stay. An id on two different
+    texts is two documents. Rows are told apart by a 64-bit hash of their columns, maps and variants left out."""
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    row = F.xxhash64(*hashed, F.lit(k))
+    flat, sets = _labelled(docs, row, id_col, text_col, k, percent, block, chunk)
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    # equal sets first, so that no group of copies is joined or sorted as a whole
+    first = flat.where("n > 0").groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("rows"))
+    part = written(sets.join(first, ["h1", "h2"]).select("h1", "h2", "label", "first", "rows"))
+    stays = part.groupBy("label").agg(F.min("first").alias("stays"), F.sum("rows").alias("rows")).where("rows > 1")
+    groups = part.drop("rows").join(stays, "label").select("h1", "h2", "stays")
+    stay = F.col("row").eqNullSafe(F.col("stays.row")) & F.col("id").eqNullSafe(F.col("stays.id"))
+    pick = written(flat.where("n > 0").join(groups, ["h1", "h2"]).groupBy("id", "row").agg(F.first(stay).alias("stay"), F.count("*").alias("times")))
+    body, text = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]), F.col(id_col).cast("long")
+    whole = docs.select(body.alias("body"), text.alias("id"), row.alias("row"))
+    same = lambda other: whole["row"].eqNullSafe(other["row"]) & whole["id"].eqNullSafe(other["id"])
+    gone, twice = pick.where("not stay"), pick.where("stay and times > 1")
+    left = whole.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():
+        left = left.join(twice, same(twice), "left_anti").union(left.join(twice, same(twice), "left_semi").dropDuplicates(["id", "row"]))
+    return left.select(*[F.col(f"body.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -91,6 +91,33 @@ def test_jaccard_dedupe(docs, none):
     assert jaccard_components(none).count() == 0
 
 
+def brute_dedupe(rows, k=5, percent=80):
+    """Rows (id, text, more) that stay: per group of linked rows the first by id, nulls last, and one of equal rows; rows without words."""
+    component = brute_components([(i, r[1]) for i, r in enumerate(rows)], k, percent)
+    groups = defaultdict(list)
+    for i, (n, c) in component.items():
+        groups[c if n else (i,)].append(rows[i])
+    return sorted(((min((r[0] for r in g if r[0] is not None), default=None), lower(g[0][1] or "")[:3]) for g in groups.values()), key=str)
+
+
+def test_jaccard_dedupe_goes_by_row(spark, none):
+    """Repeated and null ids, equal rows and clashing columns: one row of each group, none of another text goes with it."""
+    base = " ".join(f"w{i}" for i in range(60))
+    other, third = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    cases = [
+        [(0, base, 1), (1, base, 1), (1, other, 1)], [(5, third, 1), (5, third, 1)], [(5, third, 1), (5, third, 2)],
+        [(None, base, 1), (None, base + " more", 1), (None, other, 1)], [(None, base, 1), (9, base + " more", 1)], [(7, None, 1), (7, "", 1), (7, " ", 1), (7, None, 1)], [(2, base, 1), (2, other, 1), (2, third, 1)],
+    ]
+    for rows in [cases[0], cases[3] + cases[5], [r for c in cases for r in c]]:
+        table = spark.createDataFrame(rows, "doc_id long, text string, `__gone` int").withColumn("row", F.lit("x")).withColumn("a.b", F.lit(1))
+        got = jaccard_dedupe(table)
+        assert got.columns == table.columns
+        assert sorted(((r["doc_id"], lower(r["text"] or "")[:3]) for r in got.collect()), key=str) == brute_dedupe(rows), rows
+    assert jaccard_dedupe(none).count() == 0
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_components(spark.createDataFrame([r[:2] for r in cases[0]] + [(None, base + " m")], "doc_id long, text string"), k=5, percent=80).collect()), key=str)
+    assert got == [(0, 0), (1, 0), (1, 1), (None, 0)]  # an id on two texts links nothing
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r["id"]: r["component"] for r in connected_components(links).collect()}
