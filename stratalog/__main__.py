@@ -39,13 +39,13 @@ def run(args: list[str], out=None, err=None, spark=None) -> int:
 
         from .plans.detect import detect
         from .plans.report import json_report, text_report
-        from .sources.tree import read_tree
+        from .sources.tree import list_tree
         from .storage import kept
 
         spark = spark or SparkSession.builder.appName("stratalog").getOrCreate()
         root = os.path.abspath(given.path)
         try:
-            manifests = kept(detect(read_tree(spark, root, ignore_list(given.ignore)), rules, ignored=()))
+            manifests = kept(detect(list_tree(spark, root, ignore_list(given.ignore)), rules, ignored=()))
             for part in [json_report(manifests, root)] if given.json else text_report(manifests, root, given.show_empty):
                 out.write(part)
         except PySparkException as e:

@@ -7,6 +7,7 @@ paths, lockfiles) is then filters, joins and groups over one table, whatever the
 from __future__ import annotations
 
 import json
+import re
 import tomllib
 from xml.parsers import expat
 
@@ -16,12 +17,15 @@ from pyspark.sql import DataFrame
 
 from ..functions.paths import I, K
 
-#: Nodes per Arrow batch that a task hands on.
+#: Levels of a YAML document at most, as in its usual libraries; nodes per Arrow batch that a task hands on.
+MOST_DEEP = 10_000
+#: Bytes of an XML document that are parsed at a time.
+PIECE = 65_536
 BATCH_NODES = 20_000
 NODES = "root string, path string, ordinal int, parser string, at string, kind string, value string, size int"
 #: A node: place, kind (object, array, string, int, float, bool, null, other, error), text, number of children.
 Node = tuple[str, str, str | None, int]
-#: What of a document is asked for: steps from the top at most, and keys of the top (None: all). None is everything.
+#: What of a document is asked for: steps from the top at most, and keys of the top (of XML: places; None: all). None is everything.
 Reach = tuple[int, frozenset[str] | None] | None
 
 
@@ -80,8 +84,22 @@ _Loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 _KINDS = {"str": "string", "int": "int", "float": "float", "bool": "bool", "null": "null"}
 
 
+def yaml_depth(content: bytes) -> int:
+    """How deep the collections of a YAML text nest, from its events, which need no stack."""
+    deep = deepest = 0
+    for event in yaml.parse(content, Loader=_Loader):
+        deep += isinstance(event, yaml.CollectionStartEvent) - isinstance(event, yaml.CollectionEndEvent)
+        deepest = max(deepest, deep)
+    return deepest
+
+
 def read_yaml(content: bytes, reach: Reach = None) -> list[Node]:
-    """Nodes of the first document; scalars keep the text they are written with. Maps with keys that are not strings have no children here."""
+    """Nodes of the first document; scalars keep the text they are written with. Maps with keys that are not strings have no children here.
+    Collections that nest deeper than MOST_DEEP are an error: the library that composes them would end the worker."""
+    # brackets open a level each, blocks at most two a column; only a text that could nest too deeply is measured
+    flow = content.count(b"[") + content.count(b"{")
+    if flow + 2 * max(map(len, re.findall(rb"(?m)^[ \-?:\t]+", content)), default=0) > MOST_DEEP and yaml_depth(content) > MOST_DEEP:
+        raise ValueError(f"exceeded max depth of {MOST_DEEP}")
     loader = _Loader(content)
     try:
         top = loader.get_node() if loader.check_node() else None
@@ -115,23 +133,45 @@ def read_yaml(content: bytes, reach: Reach = None) -> list[Node]:
     return out
 
 
-def read_xml(content: bytes) -> list[Node]:
-    """Distinct element places by local names, from the root; what follows a syntax error is not seen, and the error comes last."""
+class _Found(Exception):
+    """The first place that is asked for."""
+
+
+def read_xml(content: bytes, reach: Reach = None) -> list[Node]:
+    """Distinct element places by local names, from the root; what follows a syntax error is not seen, and the error comes last. With a
+    reach, whose second half is the places asked for, the document is read in pieces up to the first of them, and no other gives a row."""
+    deepest, wanted = reach or (1 << 30, None)
     out: dict[str, Node] = {}
-    stack = [""]
+    stack, deep = [""], 0
 
     def start(name, _):
+        nonlocal deep
+        deep += 1
+        if deep > deepest:
+            return
         stack.append(f"{stack[-1]}{K}{name.rpartition(' ')[2]}")
-        out.setdefault(stack[-1], (stack[-1], "element", None, 0))
+        if wanted is None or stack[-1] in wanted:
+            out.setdefault(stack[-1], (stack[-1], "element", None, 0))
+            if wanted is not None:
+                raise _Found
+
+    def end(_):
+        nonlocal deep
+        if deep <= deepest:
+            stack.pop()
+        deep -= 1
 
     parser = expat.ParserCreate(namespace_separator=" ")
-    parser.StartElementHandler, parser.EndElementHandler = start, lambda _: stack.pop()
+    parser.StartElementHandler, parser.EndElementHandler = start, end
     if not content.strip():
         return []
     try:
-        parser.Parse(content, True)
+        for at in range(0, len(content), PIECE):
+            parser.Parse(content[at : at + PIECE], at + PIECE >= len(content))
     except expat.ExpatError as e:
         return [*out.values(), ("", "error", str(e), 0)]
+    except _Found:
+        pass
     return list(out.values())
 
 
@@ -176,7 +216,7 @@ def nodes(rows: DataFrame, reaches: dict[int, Reach] | None = None) -> DataFrame
                     if form == "toml":
                         found = read_toml(content or b"", parser == "toml", reach)
                     else:
-                        found = READERS[form](content or b"", *([reach] if form in ("json", "yaml") else []))
+                        found = READERS[form](content or b"", *([reach] if form in ("json", "yaml", "xml") else []))
                 except (ValueError, yaml.YAMLError, RecursionError) as e:
                     found = [("", "error", f"parse {form} file {path!r}: {e}", 0)]
                 found = found if any(x[0] == "" for x in found) else [("", "null", None, 0), *found]

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import clean_path, parent_of, pep508, quoted, tidy
 from ..schema import KEY
+from ..sources.contents import opened
 from ..storage import kept
 from .presence import dep_rows, found_rows
 
@@ -70,12 +71,13 @@ def _split(files: DataFrame) -> DataFrame:
 
 def requirements(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """FOUND, DEPS and NOTES of requirements files. Includes are expanded in place, level by level: the lines of a level that
-    include are joined with files (root, path, content), which also holds files that no rule selects.
+    include are joined with files (root, path, content), which also holds files that no rule selects; of a LISTING, those that are included are opened.
     A file that includes itself, directly or through others, or one that is not in files gives a warning. Paths that lead out
     of the root are not in files."""
     level = rows.select(*KEY, F.array("path").alias("stack"), F.lit("").alias("seat"), "content")
     deps, notes = [], []
-    content = files.select("root", F.regexp_replace("path", r"\\", "/").alias("aim"), F.col("content").alias("content"))
+    lazy = "content" not in files.columns
+    content = files.select("root", F.regexp_replace("path", r"\\", "/").alias("aim"), "path" if lazy else "content")
     while True:
         lines = kept(_split(level))
         deps.append(lines.where("target is null"))
@@ -88,6 +90,8 @@ def requirements(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
         # the few files that are included are found by path before any content is joined
         aims = kept(more.where(~cycle).select("root", "aim").distinct())
         wanted = content.join(F.broadcast(aims) if aims.count() <= MOST_BROADCAST else aims, ["root", "aim"], "left_semi")
+        if lazy:
+            wanted = opened(wanted, F.lit(None)).drop("path", "unread")
         met = more.where(~cycle).join(wanted, ["root", "aim"], "left")
         notes.append(met.where("content is null").select(*KEY, "seat", F.concat(F.lit("could not read included requirements file "), quoted(F.col("target")), F.lit(": open "), full, F.lit(": no such file or directory")).alias("warning")))
         level = kept(met.where("content is not null").select(*KEY, F.concat("stack", F.array("aim")).alias("stack"), "seat", "content"))

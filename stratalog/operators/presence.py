@@ -44,13 +44,21 @@ def having(rules: Ruleset, parser: str, *options: str) -> Column:
     return F.col("ordinal").isin([r.ordinal for r in rules.using(parser) if any(r.params.get(o) for o in options)] or [-1])
 
 
+def _place(steps: list[tuple[str, bool]]) -> str:
+    return "".join(K + name for name, _ in steps)
+
+
 def reaches(rules: Ruleset) -> dict[int, tuple[int, frozenset[str] | None]]:
-    """What the rules that only ask for places can reach in their documents, by ordinal: steps from the top, keys of the top."""
+    """What the rules that only ask for places can reach in their documents, by ordinal: steps from the top, keys of the top (of XML: places)."""
     out = {}
-    for r in rules.using("json", "yaml", "toml"):
+    for r in rules.using("json", "yaml", "toml", "xml"):
         if r.parser == "json":
             out[r.ordinal] = (1, frozenset(r.params["exists-any"]))
             continue
+        if r.parser == "xml":
+            steps = [path_steps(p, lists=False) for p in r.params["exists-any"]]
+            out[r.ordinal] = (max(map(len, steps)), frozenset(map(_place, steps)))
+            continue
         given = [x for o in ("query", "exists", "exists-any", "queries", "table-queries", "table-exists-any") for x in ([r.params[o]] if isinstance(r.params.get(o), str) else r.params.get(o) or [])]
         steps = [path_steps(q, True) for q in given]
         # tables that a query names give a row per key
@@ -68,7 +76,7 @@ def presence(nodes: DataFrame, rules: Ruleset) -> DataFrame:
     top_keys = any_of([(F.col("ordinal") == r.ordinal) & F.col("at").isin([K + k for k in r.params["exists-any"]]) for r in rules.using("json")])
     # true and any number count in JSON, false does not
     full_json = top_keys & F.expr(f"({FULL}) and not (kind = 'bool' and value = 'false')")
-    xml = any_of([(F.col("ordinal") == r.ordinal) & F.col("at").isin(["".join(K + name for name, _ in path_steps(p, lists=False)) for p in r.params["exists-any"]]) for r in rules.using("xml")])
+    xml = any_of([(F.col("ordinal") == r.ordinal) & F.col("at").isin([_place(path_steps(p, lists=False)) for p in r.params["exists-any"]]) for r in rules.using("xml")])
     toml = having(rules, "toml", "exists-any", "table-exists-any")
     full = F.when(F.col("parser") == "json", full_json).when(F.col("parser") == "xml", xml)
     full = full.when(F.col("parser") == "yaml", hits(rules, "yaml", "exists-any") & F.expr(FULL))

@@ -1,7 +1,7 @@
 """Which rules each file is a candidate of.
 
 Names that a rule gives literally are looked up in a map; only the rest are tried as patterns. It is one projection: no join,
-no shuffle, and content is not read.
+no shuffle, and content is read of the files alone that a reader's selectors accept.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import FORMATS, Ruleset
+from ..sources.contents import opened
 
+#: Banners lie in the first bytes of a file.
+BANNER_BYTES = 4096
 DEFAULT_IGNORED = (".git", "node_modules", ".venv", "venv", "vendor", ".tox", ".mypy_cache", ".pytest_cache")
 
 
@@ -53,18 +56,28 @@ def selector_type(rules: Ruleset, name: Column) -> Column:
 
 
 def candidates(files: DataFrame, rules: Ruleset, globs: bool = True) -> DataFrame:
-    """(root, path, name, content, ordinal, parser, format): one row per file and candidate rule. Without globs, rules with a
+    """(root, path, name, content, ordinal, parser, format, unread): one row per file and candidate rule. Where files have no content, those that a
+    reader accepts by name and path are opened, once each, and unread says why one could not be. Without globs, rules with a
     path glob accept nothing; the path '' is that of no file, which only rules without a reader accept."""
     if not globs:
         rules = Ruleset(tuple(r for r in rules.rules if not r.path_glob))
     if not rules.rules:
-        return files.select("root", "path", F.col("path").alias("name"), "content", F.lit(0).alias("ordinal"), F.lit("").alias("parser"), F.lit(None).cast("string").alias("format")).where(F.lit(False))
+        return files.select("root", "path", F.col("path").alias("name"), F.lit(None).cast("binary").alias("content"), F.lit(0).alias("ordinal"), F.lit("").alias("parser"), F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("unread")).where(F.lit(False))
     parser = F.create_map(*[x for r in rules.rules for x in (F.lit(r.ordinal), F.lit(r.parser or ""))])
     formats = F.create_map(*[x for k, v in FORMATS.items() for x in (F.lit(k), F.lit(v))])
     path = F.regexp_replace("path", r"\\", "/")
-    rows = files.select("root", path.alias("path"), F.coalesce(F.col("name"), F.substring_index(path, "/", -1)).alias("name"), "content")
-    found = rows.withColumn("ordinal", F.explode(candidate_ordinals(rules, F.col("name"), F.col("path"))))
+    name = F.coalesce(F.col("name"), F.substring_index(path, "/", -1))
+    lazy = "content" not in files.columns
+    chosen = files.select("root", "path", name.alias("name"), *([] if lazy else ["content"])).withColumn("ordinals", candidate_ordinals(rules, F.col("name"), path))
+    if lazy:
+        read = F.transform("ordinals", lambda o: parser[o])
+        most = F.when(F.forall(read, lambda p: p == "") | (F.col("path") == ""), F.lit(0)).when(F.forall(read, lambda p: p.isin("", "banner-regex")), F.lit(BANNER_BYTES))
+        chosen = opened(chosen.where(F.size("ordinals") > 0), most)
+    else:
+        chosen = chosen.withColumn("unread", F.lit(None).cast("string"))
+    found = chosen.withColumn("path", path).withColumn("ordinal", F.explode("ordinals")).drop("ordinals")
     named = found.withColumn("parser", parser[F.col("ordinal")]).withColumn("format", formats[F.col("parser")])
     named = named.where("path <> '' or parser = ''")
-    # banners lie in the first 4096 bytes, selectors need none
-    return named.withColumn("content", F.when(F.col("parser") == "banner-regex", F.substring("content", 1, 4096)).when(F.col("parser") != "", F.col("content")))
+    # selectors need no content
+    content = F.when(F.col("parser") == "banner-regex", F.substring("content", 1, BANNER_BYTES)).when(F.col("parser") != "", F.col("content"))
+    return named.withColumn("content", content).withColumn("unread", F.when(F.col("parser") != "", F.col("unread")))

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import CLOSING, OTHER, Source
+from ..functions import hcl
+from ..functions.literals import CLOSING, OTHER, Name, Source
 from ..rules import Ruleset
 from ..schema import KEY
 from .presence import any_of, dep_rows, found_rows
@@ -23,11 +24,18 @@ def split_commas(value: str) -> list[str]:
     return [x.strip() for x in value.split(",") if x.strip()]
 
 
+def _of(s: Source, obj, key: str, at: int):
+    """The value of the first key of a Python dict that is, or leads to, a string; None without one."""
+    for k, v in obj.items() if isinstance(obj, dict) else ():
+        if k == key or isinstance(k, Name) and s.resolved(k, at) == key:
+            return v
+    return None
+
+
 def _meets(s: Source, obj: dict, conditions: list[dict], at: int) -> bool:
     for c in conditions:
-        if c["key"] not in obj:
-            return False
-        if not c.get("present") and s.resolved(obj[c["key"]], at) != c["equals"]:
+        value = _of(s, obj, c["key"], at)
+        if value is None or not c.get("present") and s.resolved(value, at) != c["equals"]:
             return False
     return True
 
@@ -80,18 +88,20 @@ def match_python(text: str, p: dict) -> tuple[bool, list[str], str | None]:
             found: list[str] = []
             for x in call.get("extract") or []:
                 v = args.get(x["keyword"])
-                lists = [v] if x["literal"] == "string_list" else list(v.values()) if isinstance(v, dict) else []
+                lists = [v] if x["literal"] == "string_list" else list(v.values()) if isinstance(v, dict) and all(isinstance(k, str) for k in v) else []
                 if all(isinstance(y, list) and all(isinstance(z, str) for z in y) for y in lists):
                     found += [z for y in lists for z in y]
             return True, list(dict.fromkeys(found)), None
         obj = s.resolved(args.get(cdk["keyword_argument"], OTHER), at)
         for step in cdk.get("within") or []:
-            obj = s.resolved(obj.get(step, OTHER), end) if isinstance(obj, dict) else OTHER
+            inner = _of(s, obj, step, end)
+            obj = OTHER if inner is None else s.resolved(inner, end)
         if not isinstance(obj, dict) or not _meets(s, obj, cdk["conditions"], end):
             continue
         if not cdk.get("extract"):
             return UNKNOWN
-        value = s.resolved(obj.get(cdk["extract"]["key"], OTHER), end)
+        value = _of(s, obj, cdk["extract"]["key"], end)
+        value = OTHER if value is None else s.resolved(value, end)
         if isinstance(value, str) and (deps := split_commas(value)):
             return True, deps, None
     return NO
@@ -118,36 +128,51 @@ def typescript_names(s: Source, module: str, name: str) -> tuple[set[str], set[s
     return spaces, own
 
 
+def _news(s: Source, spaces: set[str], own: set[str], name: str):
+    """(place of new, of its opening bracket, of its closing one) of the new expressions of a construct: a name, or a namespace's member."""
+    for i in range(len(s.tokens)):
+        if s.text(i) != "new" or s.kind(i) != "name" or s.text(i - 1) == "." or s.kind(i + 1) != "name":
+            continue
+        if s.text(i + 2) == ".":
+            known, at = s.text(i + 1) in spaces and s.text(i + 3) == name, i + 4
+        else:
+            known, at = s.text(i + 1) in own, i + 2
+        if not known:
+            continue
+        deep = 0
+        while s.text(at) in ("<", ">") or deep and s.text(at):  # type arguments
+            deep += {"<": 1, ">": -1}.get(s.text(at), 0)
+            at += 1
+        if s.text(at) == "(" and (end := s.close(at)) is not None:
+            yield i, at, end
+
+
 def match_typescript(text: str, p: dict) -> tuple[bool, list[str], str | None]:
-    """The last `new` expression that fits counts."""
+    """The last new expression that fits counts, those within one that fits left out. Kinds of expressions decide, as in a syntax tree: the properties are an object
+    or the name of one, strings are strings or names of one, and an object in brackets, with `as` or with `satisfies` is none."""
     c = p["cdk_construct"]
     s = Source(text, "typescript")
     spaces, own = typescript_names(s, c["module"], c["construct"])
-    out = NO
-    if not spaces and not own:
-        return out
-    for at, begin, end in _calls(s, spaces, own, c["construct"]):
-        args = s.split(begin + 1, end)
-        index = c.get("props_argument_index", 0)
-        if s.text(at - 1) != "new" or len(args) <= index:
+    out, after = NO, 0
+    for at, begin, end in _news(s, spaces, own, c["construct"]) if spaces or own else ():
+        args, index = s.split(begin + 1, end), c.get("props_argument_index", 0)
+        if at < after or len(args) <= index or not (place := s.found(*args[index], "object")):
             continue
-        obj = s.resolved(s.value(*args[index]), at)
         for step in c.get("within") or []:
-            obj = obj.get(step) if isinstance(obj, dict) else None
-        if not isinstance(obj, dict) or not _meets(s, obj, c["conditions"], at):
+            place = place and s.member(*place, step)
+            place = place if place and s.expression(*place) == "object" else None
+        if not place or not all(_holds(s, place, x) for x in c["conditions"]):
+            continue
+        value = s.member(*place, c["extract"]["key"]) if c.get("extract") else None
+        if c.get("extract") and not value:
             continue
-        value = s.resolved(obj.get(c["extract"]["key"], OTHER), at) if c.get("extract") else OTHER
-        out = (True, split_commas(value) if isinstance(value, str) else [], None)
+        out, after = (True, split_commas((value and s.string_of(*value)) or ""), None), end
     return out
 
 
-def _known(value) -> bool:
-    """Whether an HCL expression needs no variable."""
-    if isinstance(value, dict):
-        return all(map(_known, value.values()))
-    if isinstance(value, list):
-        return all(map(_known, value))
-    return value is None or isinstance(value, (str, bool, float))
+def _holds(s: Source, place: tuple[int, int], condition: dict) -> bool:
+    value = s.member(*place, condition["key"])
+    return bool(value) and (bool(condition.get("present")) or s.string_of(*value) == condition["equals"])
 
 
 def match_terraform(text: str, p: dict) -> tuple[bool, list[str], str | None]:
@@ -170,22 +195,24 @@ def match_terraform(text: str, p: dict) -> tuple[bool, list[str], str | None]:
             return False, [], "invalid block"
         head = [s.string(j) if s.kind(j) == "string" else s.text(j) for j in range(labels, i)]
         if head[:2] == ["resource", p["resource_type"]] and not matched:
-            body = {s.text(a): s.value(a + 2, b) for a, b in s.split(i + 1, end) if s.kind(a) == "name" and s.text(a + 1) == "="}
+            body = {s.text(a): s.tokens[a + 2 : b] for a, b in s.split(i + 1, end) if s.kind(a) == "name" and s.text(a + 1) == "="}
             matched = all(_condition(body, c) for c in p["conditions"])
         i = end + 1
     return matched, [], None
 
 
 def _condition(body: dict, c: dict) -> bool:
+    """Whether an attribute's constant value holds what is asked for; one that needs a variable or a function holds nothing."""
     name, *rest = c["path"].split(".")
-    value = body.get(name, OTHER)
-    if not _known(value):
+    try:
+        value = hcl.constant(body[name])
+    except (KeyError, hcl.Unknown):
         return False
     for k in rest:
         if not isinstance(value, dict) or k not in value:
             return False
         value = value[k]
-    return value is not None if c.get("present") else value == c["equals"]
+    return value is not None if c.get("present") else isinstance(value, str) and value == c["equals"]
 
 
 MATCHERS = {"python": match_python, "typescript": match_typescript, "terraform": match_terraform}
@@ -209,7 +236,11 @@ def literal_sources(rows: DataFrame, rules: Ruleset) -> tuple[DataFrame, DataFra
             out = []
             for root, path, ordinal, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parser, p = params[ordinal]
-                out.append((root, path, ordinal, *MATCHERS[parser]((content or b"").decode("utf-8", "replace"), p)))
+                try:
+                    got = MATCHERS[parser]((content or b"").decode("utf-8", "replace"), p)
+                except RecursionError as e:  # a file never ends the job
+                    got = (False, [], f"parse {parser} file {path!r}: {e}")
+                out.append((root, path, ordinal, *got))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*KEY, "matched", "deps", "error"])

@@ -30,7 +30,8 @@ def outcomes(files: DataFrame, rules: Ruleset, contents: DataFrame | None = None
     rows = candidates(files, rules, globs)
     plain = [p for p in used if p not in (None, *FORMATS)]
     several = len(used - {None}) > 1
-    rows = kept(rows) if several else rows
+    lazy = "content" not in files.columns
+    rows = kept(rows) if several or lazy else rows
     found, deps, notes = [], [], []
 
     def add(f=None, d=None, w=None):
@@ -38,6 +39,9 @@ def outcomes(files: DataFrame, rules: Ruleset, contents: DataFrame | None = None
             if x is not None:
                 to.append(x)
 
+    if lazy:
+        add(presence.found_rows(rows.where("unread is not null"), F.lit(False), F.lit(None), F.col("unread")))
+        rows = rows.where("unread is null")
     if None in used:
         add(presence.found_rows(rows.where("parser = ''"), F.lit(True), F.lit(None)))
     if used & set(FORMATS):
@@ -92,14 +96,16 @@ def outcomes(files: DataFrame, rules: Ruleset, contents: DataFrame | None = None
 def _collected(deps: DataFrame) -> DataFrame:
     """Dependencies per file and rule, by seat. Maps do not sort, so extras travel as entries."""
     flat = deps.withColumn("extras", F.map_entries("extras"))
-    # seats differ within a file; equal rows come of a path that is given twice
-    got = flat.groupBy(*KEY).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("seat", *DEP_FIELDS)))).alias("d"))
+    got = flat.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("seat", *DEP_FIELDS))).alias("d"))
+    # seats differ within a file; equal rows come of a path that is given twice, and stand side by side
+    got = got.select(*KEY, F.filter("d", lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(F.col("d"), i - 1))).alias("d"))
     back = lambda x: F.struct(*[(F.when(x[f].isNotNull(), F.map_from_entries(x[f])) if f == "extras" else x[f]).alias(f) for f in DEP_FIELDS])
     return got.select(*KEY, F.transform("d", back).alias("dependencies"))
 
 
 def detect(files: DataFrame, rules: Ruleset | None = None, ignored: tuple[str, ...] = DEFAULT_IGNORED, on_error: str = "fail", globs: bool = True) -> DataFrame:
-    """MANIFESTS of files (root, path, name, content): per file the first rule by ordinal that matches.
+    """MANIFESTS of files (root, path, name, content): per file the first rule by ordinal that matches. Files may be a LISTING, without contents: then
+    only those files are opened whose name and path a rule with a reader accepts, and those that they include; one that cannot be read is an error.
 
     A document that cannot be read ends the job, unless an earlier rule matched; with on_error='skip' it falls through to later
     rules, and with 'warn' it becomes a manifest of unknown status whose warning says why. Files under ignored folders are left
@@ -109,7 +115,7 @@ def detect(files: DataFrame, rules: Ruleset | None = None, ignored: tuple[str, .
     if on_error not in ("fail", "skip", "warn"):
         raise ValueError(f"on_error: {on_error}")
     rules = rules or builtin_rules()
-    rows = files.select("root", "path", F.col("name") if "name" in files.columns else F.lit(None).cast("string").alias("name"), "content").where("path is not null")
+    rows = files.select("root", "path", F.col("name") if "name" in files.columns else F.lit(None).cast("string").alias("name"), *(["content"] if "content" in files.columns else [])).where("path is not null")
     kept_rows = rows.where(not_ignored(F.regexp_replace("path", r"\\", "/"), ignored))
     every = outcomes(kept_rows, rules, rows, globs)
     fails = F.col("error").isNotNull() if on_error != "skip" else F.lit(False)

@@ -1,9 +1,10 @@
 """The tables of the library.
 
-FILES: one row per file of a tree. Tables that readers return are keyed by file and rule: FOUND says whether a rule
+FILES: one row per file of a tree; LISTING is that without contents. Tables that readers return are keyed by file and rule: FOUND says whether a rule
 matched, DEPS has a row per dependency with its place in `seat`, NOTES a row per warning. MANIFESTS has one row per recognised file.
 """
 
+LISTING = "root string, path string, name string"
 FILES = "root string, path string, name string, content binary"
 DEP_FIELDS = ("raw", "name", "version", "constraint", "section", "source", "extras")
 DEPENDENCY = "struct<raw:string,name:string,version:string,constraint:string,section:string,source:string,extras:map<string,string>>"

@@ -1,84 +1,86 @@
-"""Trees of files as FILES tables.
+"""Trees of files as tables: listing on the executors, contents only of files that a reader asks for.
 
-Spark's own file source leaves out names that begin with '.' or '_', so a tree is walked on the driver (names only) and
-read on the executors, which need to see its path.
+Spark's own file source leaves out names that begin with '.' or '_', and reads what no rule selects. Here a frontier of folders is listed
+by tasks, level by level, folders of ignored names pruned before descent; executors need to see the tree's path.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
-from pathlib import Path
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.select import DEFAULT_IGNORED
-from ..schema import FILES
-
-
-#: Bytes of content per Arrow batch.
-BATCH_BYTES = 16_000_000
-
-
-def walk(root: str, ignored: tuple[str, ...] = DEFAULT_IGNORED) -> Iterator[str]:
-    """Relative paths of all files below root, folders of ignored names pruned; links to folders are not followed."""
-    skip = set(ignored)
-    for folder, folders, names in os.walk(root):
-        folders[:] = sorted(d for d in folders if d not in skip)
-        for name in sorted(names):
-            yield os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
-
-
-class Paths(InputPartition):
-    def __init__(self, paths: list[str]):
-        super().__init__(paths)
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        given = options.get("path")
-        if not given or not os.path.isdir(given):
-            raise ValueError(f"not a directory: {given}")
-        self.root = os.path.abspath(given)
-        self.ignored = tuple(x.strip() for x in options["ignore"].split(",") if x.strip()) if "ignore" in options else DEFAULT_IGNORED
-        self.per_task = int(options.get("filesPerTask", 500))
-
-    def partitions(self):
-        paths = list(walk(self.root, self.ignored))
-        return [Paths(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] or [Paths([])]
-
-    def read(self, partition):
-        paths, contents, held = [], [], 0
-        for path in [*partition.value, None]:
-            if paths and (path is None or held >= BATCH_BYTES):
-                yield pa.RecordBatch.from_arrays([pa.array([self.root] * len(paths)), pa.array(paths), pa.array([os.path.basename(p) for p in paths]), pa.array(contents, pa.binary())], ["root", "path", "name", "content"])
-                paths, contents, held = [], [], 0
-            if path is not None:
-                paths.append(path)
-                contents.append(Path(self.root, path).read_bytes())
-                held += len(contents[-1])
-
-
-class TreeSource(DataSource):
-    """spark.read.format('manifest_tree').load(root), with options ignore (names, comma-separated) and filesPerTask."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "manifest_tree"
-
-    def schema(self) -> str:
-        return FILES
-
-    def reader(self, schema) -> TreeReader:
-        return TreeReader(self.options)
-
-
-def read_tree(spark: SparkSession, root: str, ignored: tuple[str, ...] = DEFAULT_IGNORED) -> DataFrame:
-    spark.dataSource.register(TreeSource)
-    return spark.read.format("manifest_tree").option("ignore", ",".join(ignored)).load(root)
+from ..schema import LISTING
+from ..storage import kept
+from .contents import opened
+
+#: Rows of a listing per batch, folders that a task lists before it hands the rest on.
+BATCH_ROWS, TASK_FOLDERS = 10_000, 2000
+
+
+def entries(root: str, folders: Iterator[str], ignored: frozenset[str], most: int) -> Iterator[tuple[str, bool]]:
+    """(path, whether it is a folder still to be listed) below some folders of root, `most` folders being listed here. Links are files, whatever they lead to."""
+    todo, listed = deque(folders), 0
+    while todo:
+        folder = todo.popleft()
+        if listed >= most:
+            yield folder, True
+            continue
+        listed += 1
+        with os.scandir(os.path.join(root, folder)) as found:
+            for entry in found:
+                path = f"{folder}/{entry.name}" if folder else entry.name
+                if not entry.is_dir(follow_symlinks=False):
+                    yield path, False
+                elif entry.name not in ignored:
+                    todo.append(path)
+
+
+def list_tree(spark: SparkSession, root: str | list[str], ignored: tuple[str, ...] = DEFAULT_IGNORED, task_folders: int = TASK_FOLDERS) -> DataFrame:
+    """LISTING of one or more trees: all their files, hidden ones included, without contents. A folder that cannot be listed ends the job."""
+    roots = [os.path.abspath(r) for r in ([root] if isinstance(root, str) else root)]
+    for r in roots:
+        if not os.path.isdir(r):
+            raise ValueError(f"not a directory: {r}")
+    skip = frozenset(ignored)
+
+    def run(batches):
+        for batch in batches:
+            by_root: dict[str, list[str]] = {}
+            for r, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_root.setdefault(r, []).append(folder)
+            for r, folders in by_root.items():
+                rows: list[tuple[str, bool]] = []
+                for row in entries(r, iter(folders), skip, task_folders):
+                    rows.append(row)
+                    if len(rows) == BATCH_ROWS:
+                        yield listed(r, rows)
+                        rows = []
+                yield listed(r, rows)
+
+    def listed(r: str, rows: list[tuple[str, bool]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r] * len(rows), pa.string()), pa.array([p for p, _ in rows], pa.string()), pa.array([f for _, f in rows], pa.bool_())], ["root", "path", "folder"])
+
+    frontier, levels = spark.createDataFrame([(r, "") for r in dict.fromkeys(roots)], "root string, path string"), []
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    while True:
+        level = kept(frontier.repartition(tasks, "root", "path").mapInArrow(run, "root string, path string, folder boolean"))
+        # the path as it is on disk opens a file; a backslash in it counts as a slash elsewhere
+        levels.append(level.where("not folder").select("root", "path", F.substring_index("path", "/", -1).alias("name")))
+        frontier = level.where("folder").select("root", "path")
+        if frontier.isEmpty():
+            return reduce(lambda a, b: a.union(b), levels)
+
+
+def read_tree(spark: SparkSession, root: str | list[str], ignored: tuple[str, ...] = DEFAULT_IGNORED) -> DataFrame:
+    """FILES of one or more trees, every file read. detect() takes a listing as well, and then reads only what its rules ask for."""
+    return opened(list_tree(spark, root, ignored), F.lit(None)).drop("unread")
 
 
 def files_from_table(table: DataFrame, path: Column, content: Column, root: Column | None = None) -> DataFrame:
