@@ -398,6 +398,50 @@ def python_cdk_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.dependencies(found(files, "python.cdk.aws_glue_job.python")).select("path", "raw")
 
 
+@query("""
+select 't/' || p_partkey || '/main.tf' as path, cast(null as boolean) as has_dependencies from part
+where case p_partkey % 6 when 0 then p_size > 25 when 1 then p_size % 2 = 0 when 2 then p_brand < 'Brand#3' when 3 then p_size + 3 * 2 = 20 when 4 then p_type like 'S%' else false end
+""")
+def terraform_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose language is a constant expression over a part's values: conditional, index, comparison of strings by a for, arithmetic, template; a variable is none."""
+    n, size = F.col("p_partkey"), F.col("p_size")
+    language = (
+        F.when(n % 6 == 0, text(size, ' > 25 ? "python" : "scala"')).when(n % 6 == 1, text('["python", "scala"][', size, " % 2]"))
+        .when(n % 6 == 2, text('[for b in ["', F.col("p_brand"), '"] : b == "', F.when(F.col("p_brand") < "Brand#3", F.col("p_brand")).otherwise("none"), '" ? "python" : "other"][0]'))
+        .when(n % 6 == 3, text("(", size, ' + 3 * 2 == 20 && true) ? "python" : null')).when(n % 6 == 4, text('"${ {S = "pyth", } [ "', F.substring("p_type", 1, 1), '" ] }on"')).otherwise(F.lit("var.language"))
+    )
+    body = text('variable "language" {}\nresource "aws_glue_job" "j" {\n  default_arguments = {\n    "--job-language" = ', language, '\n    "--additional-python-modules" = "part-${', n, ' + 0}"\n    n = 1 + 2\n  }\n}\n')
+    return found(files_from_table(table(spark, sf_dir, "part"), text("t/", n, "/main.tf"), body), "terraform.aws_glue_job.python").select("path", "has_dependencies")
+
+
+@query("""
+select 's/' || s_suppkey || '.ts' as path, unnest(['supplier-' || s_suppkey, 'nation-' || s_nationkey]) as raw from supplier where s_suppkey % 6 in (0, 1, 4)
+""")
+def typescript_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object, a name of one and a name of a string fit; an object with `as`, in brackets or by a spread does not."""
+    n = F.col("s_suppkey")
+    args = text('{ "--job-language": "python", "--additional-python-modules": "supplier-', n, ",nation-", F.col("s_nationkey"), '" }')
+    one = lambda s: text('new glue.CfnJob(this, "x", ', s, ");\n")
+    body = F.concat(F.lit('import * as glue from "aws-cdk-lib/aws-glue";\n'), (
+        F.when(n % 6 == 0, one(text("{ defaultArguments: ", args, " }"))).when(n % 6 == 1, text("const p: P<A, B> = { defaultArguments: ", args, " }\n", one("p")))
+        .when(n % 6 == 2, text("const p = { defaultArguments: ", args, " } as const;\n", one("p"))).when(n % 6 == 3, one(text("({ defaultArguments: ", args, " })")))
+        .when(n % 6 == 4, text('const m = "supplier-', n, ", nation-", F.col("s_nationkey"), '"\n', one('{ defaultArguments: { "--job-language": "python", "--additional-python-modules": m } }')))
+        .otherwise(text("const p = { defaultArguments: ", args, " }\n", one("{ ...p }")))
+    ))
+    return views.dependencies(found(files_from_table(table(spark, sf_dir, "supplier"), text("s/", n, ".ts"), body), "typescript.cdk.aws_glue_job.python")).select("path", "raw")
+
+
+@query("""
+select 'n/' || c_custkey || '.py' as path, 'nation-' || c_nationkey as raw from customer where c_custkey % 4 < 2
+""")
+def python_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of keys and of names lead to the last assignment before the call; keyword arguments and sums assign nothing."""
+    n = F.col("c_custkey")
+    first = F.when(n % 4 == 0, text('K = "--job-language"\nL = M\nM = "python"\n')).when(n % 4 == 1, text('K = "--job-language"\nL = "python"\nrun(L="scala")\n')).when(n % 4 == 2, text('K = "--job-language"\nL = "python"\nL = L + ""\n')).otherwise(text('K = "--other"\nL = "python"\n'))
+    body = F.concat(F.lit("from aws_cdk import aws_glue\n"), first, text('args = {K: L, "--additional-python-modules": "nation-', F.col("c_nationkey"), '"}\naws_glue.CfnJob(self, "x", default_arguments=args)\n'))
+    return views.dependencies(found(files_from_table(table(spark, sf_dir, "customer"), text("n/", n, ".py"), body), "python.cdk.aws_glue_job.python")).select("path", "raw")
+
+
 @query("""
 select 'c/' || c_custkey || '/setup.py' as path, unnest(['own-' || c_custkey, 'nation-' || c_nationkey]) as raw from customer
 """)
