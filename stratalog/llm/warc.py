@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import json
 import re
@@ -20,6 +19,12 @@ from .markup import read_page
 #: Names fixed by the WARC format.
 VERSION = "WARC/1.1"
 RESPONSE = "record_id string, target_uri string, date string, payload_digest string, block binary, headers array<struct<name: string, value: string>>"
+GZIP = b"\x1f\x8b\x08"
+_RECORD = re.compile(rb"^WARC/\d+\.\d+[ \t]*\r\n", re.MULTILINE)
+#: Bytes that are inflated at a time.
+PIECE = 1 << 16
+#: A batch of responses ends after so many rows, or a block of so many bytes.
+BLOCK_ROWS, BLOCK_BYTES = 256, 8_000_000
 HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 DERIVED = "type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_digest string, record binary"
 
@@ -46,23 +51,74 @@ def header_list(lines: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def record_parts(data: bytes):
-    """(list of headers, block) of each record of a WARC file's bytes, compressed or not. A cut last record ends the file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def members(data: bytes):
+    """(bytes, error) of the gzip members of a file, as far as each is valid; after a damaged one, reading goes on at the next that begins.
+    Data that is not compressed is one piece."""
+    if data[:2] != b"\x1f\x8b":
+        yield data, None
+        return
     at = 0
-    while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        headers = header_list(data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
-        size = int(next((v for k, v in headers if k.lower() == "content-length"), "") or 0)
-        if end + 4 + size > len(data):
-            return
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+    while at < len(data):
+        d, out, error, end = zlib.decompressobj(31), [], None, at
+        try:
+            while end < len(data) and not d.eof:
+                out.append(d.decompress(data[end : end + PIECE]))
+                end += PIECE
+            error = None if d.eof else "cut gzip member"
+        except zlib.error as e:
+            error = f"damaged gzip member: {e}"
+        yield b"".join(out), error
+        end = min(end, len(data)) - len(d.unused_data) if d.eof else data.find(GZIP, at + 1)
+        if d.eof and end < len(data) and data[end : end + 2] != GZIP[:2]:
+            end = data.find(GZIP, end)  # padding, or rubbish, between members
+        at = end if end > at else len(data)
+
+
+def records_and_errors(data: bytes):
+    """(headers, block, error) of a WARC file's bytes, compressed or not: a record, with error None, or what is wrong with a stretch of the file, which
+    is passed over up to the next line that begins a record."""
+    held = b""
+    for piece, damage in members(data):
+        held += piece
+        at = 0
+        while True:
+            start = _RECORD.search(held, at)
+            if not start:
+                if rest := held[at:].strip():
+                    yield [], b"", f"{len(rest)} bytes that are no record"
+                held = b""
+                break
+            if rest := held[at : start.start()].strip():
+                yield [], b"", f"{len(rest)} bytes that are no record"
+            at = start.start()
+            end = held.find(b"\r\n\r\n", at)
+            if end < 0:
+                held = held[at:]
+                break
+            headers = header_list(held[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+            size = next((v for k, v in headers if k.lower() == "content-length"), "")
+            if not re.fullmatch("[0-9]{1,18}", size):
+                yield headers, b"", f"Content-Length {size!r}"
+                at = end + 4
+                continue
+            stop = end + 4 + int(size)
+            if stop > len(held):
+                held = held[at:]
+                break
+            yield headers, held[end + 4 : stop], None
+            at = stop
+        if damage:
+            yield [], b"", damage
+            if held:
+                yield [], b"", "cut record"
+                held = b""
+    if held:
+        yield [], b"", "cut record"
+
+
+def record_parts(data: bytes):
+    """(list of headers, block) of each whole record of a WARC file's bytes."""
+    return ((headers, block) for headers, block, error in records_and_errors(data) if error is None)
 
 
 def parse_records(data: bytes):
@@ -147,13 +203,13 @@ def body_text(headers: list[tuple[str, str]], body: bytes) -> str:
     charset = kind.partition("charset=")[2].split(";")[0].strip(" \"'") or "utf-8"
     try:
         return body.decode(charset, "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # no charset, or one that is no name
         return body.decode("utf-8", "replace")
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of WARC files (.warc, .warc.gz), in the columns of RESPONSE. A file is one value here, so files are
-    at most 2 GB, as crawlers write them."""
+    """The whole response records of WARC files (.warc, .warc.gz), in the columns of RESPONSE; read_errors lists the rest. A file is one value
+    here, so files are at most 2 GB, as crawlers write them; it is inflated a member at a time."""
     names = StructType.fromDDL(RESPONSE).fieldNames()
 
     def run(batches):
@@ -164,12 +220,33 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                     h = {k.lower(): v for k, v in headers}
                     if h.get("warc-type") == "response":
                         rows.append((h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-payload-digest"), block, [{"name": k, "value": v} for k, v in headers]))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.binary()), pa.array(cols[5], HEADERS)], names)
+                    if len(rows) >= BLOCK_ROWS or rows and len(rows[-1][4]) > BLOCK_BYTES:
+                        yield _responses(rows, names)
+                        rows = []
+                yield _responses(rows, names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
 
 
+def _responses(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.binary()), pa.array(cols[5], HEADERS)], names)
+
+
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, nth, record_id, error) of WARC files: damaged or cut gzip members, records without a usable length, stretches that are no record, cut records."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                wrong = [(dict((k.lower(), v) for k, v in h).get("warc-record-id"), e) for h, _, e in records_and_errors(content.as_py()) if e]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(wrong), pa.string()), pa.array(range(len(wrong)), pa.int64()), pa.array([i for i, _ in wrong], pa.string()), pa.array([e for _, e in wrong], pa.string())], ["path", "nth", "record_id", "error"]
+                )
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, nth long, record_id string, error string")
+
+
 def page_responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """pages as response records with id_col kept: the id of a record is a name-based UUID of the page's id and url. Each has the headers that a crawler would write."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")

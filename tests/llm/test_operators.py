@@ -308,6 +308,32 @@ def test_mixing_many_sources_and_null_ids(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_warc_bad_records(spark, tmp_path):
+    """A malformed record, a damaged or cut member, rubbish and an odd charset cost themselves only."""
+    import gzip
+
+    from stratalog.llm.warc import read_errors, read_responses, record
+
+    def response(n, kind="text/html"):
+        return record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{n}>"), ("WARC-Target-URI", f"http://{n}/")], f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n\r\n<p>page {n}".encode())
+
+    bad = [response(2).replace(b"Content-Length: ", b"Content-Length: x"), response(3).replace(b"Content-Length: ", b"Content-Length: -"), response(4).replace(b"Content-Length", b"Length")]
+    (tmp_path / "a.warc").write_bytes(response(1) + b"".join(bad) + response(5) + b"rubbish\r\n" + response(6, "text/html; charset=a\0b") + response(7, "text/html; charset=idna") + response(8)[:-20])
+    parts = [gzip.compress(response(n)) for n in range(10, 16)]
+    parts[1] = parts[1][:30] + b"\xff\xff\xff" + parts[1][33:]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(parts[:5]) + parts[5][:40])
+    whole = gzip.compress(b"".join(response(n) for n in range(20, 40)))
+    (tmp_path / "c.warc.gz").write_bytes(whole[: len(whole) * 2 // 3])
+    (tmp_path / "d.warc").write_bytes(b"")
+    (tmp_path / "e.warc.gz").write_bytes(b"\x1f\x8b")
+    ids = sorted(int(r["record_id"][1:-1]) for r in read_responses(spark, str(tmp_path)).collect())
+    assert ids[:8] == [1, 5, 6, 7, 10, 12, 13, 14] and ids[8:] == list(range(20, 20 + len(ids) - 8)) and 0 < len(ids) - 8 < 20
+    errors = Counter((r["path"].rpartition("/")[2], r["record_id"]) for r in read_errors(spark, str(tmp_path)).collect())
+    assert all(errors["a.warc", f"<{n}>"] == 1 for n in (2, 3, 4)) and errors["a.warc", None] >= 2 and errors["b.warc.gz", None] >= 2 and errors["c.warc.gz", None] == 2 and errors["e.warc.gz", None] == 1
+    made = {(r["refers_to"], r["type"]): bytes(r["record"]) for r in derivatives(read_responses(spark, str(tmp_path))).collect()}
+    assert len(made) == 2 * len(ids) and all(f"page {n}\n".encode() in made[f"<{n}>", "conversion"] for n in ids)
+
+
 def test_lm_scoring(docs, spark, none):
     good = spark.createDataFrame([(i,) for i in range(0, 30)] + [(None,), (999,)], "doc_id long")
     got = {r["doc_id"]: r for r in cross_entropy_difference(docs, good, block=2000).collect()}
