@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 #: Fixed values of HTML: elements inside a line, void elements, elements whose content is not text.
@@ -22,13 +23,15 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_ATTR = re.compile(r"""(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _WORD = re.compile(r"[a-z]+")
 _DIGITS, _NUMBER = re.compile(r"[0-9]+"), re.compile(r"[0-9]{3,}")
 #: Elements that no word makes boilerplate, and the starts of an article.
 NEVER, HEADS = frozenset("html body article main".split()), frozenset("article main h1".split())
 #: What Block.boiler says: text, within a container marked by a word or a form, within an element of BOILER_TAGS.
 CLEAN, WEAK, STRONG = 0, 1, 2
+#: Containers above one another that have a path of their own; deeper ones share that of the last.
+MOST_DEEP = 100
 
 
 class Block(NamedTuple):
@@ -54,7 +57,7 @@ def read_page(source: str) -> Page:
     """Blocks in page order. A block ends at every element that is not inline; white space in it is one space. A
     container's path is its open elements with their first class or id, numbers as #; unclosed p, li and the like end where the
     next one begins, unclosed inline elements end with their block, and end tags without a start are ignored. opens has
-    the containers in page order, each with the number of blocks before it.
+    the containers in page order, each with the number of blocks before it. Time and memory are linear in the page, however it nests.
 
     A weak mark does not count on a container that holds more than half of the page's text and the start of its
     article (if the page has one: the first article, main or h1)."""
@@ -66,6 +69,7 @@ def read_page(source: str) -> Page:
     links: list[str] = []
     text: list[str] = []
     title = ""
+    open_tags: Counter[str] = Counter()
 
     def flush() -> None:
         if text:
@@ -95,12 +99,13 @@ def read_page(source: str) -> Page:
         if tag in VOID:
             continue
         if m["end"]:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if open_tags[tag]:
+                while (last := stack.pop()[0]) != tag:
+                    open_tags[last] -= 1
+                open_tags[tag] -= 1
             continue
         if stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-            stack.pop()
+            open_tags[stack.pop()[0]] -= 1
         names = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m["attrs"] or "")}
         classes = names.get("class", "").split()
         label = _NUMBER.sub("#", classes[0]) if classes else _DIGITS.sub("#", names.get("id", ""))
@@ -108,14 +113,16 @@ def read_page(source: str) -> Page:
         strong = above[2] or (tag in BOILER_TAGS and not (tag == "header" and "/article" in above[1]))
         marks = above[3]
         if tag not in NEVER and not (tag == "p" and ("/article" in above[1] or "/main" in above[1])):
-            if tag == "form" or names and boiler_name(f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}"):
+            if len(marks) < MOST_DEEP and (tag == "form" or names and boiler_name(f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}")):
                 marks = (*marks, marked)
                 marked += 1
-        path = above[1] if tag == "p" else f"{above[1]}/{tag}{'.' + label if label else ''}"
+        named = tag != "p" and len(stack) < MOST_DEEP
+        path = f"{above[1]}/{tag}{'.' + label if label else ''}" if named else above[1]
         stack.append((tag, path, strong, marks))
+        open_tags[tag] += 1
         if start is None and tag in HEADS:
             start = marks
-        if tag != "p":
+        if named:
             opens.append((path, len(found)))
     flush()
     if marked:

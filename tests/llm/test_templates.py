@@ -72,3 +72,18 @@ def test_noise_and_few_pages(spark):
             assert got[i].startswith("Title") and got[i].endswith(passage) and "Hello" not in got[i]
         else:
             assert got[i].startswith("One and the same title\nc0 c1") and "d0 d1" in got[i]
+
+
+def test_odd_markup_takes_linear_time():
+    """Deep nesting, end tags without a start, very long names: a page of some hundred KB is read at once, and nothing is lost."""
+    import time
+
+    from stratalog.llm.markup import read_page
+
+    began = time.perf_counter()
+    deep = read_page("<div class='wrap'>" * 40_000 + "<p>in the middle</p>" + "</div>" * 40_000 + "<p>after</p>")
+    assert [b.text for b in deep.blocks] == ["in the middle", "after"] and sum(len(p) for p, _ in deep.opens) < 200_000 and deep.blocks[1].path == ""
+    assert [b.text for b in read_page("<section>" + "</div>" * 50_000 + "x").blocks] == ["x"]
+    assert [b.text for b in read_page("<div " + "a" * 100_000 + " b='1'>x</div>").blocks] == ["x"]
+    assert [b.text for b in read_page("<div class='ad'>" * 30_000 + "x").blocks] == ["x"]
+    assert time.perf_counter() - began < 5
