@@ -1,15 +1,18 @@
 """Which rules each file is a candidate of.
 
-Names that a rule gives literally are looked up in a map; only the rest are tried as patterns. It is one projection: no join,
+Rules are looked up by literal parts of a file's name, and only those found are tried as patterns. It is one projection: no join,
 no shuffle, and content is read of the files alone that a reader's selectors accept.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rules import FORMATS, Ruleset
+from ..rules import FORMATS, PREFIX, Ruleset
 from ..sources.contents import opened
 
 #: Banners lie in the first bytes of a file.
@@ -23,30 +26,50 @@ def not_ignored(path: Column, ignored=DEFAULT_IGNORED) -> Column:
     return ~F.arrays_overlap(F.slice(folders, F.lit(1), F.size(folders) - 1), F.array(*map(F.lit, ignored))) if ignored else F.lit(True)
 
 
+def _constant(value, schema: str) -> Column:
+    """A nested literal, folded once."""
+    return F.from_json(F.lit(json.dumps(value)), F.lit(schema))
+
+
 def candidate_ordinals(rules: Ruleset, name: Column, path: Column) -> Column:
-    """Ordinals of the rules whose selectors accept a file, ascending, up to the first one without a reader."""
-    literal: dict[str, list[int]] = {}
-    tried = []
+    """Ordinals of the rules whose selectors accept a file, ascending, up to the first one without a reader.
+
+    Rules are found by the name, the extension and the first letters of a file in one hashed table, and only those found are tried as patterns, so what
+    a file costs does not grow with the rules; rules that have none of these are tried on every file."""
+    if not rules.rules:
+        return F.array().cast("array<int>")
+    keyed = [(k, r.ordinal) for r in rules.rules if (k := r.index_key)]
+    most = max(r.ordinal for r in rules.rules)
+    names: list[str | None] = [None] * (most + 1)
+    paths = list(names)
+    for r in rules.rules:
+        names[r.ordinal], paths[r.ordinal] = None if r.keyed_only else r.name_regex, r.path_regex
+    found = []
     for r in rules.rules:
-        if r.exact_name:
-            literal.setdefault(r.exact_name, []).append(r.ordinal)
-            continue
-        hit = F.lit(True)
-        if r.name_regex:
-            hit = name.rlike(r.name_regex)
-        if r.path_regex:
-            hit = hit & path.rlike(r.path_regex)
-        tried.append(F.when(hit, F.lit(r.ordinal)))
-    found = F.array_compact(F.array(*tried)) if tried else F.array().cast("array<int>")
-    if literal:
-        names = F.create_map(*[x for k, v in literal.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-        found = F.concat(F.coalesce(names[name], F.array().cast("array<int>")), found)
-    final = [r.ordinal for r in rules.rules if r.parser is None]
-    found = F.sort_array(found)
-    if not final:
-        return found
-    stop = F.array_min(F.array_intersect(found, F.array(*map(F.lit, final))))
-    return F.filter(found, lambda o: stop.isNull() | (o <= stop))
+        if not r.index_key:
+            hit = name.rlike(r.name_regex) if r.name_regex else F.lit(True)
+            found.append(F.when(hit & path.rlike(r.path_regex) if r.path_regex else hit, F.lit(r.ordinal)))
+    tried = F.array_compact(F.array(*found)) if found else F.array().cast("array<int>")
+    if keyed:
+        size = 1 << (2 * len(keyed)).bit_length()
+        buckets: list[list] = [[] for _ in range(size)]
+        for k, o in keyed:
+            buckets[zlib.crc32(k.encode()) % size].append({"k": k, "o": o})
+        table = _constant(buckets, "array<array<struct<k:string,o:int>>>")
+        keys = F.array(F.concat(F.lit("n:"), name), F.concat(F.lit("e:."), F.substring_index(name, ".", -1)), F.concat(F.lit("p:"), F.substring(name, 1, PREFIX)))
+        own = lambda k: F.filter(F.get(table, (F.crc32(k.cast("binary")) % size).cast("int")), lambda e: e["k"] == k)
+        near = F.flatten(F.transform(keys, lambda k: F.transform(own(k), lambda e: e["o"])))
+        patterns, globs = _constant(names, "array<string>"), _constant(paths, "array<string>")
+        fits = lambda text, given, o: F.coalesce(F.rlike(text, F.get(given, o)), F.lit(True))
+        tried = F.concat(tried, F.filter(near, lambda o: fits(name, patterns, o) & fits(path, globs, o)))
+    final = [r.parser is None for r in rules.rules]
+    if not any(final):
+        return F.sort_array(tried)
+    ends = _constant([o in {r.ordinal for r in rules.rules if r.parser is None} for o in range(most + 1)], "array<boolean>")
+    # arrays of one bind what is found, and the first rule without a reader, so that each is worked out once
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    up_to = lambda a: once(F.array_min(F.filter(a, lambda o: F.get(ends, o))), lambda stop: F.filter(a, lambda o: stop.isNull() | (o <= stop)))
+    return once(F.sort_array(tried), up_to)
 
 
 def selector_type(rules: Ruleset, name: Column) -> Column:

@@ -11,6 +11,8 @@ import yaml
 from .functions.paths import glob_problem, glob_regex, path_steps
 from .functions.text import java_regex
 
+#: Letters of a name's beginning by which rules are found.
+PREFIX = 4
 #: Readers without options.
 PLAIN = ("py-requirements", "pipfile-lock", "poetry-lock", "uv-lock", "go-mod", "package-lock", "pnpm-lock", "composer-lock", "cargo-lock", "yarn-lock")
 #: Format in which a reader's documents are parsed to nodes.
@@ -42,6 +44,32 @@ class Rule:
         m = re.fullmatch(r"\^((?:[A-Za-z0-9_-]|\\\.)+)\$", self.filename_regex)
         return m[1].replace("\\.", ".") if m else None
 
+    @property
+    def index_key(self) -> str | None:
+        """What an accepted file's name must have: n:<the name>, e:<its last extension> or p:<its first PREFIX letters>; None if that cannot be told."""
+        pattern = self.filename_regex or ""
+        if self.exact_name:
+            return f"n:{self.exact_name}"
+        if pattern and not pattern.startswith("(?") and "|" not in pattern:
+            tail = re.search(r"(?:^\^|[^\\])((?:\\\.|[A-Za-z0-9_-])+)\$$", pattern)
+            text = tail[1].replace("\\.", ".") if tail else ""
+            if "." in text:
+                return f"e:{text[text.rindex('.'):]}"
+            head = re.match(r"\^((?:\\\.|[A-Za-z0-9_-])+)(?![?*+{])", pattern)
+            text = head[1].replace("\\.", ".") if head else ""
+            if len(text) >= PREFIX:
+                return f"p:{text[:PREFIX]}"
+        last = (self.path_glob or "").rpartition("/")[2]
+        if last and not re.search(r"[*?\[\\]", last):
+            return f"n:{last}"
+        tail = re.fullmatch(r"\*+[A-Za-z0-9_-]*((?:\.[A-Za-z0-9_-]+)+)", last)
+        return f"e:{tail[1][tail[1].rindex('.'):]}" if tail and not last.startswith("**") else None
+
+    @property
+    def keyed_only(self) -> bool:
+        """Whether a name with the index key is accepted, without a look at the pattern."""
+        return bool(self.exact_name or re.fullmatch(r"\^?\.\*\\\.[A-Za-z0-9_-]+\$", self.filename_regex or ""))
+
     @property
     def name_regex(self) -> str | None:
         return java_regex(self.filename_regex) if self.filename_regex else None
