@@ -4,7 +4,8 @@ Tokens are container tags and words, each in the context of its container. A tok
 each distinct page of the host; two sums of seeded page hashes stand for the vector, so equal vectors meet in a
 grouping and no host is ever gathered. Tokens of equal vectors are a class; classes that are on nearly every page,
 large enough, in one order and within one gap of the root class are nested into the host's template. Containers whose
-text is template words are constant; what remains are slots. The article's slot is the innermost template container that
+text is template words are constant, and so are whole short runs of words between two tags that recur in one container; what remains are slots. Labels that few of a host's pages
+have (classes made anew for each page) do not tell containers apart. The article's slot is the innermost template container that
 holds the host's remaining text and its title; each page gives the blocks that are left in it.
 """
 
@@ -29,6 +30,9 @@ SUPPORT, HOLDS = 0.8, 0.8
 #: Distinct pages from which a host has a template, tokens from which a class other than the root's counts, share of template
 #: words from which a container is constant, and share of the host's text that constant containers may take.
 LEAST_PAGES, LEAST_CLASS, CONSTANT, MOST_CONSTANT = 8, 3, 0.8, 0.5
+#: Words of a run between two tags that is template text on its own, at most: longer constant runs in the article's container are taken for its text. Share of a
+#: host's distinct pages that must have a container's label, or it counts for nothing.
+MOST_RUN, KNOWN = 12, 0.2
 #: Rows that are broadcast to pages; beyond, pages are shuffled by host.
 MOST_BROADCAST = 200_000
 #: Tokens that a task holds before it hands on those that are on at least half of its pages of a host.
@@ -151,6 +155,31 @@ def distinct_pages(table: DataFrame, most: int) -> DataFrame:
     return _near(table, copies, ["host", "page"], "left", most).where("__first is null or __first = rid").drop("__first")
 
 
+def _on_many(pages: DataFrame, each: F.Column, sizes: DataFrame, share: float, name: str) -> DataFrame:
+    """(host, name: array): what of the array `each` is on at least `share` of a host's pages; as many as a few pages have at most."""
+    count = pages.select("host", F.explode(F.array_distinct(each)).alias("x")).groupBy("host", "x").agg(F.count("*").alias("k"))
+    return count.join(sizes, "host").where(F.col("k") >= share * F.col("n")).groupBy("host").agg(F.sort_array(F.collect_list("x")).alias(name))
+
+
+def known_labels(pages: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
+    """(host, known array<string>): the labelled containers that count."""
+    last = F.transform("opens", lambda p: F.element_at(F.split(p, "/"), -1))
+    return _on_many(pages, F.filter(last, lambda s: F.contains(s, F.lit("."))), sizes, share, "known")
+
+
+def with_known(table: DataFrame, known: DataFrame, hosts: DataFrame, most: int) -> DataFrame:
+    """table whose paths have, on the hosts given, only labels that are known."""
+    step = lambda s: F.when(~F.contains(s, F.lit(".")) | F.array_contains(F.coalesce("known", F.array().cast("array<string>")), s), s).otherwise(F.substring_index(s, ".", 1))
+    plain = lambda c: F.when(F.col("some"), F.transform(c, lambda p: F.array_join(F.transform(F.split(p, "/"), step), "/"))).otherwise(F.col(c)).alias(c)
+    rows = _near(table, hosts.join(known, "host", "left").withColumn("some", F.lit(True)), ["host"], "left", most)
+    return rows.select(*[plain(c) if c in ("paths", "opens") else c for c in table.columns])
+
+
+def _runs(words: int) -> F.Column:
+    """Per block a hash of its container and text, null where it has more words."""
+    return F.transform(F.arrays_zip("paths", "lines"), lambda b: F.when(F.size(F.split(b["lines"], " ")) <= words, F.xxhash64(b["paths"], b["lines"])))
+
+
 def candidates(pages: DataFrame, support: float, held: int = HELD) -> DataFrame:
     """(host, tokens array<long>): all tokens that can be on `support` of a host's pages.
 
@@ -344,18 +373,25 @@ def templates(tokens: DataFrame, stats: DataFrame, holds: float, constant: float
 
 def host_templates(
     table: DataFrame, support: float = SUPPORT, holds: float = HOLDS, least_pages: int = LEAST_PAGES, least_class: int = LEAST_CLASS, constant: float = CONSTANT, most_constant: float = MOST_CONSTANT, most_broadcast: int = MOST_BROADCAST,
-) -> DataFrame:
-    """The templates of a table of parsed pages; hosts of fewer than least_pages distinct pages have none, nor has the host ''."""
+    most_run: int = MOST_RUN, known: float = KNOWN,
+) -> tuple[DataFrame, DataFrame]:
+    """The table of parsed pages with paths of known labels, and its templates (host, slot, dropped, cut array<long>: runs of template text); hosts of fewer than
+    least_pages distinct pages have none, nor has the host ''."""
     pages = distinct_pages(table.where("host <> ''"), most_broadcast)
-    enough = written(pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("host"))
-    pages = _near(pages, enough, ["host"], "left_semi", most_broadcast)
+    sizes = written(pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages))
+    enough = sizes.select("host")
+    labels = written(known_labels(_near(pages, enough, ["host"], "left_semi", most_broadcast), sizes, known))
+    table = with_known(table, labels, enough, most_broadcast // 10)
+    pages = _near(distinct_pages(table.where("host <> ''"), most_broadcast), enough, ["host"], "left_semi", most_broadcast)
     wanted = written(candidates(pages, support))
     stats = written(occurrence_stats(_near(pages, wanted, ["host"], "inner", most_broadcast // 10)))
     classes = written(classes_of(stats, support, least_class))
     members = written(classes.groupBy("host").agg(F.collect_list(F.struct("token", "class", "root")).alias("members")))
     seen = order_and_nesting(_near(pages, members, ["host"], "inner", most_broadcast // 10))
     tokens = written(template_tokens(classes, seen, support))
-    return written(templates(tokens, stats, holds, constant, most_constant))
+    # a run is template words altogether: its share of them is 1
+    cut = _on_many(pages, F.array_compact(_runs(most_run)), sizes, support, "cut").where(F.lit(1.0) >= F.lit(constant))
+    return table, written(templates(tokens, stats, holds, constant, most_constant).join(cut, "host", "left"))
 
 
 def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = MOST_BROADCAST, **options) -> DataFrame:
@@ -363,21 +399,25 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 
     Within the slot, constant containers and slots that are marked as menus, headers, footers, sidebars, notices, adverts, forms or comments
     (markup.py) are left out; names of class, id and role count whole ("sidebar", not "has-sidebar"), and a
-    container that wraps the page's article is never marked. Constant text that shares its container with changing text stays.
+    container that wraps the page's article is never marked. Constant text that shares its container with changing text goes if it is a run between two tags of at
+    most MOST_RUN words, and stays if it is longer, as a passage that a host's articles share. Classes and ids that few of a host's pages have tell no containers apart.
     Character references are decoded and white space in a block is one space. Pages of hosts without a template (few distinct pages, no host) and pages without their
     host's slot give their own article or main element, or else all their blocks outside marked boilerplate; a page of
     nothing else gives its text all the same. Null or empty html gives ''. A null or
     odd url is the host ''. Repeated rows and ids are kept, one row each, and count once as evidence; other columns are not read."""
     rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     table = written(parsed_pages(rows))
-    found = host_templates(table, most_broadcast=most_broadcast, **options)
-    joined = _near(table.select("host", "key", "url", "lines", "paths", "marks"), found, ["host"], "left", most_broadcast // 10).select("key", "url", "lines", "paths", "marks", "slot", "dropped")
+    table, found = host_templates(table, most_broadcast=most_broadcast, **options)
+    # per block, whether it is a run of its host's template
+    fixed = F.transform(_runs(options.get("most_run", MOST_RUN)), lambda h: F.coalesce(F.array_contains("cut", h), F.lit(False)))
+    joined = _near(table.select("host", "key", "url", "lines", "paths", "marks"), found, ["host"], "left", most_broadcast // 10).select("key", "url", "lines", "paths", "marks", "slot", "dropped", fixed.alias("fixed"))
 
     def run(batches):
         for batch in batches:
             out = []
-            for lines, paths, marks, slot, dropped in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
-                blocks = [Block(*x) for x in zip(paths, marks, lines, strict=True)]
+            for lines, paths, marks, slot, dropped, runs in zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True):
+                every = [Block(*x) for x in zip(paths, marks, lines, strict=True)]
+                blocks = [b for b, run in zip(every, runs, strict=True) if not run] or every
                 fixed = frozenset(dropped or ())
                 text = "" if slot is None else "\n".join(b.text for b in blocks if b.boiler == CLEAN and b.path not in fixed and (b.path == slot or b.path.startswith(slot + "/")))
                 if not text:

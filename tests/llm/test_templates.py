@@ -48,7 +48,7 @@ def test_templates(hosts):
     """A slot per host, with the constant containers within and around it."""
     table, _ = hosts
     rows = table.select(F.col("page_id").alias("key"), "url", F.regexp_extract("url", "//(.*?)/", 1).alias("host"), "html")
-    got = {r["host"]: (r["slot"], r["dropped"]) for r in host_templates(parsed_pages(rows).checkpoint()).collect()}
+    got = {r["host"]: (r["slot"], r["dropped"]) for r in host_templates(parsed_pages(rows).checkpoint())[1].collect()}
     assert set(got) == {f"h{i}" for i in range(6)}
     for slot, dropped in got.values():
         assert slot.split(".")[-1].startswith("x#x") and {p.split("div.")[-1] for p in dropped} == {"k0", "k1", "k2", "k3/ul/li"}
@@ -74,6 +74,25 @@ def test_noise_and_few_pages(spark):
             assert got[i].startswith("One and the same title\nc0 c1") and "d0 d1" in got[i]
 
 
+def test_runs_within_the_article_and_changing_names(spark):
+    """Constant lines beside the paragraphs go, long shared passages stay; a wrapper whose class is another one on each page is no other container."""
+    r = random.Random(12)
+    w = lambda k: " ".join("".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 7))) for _ in range(k))
+    name = lambda: "".join(r.choice("bcdfgh") for _ in range(8))
+    rows = []
+    for i in range(24):
+        title, a, b = w(4), w(30), w(20)
+        rows.append((f"http://r/{i}", f"<div class='post'><h1>{title}</h1><p>Share this story now</p><p>{a}</p><p>{b}</p><p>Follow our daily letter</p></div>", f"{title}\n{a}\n{b}"))
+        rows.append((f"http://q/{i}", f"<div class='{name()}'><div class='top'>Welcome reader</div><div id='{name()}'><h1>{title}</h1><p>{a}</p></div><div class='end'>Read also our archive</div></div>", f"{title}\n{a}"))
+    rows.append(("http://r/short", "<div class='post'><p>Share this story now</p></div>", "Share this story now"))  # nothing else: its text all the same
+    rows += [(f"http://few/{i}", f"<div class='post'><p>Share this story now</p><p>text {i}</p></div>", f"Share this story now\ntext {i}") for i in range(7)]
+    table = spark.createDataFrame([(i, u, x) for i, (u, x, _) in enumerate(rows)], "page_id long, url string, html string").repartition(4)
+    for most in (200_000, 0):
+        got = {g["page_id"]: g["text"] for g in extract_articles(table, most_broadcast=most).collect()}
+        for i, (url, _, text) in enumerate(rows):
+            assert got[i] == text, url
+
+
 def test_odd_markup_takes_linear_time():
     """Deep nesting, end tags without a start, very long names: a page of some hundred KB is read at once, and nothing is lost."""
     import time
