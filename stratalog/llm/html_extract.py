@@ -167,11 +167,11 @@ def known_labels(pages: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
     return _on_many(pages, F.filter(last, lambda s: F.contains(s, F.lit("."))), sizes, share, "known")
 
 
-def with_known(table: DataFrame, known: DataFrame, hosts: DataFrame, most: int) -> DataFrame:
-    """table whose paths have, on the hosts given, only labels that are known."""
+def with_known(table: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """table whose paths have, on the hosts of known, only labels that are known there."""
     step = lambda s: F.when(~F.contains(s, F.lit(".")) | F.array_contains(F.coalesce("known", F.array().cast("array<string>")), s), s).otherwise(F.substring_index(s, ".", 1))
     plain = lambda c: F.when(F.col("some"), F.transform(c, lambda p: F.array_join(F.transform(F.split(p, "/"), step), "/"))).otherwise(F.col(c)).alias(c)
-    rows = _near(table, hosts.join(known, "host", "left").withColumn("some", F.lit(True)), ["host"], "left", most)
+    rows = _near(table, known.withColumn("some", F.lit(True)), ["host"], "left", most)
     return rows.select(*[plain(c) if c in ("paths", "opens") else c for c in table.columns])
 
 
@@ -380,9 +380,9 @@ def host_templates(
     pages = distinct_pages(table.where("host <> ''"), most_broadcast)
     sizes = written(pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages))
     enough = sizes.select("host")
-    labels = written(known_labels(_near(pages, enough, ["host"], "left_semi", most_broadcast), sizes, known))
-    table = with_known(table, labels, enough, most_broadcast // 10)
-    pages = _near(distinct_pages(table.where("host <> ''"), most_broadcast), enough, ["host"], "left_semi", most_broadcast)
+    pages = _near(pages, enough, ["host"], "left_semi", most_broadcast)
+    labels = written(enough.join(known_labels(pages, sizes, known), "host", "left"))
+    table, pages = (with_known(x, labels, most_broadcast // 10) for x in (table, pages))
     wanted = written(candidates(pages, support))
     stats = written(occurrence_stats(_near(pages, wanted, ["host"], "inner", most_broadcast // 10)))
     classes = written(classes_of(stats, support, least_class))
