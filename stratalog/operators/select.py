@@ -79,13 +79,13 @@ def selector_type(rules: Ruleset, name: Column) -> Column:
 
 
 def candidates(files: DataFrame, rules: Ruleset, globs: bool = True) -> DataFrame:
-    """(root, path, name, content, ordinal, parser, format, unread): one row per file and candidate rule. Where files have no content, those that a
+    """(root, path, name, content, rank, ordinal, parser, format, unread): one row per file and candidate rule, rank counting a file's from 0. Where files have no content, those that a
     reader accepts by name and path are opened, once each, and unread says why one could not be. Without globs, rules with a
     path glob accept nothing; the path '' is that of no file, which only rules without a reader accept."""
     if not globs:
         rules = Ruleset(tuple(r for r in rules.rules if not r.path_glob))
     if not rules.rules:
-        return files.select("root", "path", F.col("path").alias("name"), F.lit(None).cast("binary").alias("content"), F.lit(0).alias("ordinal"), F.lit("").alias("parser"), F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("unread")).where(F.lit(False))
+        return files.select("root", "path", F.col("path").alias("name"), F.lit(None).cast("binary").alias("content"), F.lit(0).alias("rank"), F.lit(0).alias("ordinal"), F.lit("").alias("parser"), F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("unread")).where(F.lit(False))
     parser = F.create_map(*[x for r in rules.rules for x in (F.lit(r.ordinal), F.lit(r.parser or ""))])
     formats = F.create_map(*[x for k, v in FORMATS.items() for x in (F.lit(k), F.lit(v))])
     path = F.regexp_replace("path", r"\\", "/")
@@ -98,7 +98,7 @@ def candidates(files: DataFrame, rules: Ruleset, globs: bool = True) -> DataFram
         chosen = opened(chosen.where(F.size("ordinals") > 0), most)
     else:
         chosen = chosen.withColumn("unread", F.lit(None).cast("string"))
-    found = chosen.withColumn("path", path).withColumn("ordinal", F.explode("ordinals")).drop("ordinals")
+    found = chosen.select(*[path.alias("path") if c == "path" else c for c in chosen.columns if c != "ordinals"], F.posexplode("ordinals").alias("rank", "ordinal"))
     named = found.withColumn("parser", parser[F.col("ordinal")]).withColumn("format", formats[F.col("parser")])
     named = named.where("path <> '' or parser = ''")
     # selectors need no content

@@ -23,15 +23,12 @@ def _union(parts: list[DataFrame]) -> DataFrame | None:
     return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
 
 
-def outcomes(files: DataFrame, rules: Ruleset, contents: DataFrame | None = None, globs: bool = True) -> DataFrame:
-    """(root, path, ordinal, matched, has_dependencies, dependencies, warnings, error) per file and candidate rule. Only the
-    readers that the ruleset uses are in the plan. contents: where included files are looked up, by default files."""
+def outcomes(rows: DataFrame, rules: Ruleset, contents: DataFrame) -> DataFrame:
+    """(root, path, ordinal, matched, has_dependencies, dependencies, warnings, error) per row of candidates(). Only the
+    readers that the ruleset uses are in the plan. contents: where included files are looked up."""
     used = {r.parser for r in rules.rules}
-    rows = candidates(files, rules, globs)
     plain = [p for p in used if p not in (None, *FORMATS)]
-    several = len(used - {None}) > 1
-    lazy = "content" not in files.columns
-    rows = kept(rows) if several or lazy else rows
+    lazy = "content" not in contents.columns
     found, deps, notes = [], [], []
 
     def add(f=None, d=None, w=None):
@@ -68,7 +65,7 @@ def outcomes(files: DataFrame, rules: Ruleset, contents: DataFrame | None = None
     if "go-mod" in plain:
         add(*lines.go_mod(rows.where("parser = 'go-mod'")))
     if "py-requirements" in plain:
-        add(*lines.requirements(rows.where("parser = 'py-requirements'"), files if contents is None else contents))
+        add(*lines.requirements(rows.where("parser = 'py-requirements'"), contents))
     if "banner-regex" in plain:
         add(*web.banners(rows, rules))
     if "html" in plain:
@@ -103,23 +100,46 @@ def _collected(deps: DataFrame) -> DataFrame:
     return got.select(*KEY, F.transform("d", back).alias("dependencies"))
 
 
-def detect(files: DataFrame, rules: Ruleset | None = None, ignored: tuple[str, ...] = DEFAULT_IGNORED, on_error: str = "fail", globs: bool = True) -> DataFrame:
+def _first(rows: DataFrame, rules: Ruleset, contents: DataFrame, on_error: str) -> DataFrame:
+    """(root, path, m): of each file's candidates the first that matches or, unless errors are skipped, fails. Where files have several
+    candidates, all first ones are read, then the second ones of the files that are left, and so on."""
+    fails = F.col("error").isNotNull() if on_error != "skip" else F.lit(False)
+    best = F.min_by(F.struct("ordinal", "matched", "has_dependencies", F.col("dependencies"), "warnings", "error"), "ordinal").alias("m")
+    first = lambda some: outcomes(some, rules, contents).where(F.col("matched") | fails).groupBy(*FILE).agg(best)
+    several = len({r.parser for r in rules.rules} - {None}) > 1
+    if several or "content" not in contents.columns:
+        rows = kept(rows)
+    last = (rows.agg(F.max("rank")).first()[0] or 0) if several else 0
+    if not last:
+        return first(rows)
+    parts: list[DataFrame] = []
+    for rank in range(last + 1):
+        now = rows.where(F.col("rank") == rank)
+        if parts:
+            done = reduce(lambda a, b: a.union(b), [p.select(*FILE) for p in parts])
+            now = kept(now.join(done, now["root"].eqNullSafe(done["root"]) & (now["path"] == done["path"]), "left_anti"))
+            if now.isEmpty():
+                continue
+        parts.append(kept(first(now)))
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+def detect(files: DataFrame, rules: Ruleset | None = None, ignored: tuple[str, ...] = DEFAULT_IGNORED, on_error: str = "fail", globs: bool = True, contents: DataFrame | None = None) -> DataFrame:
     """MANIFESTS of files (root, path, name, content): per file the first rule by ordinal that matches. Files may be a LISTING, without contents: then
     only those files are opened whose name and path a rule with a reader accepts, and those that they include; one that cannot be read is an error.
 
     A document that cannot be read ends the job, unless an earlier rule matched; with on_error='skip' it falls through to later
     rules, and with 'warn' it becomes a manifest of unknown status whose warning says why. Files under ignored folders are left
     out, but requirements files may include them. Paths are relative to the root; where they are not, globs=False leaves rules with a path glob
-    out. A row with the path '' stands for a name alone: only rules without a reader see it. Rows without a path are
-    dropped; equal rows of one path count once, different ones as one file with the dependencies of both."""
+    out. A null root is the root ''. A row with the path '' stands for a name alone: only rules without a reader see it. Rows without a path are
+    dropped; contents is where included files are looked up, by default files. Equal rows of one path count once, different ones as one file with the dependencies of both."""
     if on_error not in ("fail", "skip", "warn"):
         raise ValueError(f"on_error: {on_error}")
     rules = rules or builtin_rules()
-    rows = files.select("root", "path", F.col("name") if "name" in files.columns else F.lit(None).cast("string").alias("name"), *(["content"] if "content" in files.columns else [])).where("path is not null")
+    plain = lambda x: x.select(F.coalesce("root", F.lit("")).alias("root"), "path", F.col("name") if "name" in x.columns else F.lit(None).cast("string").alias("name"), *(["content"] if "content" in x.columns else [])).where("path is not null")
+    rows = plain(files)
     kept_rows = rows.where(not_ignored(F.regexp_replace("path", r"\\", "/"), ignored))
-    every = outcomes(kept_rows, rules, rows, globs)
-    fails = F.col("error").isNotNull() if on_error != "skip" else F.lit(False)
-    first = every.where(F.col("matched") | fails).groupBy(*FILE).agg(F.min_by(F.struct("ordinal", "matched", "has_dependencies", F.col("dependencies"), "warnings", "error"), "ordinal").alias("m"))
+    first = _first(candidates(kept_rows, rules, globs), rules, rows if contents is None else plain(contents), on_error)
     types = F.create_map(*[x for r in rules.rules for x in (F.lit(r.ordinal), F.lit(r.type))])
     error = F.col("m.error")
     stop = F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("detection failed: "), error))).otherwise(types[F.col("m.ordinal")])

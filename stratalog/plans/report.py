@@ -45,7 +45,7 @@ def text_report(manifests: DataFrame, root: str, show_empty: bool = False) -> It
         yield row["block"]
 
 
-def _entry(row) -> dict:
+def entry(row) -> dict:
     out: dict = {"type": row["type"], "path": row["path"]}
     deps = [{f: d[f] for f in DEP_FIELDS if d[f]} for d in row["dependencies"] or []]
     if deps:
@@ -57,8 +57,8 @@ def _entry(row) -> dict:
 
 
 def json_report(manifests: DataFrame, root: str) -> str:
-    """One JSON document with two-space indents. For many manifests, write_json leaves them distributed."""
-    found = [_entry(r) for r in manifests.orderBy("path", "type").toLocalIterator()]
+    """One JSON document with two-space indents. For many manifests, write_document writes it from many tasks, and write_json leaves them distributed."""
+    found = [entry(r) for r in manifests.orderBy("path", "type").toLocalIterator()]
     return json.dumps({"root": root, "manifests": found or None}, indent=2, ensure_ascii=False) + "\n"
 
 

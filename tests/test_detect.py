@@ -153,3 +153,28 @@ def test_repeated_rows(spark):
     """A path that is given twice counts once."""
     rows = files(spark, [("", "requirements.txt", "a\na\nb")] * 2)
     assert [[d["raw"] for d in r["dependencies"]] for r in detect(rows, builtin_rules().only("python-requirements")).collect()] == [["a", "a", "b"]]
+
+
+def test_later_candidates_of_matched_files_are_not_read(spark, monkeypatch):
+    """First match in stages: a rule's reader sees only files that no earlier one took, and an error of a later rule never shows."""
+    from stratalog.plans import detect as module
+
+    rules = parse_rules("""
+rules:
+- {name: query, filename-regex: '[.]yaml$', yaml: {query: 'a.b'}}
+- {name: listed, filename-regex: '^req.*', py-requirements: {}}
+- {name: mod, filename-regex: '^x.*', go-mod: {}}
+- {name: strict, filename-regex: '[.](yaml|txt)$', json: {exists-any: [a]}}
+- {name: rest, filename-regex: '^x.*'}
+""")
+    rows = [("r", "p/x1.yaml", "a: {b: hit}"), ("r", "q/x2.yaml", "a: {c: no}"), ("r", "req.txt", "one"), ("r", "x3.txt", "module m\n"), ("r", "plain.txt", '{"a": 1}'), (None, "x4.yaml", "a: {b: hit}"), ("r", "y.yaml", '{"a": 2}')]
+    seen = []
+    real = module.outcomes
+    monkeypatch.setattr(module, "outcomes", lambda rows, *more: (seen.append(sorted((r["path"], r["ordinal"]) for r in rows.select("path", "ordinal").collect())), real(rows, *more))[1])
+    got = {(r["root"], r["path"]): r["type"] for r in detect(files(spark, rows), rules, on_error="skip").collect()}
+    assert got == {("r", "p/x1.yaml"): "query", ("r", "q/x2.yaml"): "rest", ("r", "req.txt"): "listed", ("r", "x3.txt"): "mod", ("r", "plain.txt"): "strict", ("", "x4.yaml"): "query", ("r", "y.yaml"): "strict"}
+    ordinals = sorted(r.ordinal for r in rules.rules)
+    assert len(seen) == 4 and seen[0] == sorted([("p/x1.yaml", ordinals[0]), ("q/x2.yaml", ordinals[0]), ("req.txt", ordinals[1]), ("x3.txt", ordinals[2]), ("plain.txt", ordinals[3]), ("x4.yaml", ordinals[0]), ("y.yaml", ordinals[0])])
+    assert {p for stage in seen[1:] for p, _ in stage} == {"q/x2.yaml", "y.yaml"}
+    fails = {r["path"]: r["warnings"] for r in detect(files(spark, rows[:1] + rows[2:4]), rules, on_error="fail").collect()}
+    assert set(fails.values()) == {None}

@@ -14,8 +14,10 @@ from stratalog.functions.text import clean_path, java_regex
 from stratalog.operators.documents import read_xml
 from stratalog.rules import builtin_rules
 from stratalog.plans.detect import detect
+from stratalog.plans.report import json_report
 from stratalog.sources.tree import entries, list_tree, read_tree
-from stratalog.streaming.watch import watch
+from stratalog.sources.document import write_document
+from stratalog.streaming.watch import latest_manifests, watch
 
 
 def tree(tmp_path):
@@ -125,6 +127,46 @@ def test_stream(spark, tmp_path):
     assert {r["type"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"go-sum", "python-requirements"}
 
 
+def test_stream_includes_of_other_batches(spark, tmp_path):
+    """An include of an earlier batch is found; one that comes a batch later is resolved then."""
+    root = tmp_path / "in"
+    root.mkdir()
+    rules = builtin_rules().only("python-requirements", "go-sum")
+
+    def arrive(**named):
+        for name, text in named.items():
+            (root / f"{name}.txt").write_text(text)
+        q = watch(spark, str(root), str(tmp_path / "out"), str(tmp_path / "state"), rules, available_now=True)
+        q.awaitTermination(120)
+        got = latest_manifests(spark, str(tmp_path / "out")).collect()
+        return {r["path"]: ([d["raw"] for d in r["dependencies"] or []], len(r["warnings"] or [])) for r in got}
+
+    assert arrive(requirements="a==1\n-r late.txt\n", base="b==2\n")["requirements.txt"] == (["a==1"], 1)
+    assert arrive(requirements_dev="-r base.txt\nc\n")["requirements_dev.txt"] == (["b==2", "c"], 0)
+    assert arrive(late="d==4\n-r later.txt\n")["requirements.txt"] == (["a==1", "d==4"], 1)
+    got = arrive(later="e\n")
+    assert got["requirements.txt"] == (["a==1", "d==4", "e"], 0) and got["requirements_dev.txt"] == (["b==2", "c"], 0)
+
+
+def test_document_from_many_tasks(spark, tmp_path):
+    rows = [(str(i % 3), f"p{i * 7919 % 500:03d}/{'é' * (i % 2)}requirements.txt", "requirements.txt", bytearray(f"x{i}==1\n".encode())) for i in range(500)]
+    files = spark.createDataFrame(rows, "root string, path string, name string, content binary").repartition(9)
+    manifests = detect(files, builtin_rules().only("python-requirements")).withColumn("root", F.lit("all"))
+    out = tmp_path / "report.json"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_document(manifests, str(out), "/all/é")
+        assert out.read_text() == json_report(manifests, "/all/é") and len(json.loads(out.read_text())["manifests"]) == 500
+        before = out.read_bytes()
+        with pytest.raises(Exception, match="no such luck"):
+            write_document(manifests.withColumn("type", F.when(F.col("path").startswith("p4"), F.raise_error(F.lit("no such luck"))).otherwise(F.col("type"))), str(out), "x")
+        assert out.read_bytes() == before and [p.name for p in tmp_path.iterdir()] == ["report.json"]
+        write_document(manifests.limit(0), str(out), "/none")
+        assert out.read_text() == json_report(manifests.limit(0), "/none")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_text(spark):
     assert java_regex(r"^a\$[$]$") == r"(?d)^a\$[$]\z" and java_regex("(?im)^a$") == "(?d)(?im)^a$"
     rows = spark.createDataFrame([("a/../b/./c",), ("../x",), ("a/../../b",), ("",)], "p string")
