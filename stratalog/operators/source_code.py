@@ -14,6 +14,7 @@ from ..functions import hcl
 from ..functions.literals import CLOSING, OTHER, Name, Source
 from ..rules import Ruleset
 from ..schema import KEY
+from ..storage import kept
 from .presence import any_of, dep_rows, found_rows
 
 #: A match: whether, its dependencies, an error.
@@ -245,6 +246,7 @@ def literal_sources(rows: DataFrame, rules: Ruleset) -> tuple[DataFrame, DataFra
             kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*KEY, "matched", "deps", "error"])
 
-    got = own.select(*KEY, "content").mapInArrow(run, "root string, path string, ordinal int, matched boolean, deps array<string>, error string")
+    # both results come of one reading
+    got = kept(own.select(*KEY, "content").mapInArrow(run, "root string, path string, ordinal int, matched boolean, deps array<string>, error string"))
     deps = got.select(*KEY, F.posexplode("deps").alias("i", "raw"))
     return found_rows(got, F.col("matched"), F.lit(None), F.col("error")), dep_rows(deps, F.format_string("%07d", "i"), raw=F.col("raw"))

@@ -14,6 +14,9 @@ from ..rules import FORMATS, Ruleset, builtin_rules
 from ..schema import DEP_FIELDS, FILE, KEY
 from ..storage import kept
 
+#: Files to read, per file of the table that lists them.
+FILE_ROWS = 10_000
+
 
 class DetectionError(RuntimeError):
     pass
@@ -107,8 +110,9 @@ def _first(rows: DataFrame, rules: Ruleset, contents: DataFrame, on_error: str)
     best = F.min_by(F.struct("ordinal", "matched", "has_dependencies", F.col("dependencies"), "warnings", "error"), "ordinal").alias("m")
     first = lambda some: outcomes(some, rules, contents).where(F.col("matched") | fails).groupBy(*FILE).agg(best)
     several = len({r.parser for r in rules.rules} - {None}) > 1
-    if several or "content" not in contents.columns:
-        rows = kept(rows)
+    # rows that several readers, or several branches of one, would work out again
+    if several or "content" not in contents.columns or rules.using("py-requirements", "go-mod"):
+        rows = kept(rows, FILE_ROWS)
     last = (rows.agg(F.max("rank")).first()[0] or 0) if several else 0
     if not last:
         return first(rows)

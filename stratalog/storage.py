@@ -20,9 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written once as Parquet to the shared folder and reread, so that it is parsed once and outlives lost executors."""
+def kept(df: DataFrame, file_rows: int = 0) -> DataFrame:
+    """df written once as Parquet to the shared folder and reread, so that it is parsed once and outlives lost executors. file_rows: rows of a
+    file at most, for tables whose rows are work rather than bytes (0: no limit), so that more tasks read them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
