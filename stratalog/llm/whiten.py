@@ -142,7 +142,8 @@ def whiten(points: DataFrame, components: int = 32, id_col: str = "vec_id", vect
     equal rows. Null vectors and those of another length than the most common one (ties: the shorter) take no part. Null and repeated ids are carried, a result for each row. Fewer
     dimensions than `components` give fewer rows; an empty table gives none. Other columns are not read, so their names cannot clash.
     The model, of at most MOST_DIMENSIONS^2 numbers, is the only thing that the driver holds."""
-    rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("x")).where("x is not null")
+    # written once: three passes read it
+    rows = written(points.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("x")).where("x is not null"))
     schema = f"`{id_col}` long, component int, n long, deviation long, whitened double, explained double, identity_error double"
     size = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     dim = size["d"] if size else 0
