@@ -3,8 +3,10 @@
 import base64
 import glob
 import hashlib
+import json
 import os
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -16,6 +18,7 @@ import corpus_pipeline
 from stratalog.llm import queries as llm
 from stratalog.llm.mixing import mix_sources
 from stratalog.llm.quality import quality_scores
+from stratalog.llm.warc import derivatives, page_responses, parse_records
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,6 +80,66 @@ def test_derivatives_of_the_whole_table(spark):
     assert all(len(x) == 1 for x in links.values()) and len({r["record_id"] for r in rows}) == len(rows)
 
 
+class Plain(HTMLParser):
+    """Blocks, title and links by the standard library's parser."""
+
+    INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+
+    def __init__(self, source):
+        super().__init__()
+        self.blocks, self.links, self.title, self.held, self.skip = [], [], "", [], None
+        self.feed(source)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if line := " ".join("".join(self.held).split()):
+            self.blocks.append(line)
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title"):
+            self.skip = tag
+        if tag == "br":
+            self.held.append(" ")
+        if tag == "a":
+            self.links += [v or "" for k, v in attrs if k == "href"]
+        if tag not in self.INLINE and tag != self.skip:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag == self.skip:
+            self.skip = None
+        elif tag not in self.INLINE:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.held.append(data)
+        elif self.skip == "title" and not self.title:
+            self.title = " ".join(data.split())
+
+
+def test_derivatives_against_an_html_parser(spark):
+    """op5's records, whose digests are the query's: text, title, links and HTTP headers of every page."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    digests = {(r["page_id"], r["type"]): r["record_sha256"] for r in llm.op5_warc_derivatives(spark, SF).collect()}
+    source = {r["page_id"]: r["html"] or "" for r in pages.collect()}
+    seen = 0
+    for r in derivatives(page_responses(pages), keep=("page_id",)).collect():
+        record, want = bytes(r["record"]), Plain(source[r["page_id"]])
+        assert hashlib.sha256(record).hexdigest() == digests[r["page_id"], r["type"]]
+        (_, block), = parse_records(record)
+        if r["type"] == "conversion":
+            assert block.decode() == "".join(b + "\n" for b in want.blocks)
+        else:
+            meta = json.loads(block)
+            assert meta["html"] == {"title": want.title, "links": want.links} and meta["http"]["status"] == "HTTP/1.1 200 OK"
+            assert dict(meta["http"]["headers"])["Content-Length"] == str(len(source[r["page_id"]].encode()))
+        seen += bool(want.blocks)
+    assert seen > 20
+
+
 def test_fingerprints_of_the_whole_table(spark):
     """op8 against brute force with the band of production."""
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
