@@ -196,6 +196,35 @@ def html_scripts_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(files_from_table(pages, text("p/", F.col("page_id"), ".html"), body), "html-external-scripts", fields=("raw",)).select("path", "raw")
 
 
+@query("""
+select 'p/' || page_id || '.html' as path, 'https://cdn.org/' || page_id || '/' || m || '.js' as raw from pages, (select unnest(['a', 'b']) as m) where page_id % 4 < 3
+""")
+def import_maps_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import maps are known by their type in any case; one of another type has no imports."""
+    n = F.col("page_id")
+    kind = F.element_at(F.array(*map(F.lit, ("importmap", "IMPORTMAP", "ImportMap", "speculationrules"))), (n % 4 + 1).cast("int"))
+    body = text("<script TYPE='", kind, '\'>{"imports": {"a": "https://cdn.org/', n, '/a.js", "b": "https://cdn.org/', n, '/b.js", "c": "./local.js"}}</script>')
+    return views.dependencies(found(files_from_table(table(spark, sf_dir, "pages"), text("p/", n, ".html"), body), "html-external-scripts")).select("path", "raw")
+
+
+@query("select 'w/' || s_nationkey || '/' || s_suppkey || '/go.sum' as path, 'go-sum' as type from supplier where s_suppkey % 3 > 0")
+def backslash_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backslashes in paths are slashes, also where ignored folders are looked for."""
+    s = table(spark, sf_dir, "supplier")
+    path = text("w\\", F.when(F.col("s_suppkey") % 3 == 0, text("vendor\\", F.col("s_nationkey"))).otherwise(F.col("s_nationkey").cast("string")), "\\", F.col("s_suppkey"), "\\go.sum")
+    files = s.select(F.lit("").alias("root"), path.alias("path"), F.lit("").cast("binary").alias("content"))
+    return found(files, "go-sum").select("path", "type")
+
+
+@query("select 'c' || c_custkey as root, 'go-sum' as type from customer where c_custkey % 3 = 0")
+def names_without_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name without a path: only rules without a reader answer, whatever the content."""
+    n = F.col("c_custkey")
+    name = F.element_at(F.array(F.lit("go.sum"), F.lit("package.json"), F.lit("go.mod")), (n % 3 + 1).cast("int"))
+    files = table(spark, sf_dir, "customer").select(text("c", n).alias("root"), F.lit("").alias("path"), name.alias("name"), F.lit("module m\n").cast("binary").alias("content"))
+    return found(files, "go-sum", "js", "go-mod").select("root", "type")
+
+
 @query("select page_id, cast(len(regexp_extract_all(html, '(?is)<script\\b([^>]*)>(.*?)</script>')) as bigint) as blocks from pages")
 def html_script_blocks_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(script_blocks(F.col("html"))).cast("long").alias("blocks"))
