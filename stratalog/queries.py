@@ -225,6 +225,40 @@ def names_without_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(files, "go-sum", "js", "go-mod").select("root", "type")
 
 
+@query("select 'x/' || p_partkey || '/pom.xml' as path, p_size > 25 as has_dependencies from part")
+def xml_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies at their place, with and without a namespace, also where the text breaks off behind them; elsewhere they do not count."""
+    n, some = F.col("p_partkey"), F.col("p_size") > 25
+    head = F.when(n % 2 == 0, '<m:project xmlns:m="u">').otherwise("<project>")
+    inner = text("<dependencies>", F.when(n % 2 == 0, "<!-- none -->").otherwise(""), "<dependency><a>", F.col("p_brand"), "</a></dependency>")
+    close = F.when(n % 2 == 0, "</m:project>").otherwise("</project>")
+    body = text(head, "<name>", F.col("p_size"), "</name>", F.when(some, inner).otherwise(text("<build>", inner, "</dependencies></build>", close)), F.when(some & (n % 3 > 0), text("</dependencies>", close)).otherwise(""))
+    return found(files_from_table(table(spark, sf_dir, "part"), text("x/", n, "/pom.xml"), body), "java").select("path", "has_dependencies")
+
+
+@query("""
+select 'i/' || s_nationkey || '/setup.cfg' as path, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as pos, 's' || s_suppkey || '>=' || (s_suppkey % 7) as raw from supplier
+""")
+def ini_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indented items of a key, whatever the case of section and key, between other keys and comments."""
+    n = F.col("s_nationkey")
+    rows = gathered(table(spark, sf_dir, "supplier"), "s_nationkey", ["s_suppkey"], text("  s", F.col("s_suppkey"), ">=", F.col("s_suppkey") % 7, "\n"), "")
+    body = text("; note\n[metadata]\nname = x", n, "\n\n", F.when(n % 2 == 0, "[options]\ninstall_requires =\n").otherwise("[Options]\nzip_safe: false\nInstall_Requires =\n"), F.col("body"), "# end\n[other]\ninstall_requires = no\n")
+    return listed(files_from_table(rows, text("i/", n, "/setup.cfg"), body), "python-setup-cfg", fields=("raw",))
+
+
+EXISTS_RULE = "rules: [{name: piped, filename-regex: '[.]pipe$', yaml: {exists: 'stages[].image.tag'}}]"
+
+
+@query("select 'y/' || c_custkey || '.pipe' as path, cast(null as boolean) as has_dependencies from customer where c_custkey % 3 = 0 or c_nationkey > 20")
+def yaml_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path that must lead to a node, through items of lists; what is there may be null."""
+    n = F.col("c_custkey")
+    first = F.when(n % 3 == 0, text("- image: {tag: ", F.when(n % 2 == 0, "null").otherwise(F.col("c_nationkey").cast("string")), "}\n")).otherwise("- image: {name: a}\n")
+    second = F.when(F.col("c_nationkey") > 20, "- image:\n    tag: [1]\n").otherwise("- image: [tag]\n- tag: 1\n")
+    return detect(files_from_table(table(spark, sf_dir, "customer"), text("y/", n, ".pipe"), text("name: p", n, "\nstages:\n", first, second)), parse_rules(EXISTS_RULE)).select("path", "has_dependencies")
+
+
 @query("select page_id, cast(len(regexp_extract_all(html, '(?is)<script\\b([^>]*)>(.*?)</script>')) as bigint) as blocks from pages")
 def html_script_blocks_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(script_blocks(F.col("html"))).cast("long").alias("blocks"))
