@@ -246,5 +246,44 @@ from made left join sums using (doc_id) left join kept using (doc_id)
 """
 
 
+def _xxh64(source: str) -> str:
+    """Steps of a WITH clause that end in hashed (s, h ubigint): the XXH64, seed 42, of the texts s of a table. Products are taken in 128 bits."""
+    m, seed = "18446744073709551616::uhugeint", "42::uhugeint"
+    # fixed values of the hash
+    p1, p2, p3, p4, p5 = (f"{p}::uhugeint" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    mul, add = lambda a, b: f"(({a}) * ({b}) % {m})", lambda a, b: f"((({a}) + ({b})) % {m})"
+    turned = lambda x, r: f"((({x}) * {1 << r}::uhugeint) % {m} + ({x}) // {1 << (64 - r)}::uhugeint)"
+    step = lambda v, k: mul(turned(add(v, mul(k, p2)), 31), p1)
+    read = lambda at, size: "('0x' || " + " || ".join(f"substr(x, {at} + {2 * (size - 1 - i)}, 2)" for i in range(size)) + ")::ubigint::uhugeint"
+    down = lambda x, r: f"xor({x}, {x} // {1 << r}::uhugeint)"
+    starts = (add(add(seed, p1), p2), add(seed, p2), seed, add(seed, f"{m} - {p1}"))
+    lanes = ", ".join(f"list_reduce(list_concat([{v}], list_transform(range(n // 32), lambda i: l[4 * i + {j + 1}])), lambda v, k: {step('v', 'k')}) as v{j}" for j, v in enumerate(starts))
+    whole = add(add(add(turned("v0", 1), turned("v1", 7)), turned("v2", 12)), turned("v3", 18))
+    joined = "".join(f", x{j} as (select *, {add(mul(f'xor(h{j}, {step("0::uhugeint", f"v{j}")})', p1), p4)} as h{j + 1} from {f'x{j - 1}' if j else 'xs'})" for j in range(4))
+    return f"""xb as (select s, hex(encode(s)) as x, strlen(s) as n from {source}),
+xl as (select *, list_transform(range(n // 8), lambda i: {read('1 + 16 * i', 8)}) as l from xb),
+xa as (select *, {lanes} from xl), xs as (select *, case when n >= 32 then {whole} end as h0 from xa){joined},
+xn as (select s, x, n, l, {add(f'coalesce(h4, {add(seed, p5)})', 'n::uhugeint')} as h from x3),
+xe as (select s, x, n, list_reduce(list_concat([h], l[n // 32 * 4 + 1:n // 8]), lambda h, k: {add(mul(turned(f'xor(h, {step("0::uhugeint", "k")})', 27), p1), p4)}) as h from xn),
+xf as (select s, x, n, case when n % 8 >= 4 then {add(mul(turned(f'xor(h, {mul(read("1 + n // 8 * 16", 4), p1)})', 23), p2), p3)} else h end as h from xe),
+xg as (select s, list_reduce(list_concat([h], list_transform(range(n // 4 * 4, n), lambda i: {read('1 + 2 * i', 1)})), lambda h, k: {mul(turned(f'xor(h, {mul("k", p5)})', 11), p1)}) as h from xf),
+xh as (select s, {mul(down('h', 33), p2)} as h from xg), xi as (select s, {mul(down('h', 29), p3)} as h from xh),
+hashed as (select s, {down('h', 32)}::ubigint as h from xi)"""
+
+
+#: All pairs of fingerprints, then everything that links reach.
+OP13_SQL = WORDS_SQL.replace("with w as", "with recursive w as", 1).rstrip() + f""", sh as (
+  select doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w
+), given as (select distinct s from sh), {_xxh64("given")},
+bits as (select doc_id, ({" + ".join(f"case when 2 * sum((h >> {b}) & 1) > count(*) then {1 << b}::uhugeint else 0::uhugeint end" for b in range(64))})::ubigint as f from sh join hashed using (s) group by doc_id),
+fp as (select w.doc_id, coalesce(f, 0::ubigint) as f from w left join bits using (doc_id)),
+node as (select f, min(doc_id) as low from fp group by f),
+link as (select a.f as a, b.f as b from node a join node b on bit_count(xor(a.f, b.f)::bit) <= 4),
+reach(a, b) as (select f, f from node union select reach.a, link.b from reach join link on reach.b = link.a),
+top as (select a, min(low) as c from reach join node on node.f = reach.b group by a)
+select doc_id, lower(lpad(to_hex(f), 16, '0')) as fingerprint, c as component_id from fp join top on a = f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_periodic_runs": OP12_SQL, "op2_lm_scoring": OP2_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_html_extraction": OP10_SQL, "op7_nearest_neighbours": OP7_SQL, "op4_mixing_sources": OP4_SQL, "op1_chat_formatting": OP1_SQL}
+    return {"op13_simhash_near_dedup": OP13_SQL, "op12_periodic_runs": OP12_SQL, "op2_lm_scoring": OP2_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_html_extraction": OP10_SQL, "op7_nearest_neighbours": OP7_SQL, "op4_mixing_sources": OP4_SQL, "op1_chat_formatting": OP1_SQL}
