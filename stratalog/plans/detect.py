@@ -11,7 +11,7 @@ from ..operators import lines, locks, presence, source_code, web
 from ..operators.documents import nodes as nodes_of
 from ..operators.select import DEFAULT_IGNORED, candidates, not_ignored
 from ..rules import FORMATS, Ruleset, builtin_rules
-from ..schema import DEP_FIELDS, FILE, KEY
+from ..schema import DEP_FIELDS, DEPENDENCY, FILE, KEY
 from ..storage import kept
 
 #: Files to read, per file of the table that lists them.
@@ -82,7 +82,7 @@ def outcomes(rows: DataFrame, rules: Ruleset, contents: DataFrame) -> DataFrame:
         listed = _collected(listed)
         out = out.join(listed, KEY, "left")
     else:
-        out = out.withColumn("dependencies", F.lit(None))
+        out = out.withColumn("dependencies", F.lit(None).cast(f"array<{DEPENDENCY}>"))
     noted = _union(notes)
     if noted is not None:
         noted = noted.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("seat", "warning"))).alias("w")).select(*KEY, F.transform("w", lambda x: x["warning"]).alias("warnings"))
@@ -105,26 +105,29 @@ def _collected(deps: DataFrame) -> DataFrame:
 
 def _first(rows: DataFrame, rules: Ruleset, contents: DataFrame, on_error: str) -> DataFrame:
     """(root, path, m): of each file's candidates the first that matches or, unless errors are skipped, fails. Where files have several
-    candidates, all first ones are read, then the second ones of the files that are left, and so on."""
+    candidates, all first ones are read, then the second ones of the files that are left, and so on, each time by the readers that are asked for."""
     fails = F.col("error").isNotNull() if on_error != "skip" else F.lit(False)
     best = F.min_by(F.struct("ordinal", "matched", "has_dependencies", F.col("dependencies"), "warnings", "error"), "ordinal").alias("m")
-    first = lambda some: outcomes(some, rules, contents).where(F.col("matched") | fails).groupBy(*FILE).agg(best)
+    first = lambda some, by: outcomes(some, by, contents).where(F.col("matched") | fails).groupBy(*FILE).agg(best)
     several = len({r.parser for r in rules.rules} - {None}) > 1
     # rows that several readers, or several branches of one, would work out again
     if several or "content" not in contents.columns or rules.using("py-requirements", "go-mod"):
         rows = kept(rows, FILE_ROWS)
-    last = (rows.agg(F.max("rank")).first()[0] or 0) if several else 0
-    if not last:
-        return first(rows)
+    if not several:
+        return first(rows, rules)
+    asked = {r["rank"]: r["ordinals"] for r in rows.groupBy("rank").agg(F.collect_set("ordinal").alias("ordinals")).collect()}
+    some = {rank: Ruleset(tuple(r for r in rules.rules if r.ordinal in ordinals)) for rank, ordinals in sorted(asked.items())}
+    if len(some) < 2:
+        return first(rows, some.get(0, Ruleset(rules.rules[:1])))
     parts: list[DataFrame] = []
-    for rank in range(last + 1):
+    for rank, by in some.items():
         now = rows.where(F.col("rank") == rank)
         if parts:
             done = reduce(lambda a, b: a.union(b), [p.select(*FILE) for p in parts])
             now = kept(now.join(done, now["root"].eqNullSafe(done["root"]) & (now["path"] == done["path"]), "left_anti"))
             if now.isEmpty():
                 continue
-        parts.append(kept(first(now)))
+        parts.append(kept(first(now, by)))
     return reduce(lambda a, b: a.union(b), parts)
 
 
