@@ -67,6 +67,8 @@ def reaches(rules: Ruleset) -> dict[int, tuple[int, frozenset[str] | None]]:
     return out
 
 
+#: Rows that tell of every document whether it could be read.
+EACH = "at = '' or kind = 'error'"
 #: Not empty: everything but null, "", [] and {}.
 FULL = "kind <> 'null' and not (kind in ('string', 'array', 'object') and size = 0) and kind <> 'error'"
 
@@ -94,7 +96,8 @@ def presence(nodes: DataFrame, rules: Ruleset) -> DataFrame:
 
 def existence(nodes: DataFrame, rules: Ruleset) -> DataFrame:
     """FOUND of yaml.exists: a match of unknown status where the path leads to a node."""
-    yes = nodes.where(having(rules, "yaml", "exists")).groupBy(*KEY).agg(F.max(hits(rules, "yaml", "exists")).alias("has"), F.max(F.when(F.col("kind") == "error", F.col("value"))).alias("error"))
+    hit = hits(rules, "yaml", "exists")
+    yes = nodes.where(having(rules, "yaml", "exists") & (hit | F.expr(EACH))).groupBy(*KEY).agg(F.max(hit).alias("has"), F.max(F.when(F.col("kind") == "error", F.col("value"))).alias("error"))
     return found_rows(yes, F.col("has"), F.lit(None), F.col("error"))
 
 

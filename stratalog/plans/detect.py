@@ -12,10 +12,7 @@ from ..operators.documents import nodes as nodes_of
 from ..operators.select import DEFAULT_IGNORED, candidates, not_ignored
 from ..rules import FORMATS, Ruleset, builtin_rules
 from ..schema import DEP_FIELDS, DEPENDENCY, FILE, KEY
-from ..storage import kept
-
-#: Files to read, per file of the table that lists them.
-FILE_ROWS = 10_000
+from ..storage import FILE_ROWS, PART_ROWS, kept
 
 
 class DetectionError(RuntimeError):
@@ -51,7 +48,7 @@ def outcomes(rows: DataFrame, rules: Ruleset, contents: DataFrame) -> DataFrame:
             yarn = rows.where("parser = 'yarn-lock'").withColumn("kind", kind)
             add(*locks.yarn_classic(yarn.where("kind = 'classic'").drop("kind")))
             source = rows.where("parser <> 'yarn-lock'").unionByName(yarn.where("kind = 'modern'").drop("kind"))
-        nodes = kept(nodes_of(source, presence.reaches(rules)))
+        nodes = kept(nodes_of(source, presence.reaches(rules)), PART_ROWS)
         if used & {"json", "xml", "yaml", "toml"}:
             add(presence.presence(nodes, rules))
         if any(r.params.get("exists") for r in rules.using("yaml")):
@@ -110,8 +107,8 @@ def _first(rows: DataFrame, rules: Ruleset, contents: DataFrame, on_error: str)
     best = F.min_by(F.struct("ordinal", "matched", "has_dependencies", F.col("dependencies"), "warnings", "error"), "ordinal").alias("m")
     first = lambda some, by: outcomes(some, by, contents).where(F.col("matched") | fails).groupBy(*FILE).agg(best)
     several = len({r.parser for r in rules.rules} - {None}) > 1
-    # rows that several readers, or several branches of one, would work out again
-    if several or "content" not in contents.columns or rules.using("py-requirements", "go-mod"):
+    # rows that several readers, or several branches of one, would work out again, and rows that Python reads: a table of few bytes is few tasks', its files are work for many
+    if several or "content" not in contents.columns or rules.using("py-requirements", "go-mod", *FORMATS):
         rows = kept(rows, FILE_ROWS)
     if not several:
         return first(rows, rules)
@@ -124,7 +121,7 @@ def _first(rows: DataFrame, rules: Ruleset, contents: DataFrame, on_error: str)
         now = rows.where(F.col("rank") == rank)
         if parts:
             done = reduce(lambda a, b: a.union(b), [p.select(*FILE) for p in parts])
-            now = kept(now.join(done, now["root"].eqNullSafe(done["root"]) & (now["path"] == done["path"]), "left_anti"))
+            now = kept(now.join(done, now["root"].eqNullSafe(done["root"]) & (now["path"] == done["path"]), "left_anti"), FILE_ROWS)
             if now.isEmpty():
                 continue
         parts.append(kept(first(now, by)))

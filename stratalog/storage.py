@@ -7,6 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Files to read, per file of the table that lists them.
+FILE_ROWS = 10_000
+#: Rows per file of tables of nodes and lines. Spark packs 32 files into a task at most (4 MB for opening each, 128 MB a task), so
+#: a task that sorts or groups them has a bounded number, however well they compress and however few tasks wrote them.
+PART_ROWS = 50_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The application's folder in spark.checkpoint.dir, which may be removed as a whole once the application has ended. Only a local
