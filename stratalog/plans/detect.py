@@ -108,7 +108,7 @@ def _first(rows: DataFrame, rules: Ruleset, contents: DataFrame, on_error: str)
     first = lambda some, by: outcomes(some, by, contents).where(F.col("matched") | fails).groupBy(*FILE).agg(best)
     several = len({r.parser for r in rules.rules} - {None}) > 1
     # rows that several readers, or several branches of one, would work out again, and rows that Python reads: a table of few bytes is few tasks', its files are work for many
-    if several or "content" not in contents.columns or rules.using("py-requirements", "go-mod", *FORMATS):
+    if several or "content" not in contents.columns or rules.using("py-requirements", "go-mod", *FORMATS, *source_code.MATCHERS):
         rows = kept(rows, FILE_ROWS)
     if not several:
         return first(rows, rules)

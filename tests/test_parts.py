@@ -1,9 +1,10 @@
 """Tables between the steps are cut so that no task's share grows with the input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratalog.plans import detect as plan
-from stratalog.rules import parse_rules
+from stratalog.rules import builtin_rules, parse_rules
 from stratalog.sources.tree import files_from_table
 
 ROWS = 20_001
@@ -35,3 +36,16 @@ def test_documents_are_dealt_to_many_tasks(spark, monkeypatch):
     files, nodes = (next(x for x in seen if column in x[0]) for column in ("content", "kind"))
     assert files[1] == ROWS and files[2] <= plan.FILE_ROWS
     assert nodes[1] == 6 * ROWS and nodes[2] <= plan.PART_ROWS
+
+
+SOURCES = {
+    "terraform.aws_glue_job.python": ("/main.tf", 'resource "aws_glue_job" "j" {\n  default_arguments = {\n    "--job-language" = "python"\n    "--additional-python-modules" = "a"\n  }\n}\n'),
+}
+
+
+@pytest.mark.parametrize("kind", SOURCES)
+def test_sources_are_dealt_to_many_tasks(spark, monkeypatch, kind):
+    got, seen = cut(monkeypatch, plan, lambda: plan.detect(one_task(spark, *SOURCES[kind]), builtin_rules().only(kind)))
+    assert got.count() == ROWS
+    files = next(x for x in seen if "content" in x[0])
+    assert files[1] == ROWS and files[2] <= plan.FILE_ROWS
