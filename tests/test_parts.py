@@ -40,6 +40,7 @@ def test_documents_are_dealt_to_many_tasks(spark, monkeypatch):
 
 SOURCES = {
     "terraform.aws_glue_job.python": ("/main.tf", 'resource "aws_glue_job" "j" {\n  default_arguments = {\n    "--job-language" = "python"\n    "--additional-python-modules" = "a"\n  }\n}\n'),
+    "python.cdk.aws_glue_job.python": ("/x.py", 'from aws_cdk import aws_glue\nM = "a"\naws_glue.CfnJob(self, "x", default_arguments={"--job-language": "python", "--additional-python-modules": M})\n'),
 }
 
 
