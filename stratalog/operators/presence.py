@@ -103,7 +103,7 @@ def existence(nodes: DataFrame, rules: Ruleset) -> DataFrame:
 
 def _read(nodes: DataFrame, parser: str, condition: Column) -> DataFrame:
     """FOUND of readers that match only with dependencies."""
-    files = nodes.where((F.col("parser") == parser) & condition).groupBy(*KEY).agg(F.max(F.when(F.col("kind") == "error", F.col("value"))).alias("error"))
+    files = nodes.where((F.col("parser") == parser) & condition & F.expr(EACH)).groupBy(*KEY).agg(F.max(F.when(F.col("kind") == "error", F.col("value"))).alias("error"))
     return found_rows(files, F.lit(None), F.lit(None), F.col("error"))
 
 

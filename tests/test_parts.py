@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stratalog.operators import presence
+from stratalog.operators.documents import NODES
 from stratalog.plans import detect as plan
 from stratalog.rules import builtin_rules, parse_rules
 from stratalog.sources.tree import files_from_table
@@ -50,3 +52,14 @@ def test_sources_are_dealt_to_many_tasks(spark, monkeypatch, kind):
     assert got.count() == ROWS
     files = next(x for x in seen if "content" in x[0])
     assert files[1] == ROWS and files[2] <= plan.FILE_ROWS
+
+
+def filters(df):
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+
+
+def test_only_rows_that_tell_are_grouped(spark):
+    """What is sorted to group it grows with documents and hits, not with all nodes."""
+    rules = parse_rules("rules: [{name: q, filename-regex: '[.]q$', yaml: {query: 'a[].b'}}, {name: t, filename-regex: '[.]t$', toml: {exists-any: ['x.y']}}]")
+    nodes = spark.createDataFrame([], NODES)
+    assert any("= error" in x for x in filters(presence.yaml_queries(nodes, rules)[0]))
