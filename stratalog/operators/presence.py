@@ -87,7 +87,7 @@ def presence(nodes: DataFrame, rules: Ruleset) -> DataFrame:
     asked = (F.col("parser").isin("json", "xml")) | having(rules, "yaml", "exists-any") | toml
     error = F.max(F.when(F.col("kind") == "error", F.col("value")))
     root_kind = F.max(F.when((F.col("at") == "") & (F.col("kind") != "error"), F.col("kind")))
-    yes = nodes.where(asked).groupBy(*KEY, "parser").agg(F.max(full).alias("has"), error.alias("error"), root_kind.alias("root_kind"))
+    yes = nodes.where(asked & (full | F.expr(EACH))).groupBy(*KEY, "parser").agg(F.max(full).alias("has"), error.alias("error"), root_kind.alias("root_kind"))
     odd = (F.col("parser") == "json") & ~F.coalesce(F.col("root_kind").isin("object", "null"), F.lit(True))
     # what is found before a syntax error counts in XML, which is read as a stream
     bad = F.when((F.col("parser") == "xml") & F.col("has"), F.lit(None)).when(odd, F.lit("the top is not an object")).otherwise(F.col("error"))

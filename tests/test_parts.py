@@ -63,3 +63,4 @@ def test_only_rows_that_tell_are_grouped(spark):
     rules = parse_rules("rules: [{name: q, filename-regex: '[.]q$', yaml: {query: 'a[].b'}}, {name: t, filename-regex: '[.]t$', toml: {exists-any: ['x.y']}}]")
     nodes = spark.createDataFrame([], NODES)
     assert any("= error" in x for x in filters(presence.yaml_queries(nodes, rules)[0]))
+    assert any("= error" in x for x in filters(presence.presence(nodes, rules)))
