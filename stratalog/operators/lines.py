@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.text import clean_path, parent_of, pep508, quoted, tidy
 from ..schema import KEY
 from ..sources.contents import opened
-from ..storage import kept
+from ..storage import FILE_ROWS, PART_ROWS, kept
 from .presence import dep_rows, found_rows
 
 #: Options whose lines are not dependencies, and options that include a file.
@@ -79,7 +79,7 @@ def requirements(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
     lazy = "content" not in files.columns
     content = files.select("root", F.regexp_replace("path", r"\\", "/").alias("aim"), "path" if lazy else "content")
     while True:
-        lines = kept(_split(level))
+        lines = kept(_split(level), PART_ROWS)
         deps.append(lines.where("target is null"))
         more = lines.where("target is not null").withColumn("aim", clean_path(F.concat_ws("/", parent_of(F.element_at("stack", -1)), "target")))
         if more.isEmpty():
@@ -94,7 +94,7 @@ def requirements(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
             wanted = opened(wanted, F.lit(None)).drop("path", "unread")
         met = more.where(~cycle).join(wanted, ["root", "aim"], "left")
         notes.append(met.where("content is null").select(*KEY, "seat", F.concat(F.lit("could not read included requirements file "), quoted(F.col("target")), F.lit(": open "), full, F.lit(": no such file or directory")).alias("warning")))
-        level = kept(met.where("content is not null").select(*KEY, F.concat("stack", F.array("aim")).alias("stack"), "seat", "content"))
+        level = kept(met.where("content is not null").select(*KEY, F.concat("stack", F.array("aim")).alias("stack"), "seat", "content"), FILE_ROWS)
     every = reduce(lambda a, b: a.unionByName(b), deps)
     name, rest = pep508(F.col("text"))
     out = dep_rows(every, F.col("seat"), raw=F.col("text"), name=name, constraint=rest)

@@ -49,11 +49,14 @@ def sections(manifests: DataFrame) -> DataFrame:
 
 
 def package_usage(manifests: DataFrame) -> DataFrame:
-    """(name, manifests, versions): an extension across repositories. Partial sums come before the shuffle."""
-    d = dependencies(manifests).where("name is not null")
-    once = d.groupBy("name", *FILE).agg(F.count("*").alias("n"))
-    versions = d.where("version is not null").select("name", "version").distinct().groupBy("name").agg(F.count("*").alias("versions"))
-    return once.groupBy("name").agg(F.count("*").alias("manifests"), F.sum("n").alias("uses")).join(versions, "name", "left").withColumn("versions", F.coalesce("versions", F.lit(0)))
+    """(name, manifests, uses, versions): an extension across repositories. A file is one row of manifests, so its first use of a name is found within
+    the row, and what is grouped grows with names and versions, not with files. Partial sums come before the shuffle."""
+    named = F.filter("dependencies", lambda d: d["name"].isNotNull())
+    uses = manifests.select(F.sort_array(F.transform(named, lambda d: F.struct(d["name"].alias("name"), d["version"].alias("version")))).alias("u"))
+    first = lambda d, i: (i == 0) | (d["name"] != F.get(F.col("u"), i - 1)["name"])
+    each = uses.select(F.explode(F.transform("u", lambda d, i: F.struct(d["name"].alias("name"), d["version"].alias("version"), first(d, i).cast("long").alias("first")))).alias("d")).select("d.*")
+    by_version = each.groupBy("name", "version").agg(F.sum("first").alias("manifests"), F.count("*").alias("uses"))
+    return by_version.groupBy("name").agg(F.sum("manifests").alias("manifests"), F.sum("uses").alias("uses"), F.count("version").alias("versions"))
 
 
 def register(manifests: DataFrame, files: DataFrame | None = None) -> None:

@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.operators import presence
+from stratalog.operators import lines, presence
 from stratalog.operators.documents import NODES
 from stratalog.plans import detect as plan
+from stratalog.plans import views
 from stratalog.rules import builtin_rules, parse_rules
+from stratalog.schema import MANIFESTS
 from stratalog.sources.tree import files_from_table
 
 ROWS = 20_001
@@ -64,3 +66,19 @@ def test_only_rows_that_tell_are_grouped(spark):
     nodes = spark.createDataFrame([], NODES)
     assert any("= error" in x for x in filters(presence.yaml_queries(nodes, rules)[0]))
     assert any("= error" in x for x in filters(presence.presence(nodes, rules)))
+
+
+def test_lines_are_cut(spark, monkeypatch):
+    got, seen = cut(monkeypatch, lines, lambda: plan.detect(one_task(spark, "/requirements.txt", "a==1\nb\na==2\n"), builtin_rules().only("python-requirements")))
+    assert got.count() == ROWS
+    texts = next(x for x in seen if "text" in x[0])
+    assert texts[1] == 3 * ROWS and texts[2] <= plan.PART_ROWS
+
+
+def test_usage_groups_by_names(spark):
+    """A name that a file lists twice is one manifest with two uses; nothing is grouped per file."""
+    one = lambda name, version=None: (None, name, version, None, None, None, None)
+    rows = [("", "x", "t", [one("a", "2"), one("b"), one("a", "1"), one(None, "9"), one("a")], True, None), ("", "y", "t", [one("a", "1")], True, None), ("", "z", "t", None, None, None)]
+    got = views.package_usage(spark.createDataFrame(rows, MANIFESTS))
+    assert sorted(map(tuple, got.collect())) == [("a", 2, 4, 2), ("b", 1, 1, 0)]
+    assert not any("Aggregate" in x and "path" in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
