@@ -26,6 +26,8 @@ WIDTH = 6
 BLOCK = 2_000_000
 #: Sets per side of a verification task.
 CHUNK = 128
+#: Rows to drop that are broadcast; beyond, all rows are shuffled to them.
+MOST_BROADCAST = 1_000_000
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -253,7 +255,7 @@ def _links(nodes: DataFrame, percent: int, chunk: int) -> DataFrame:
     return links.union(_verify(side("p"), side("q"), percent))
 
 
-def jaccard_dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def jaccard_dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK, chunk: int = CHUNK, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The rows of docs, with all their columns, of which one of each group of near copies stays (five-word shingles, similarity 0.8).
 
     Rows count, not ids: the row of the smallest id stays, of equal ids that of the smallest row hash, and rows without an id
@@ -274,7 +276,8 @@ def jaccard_dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = docs.select(body.alias("body"), text.alias("id"), row.alias("row"))
     same = lambda other: whole["row"].eqNullSafe(other["row"]) & whole["id"].eqNullSafe(other["id"])
     gone, twice = pick.where("not stay"), pick.where("stay and times > 1")
-    left = whole.join(gone, same(gone), "left_anti")
+    # the few keys go to the rows, not the whole rows to the keys
+    left = whole.join(F.broadcast(gone) if gone.count() <= most_broadcast else gone, same(gone), "left_anti")
     if not twice.isEmpty():
         left = left.join(twice, same(twice), "left_anti").union(left.join(twice, same(twice), "left_semi").dropDuplicates(["id", "row"]))
     return left.select(*[F.col(f"body.c{i}").alias(c) for i, c in enumerate(docs.columns)])
