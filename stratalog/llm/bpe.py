@@ -29,6 +29,8 @@ BLOCK = 16_000_000
 SHARDS = 64
 #: Bytes of words and ids that a task remembers; a shard with more distinct words has some of them encoded again.
 HELD = 64_000_000
+#: Numbers that one numpy pass handles: its temporaries stay small beside a block's own arrays, which are of 32 bits where they can be.
+SLICE = 1 << 18
 #: Numbers below LOW have a class of their own, those below MIDDLE share one by their high byte, those below HIGH by two.
 LOW, MIDDLE, HIGH = 160, 160 + (64 << 8), 160 + (64 << 8) + (31 << 16)
 #: White_Space of Unicode, as \s of the pattern means it.
@@ -57,35 +59,46 @@ class PreTokens:
         self.known, self.texts, self.chars = _Numbers(), [], 0
 
     def add(self, text: str) -> None:
-        self.texts.append(np.fromiter(map(self.known.__getitem__, self.runs.findall(text)), np.int64))
+        self.texts.append(np.fromiter(map(self.known.__getitem__, self.runs.findall(text)), np.int32))
         self.chars += len(text)
 
     def block(self, shards: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Words by falling count, then shard, then spelling; their shards; pre-tokens per text; and all pre-tokens as word numbers."""
+        """Words by falling count, then shard, then spelling; their shards; pre-tokens per text; and all pre-tokens as word numbers.
+        The texts are used up."""
         words, slots, counts = _Numbers(), [], []
         for run in self.known:
             found = self.pieces.findall(run)
             slots.extend(map(words.__getitem__, found))
             counts.append(len(found))
-        slots, counts = np.array(slots, np.int64), np.array(counts, np.int64)
-        begins = np.cumsum(counts) - counts
-        runs = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int64)
-        many = counts[runs]
-        ends = np.cumsum(many)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(begins[runs] - (ends - many), many) + np.arange(total)
-        flat = slots[at]
+        slots, counts = np.array(slots, np.int32), np.array(counts, np.int64)
         edges = np.r_[0, np.cumsum([len(t) for t in self.texts])].astype(np.int64)
-        per_text = np.diff(np.r_[0, ends][edges])
+        runs = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int32)
+        self.reset()
+        flat, ends = _gathered(slots, np.cumsum(counts) - counts, counts, runs)
+        per_text = np.diff(ends[edges])
+        del runs, ends
         names = sorted(words)
         old = np.fromiter(map(words.__getitem__, names), np.int64, len(names))
         shard = np.fromiter((zlib.crc32(w.encode()) % shards for w in names), np.int64, len(names))
         order = np.lexsort((shard, -np.bincount(flat, minlength=len(words))[old]))
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[old[order]] = np.arange(len(order))
         return [names[i] for i in order], shard[order], per_text, rank[flat]
 
 
+def _gathered(values: np.ndarray, begins: np.ndarray, counts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches values[begins[i] : begins[i] + counts[i]] of all i in which, end to end, and their edges, 0 included."""
+    total = sum(int(counts[which[a : a + SLICE]].sum()) for a in range(0, len(which), SLICE))
+    out, edges = np.empty(total, values.dtype), np.zeros(len(which) + 1, np.int32 if total < 1 << 31 else np.int64)
+    for a in range(0, len(which), SLICE):
+        some = which[a : a + SLICE]
+        n, b = counts[some], a + len(some)
+        ends = int(edges[a]) + np.cumsum(n)
+        edges[a + 1 : b + 1] = ends
+        out[edges[a] : edges[b]] = values[np.repeat(begins[some] - (ends - n), n) + np.arange(edges[a], edges[b])]
+    return out, edges
+
+
 def _width(values: np.ndarray) -> int:
     return max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
 
@@ -111,21 +124,27 @@ def _spread(packed: bytes) -> bytes:
     return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _numbers(values: np.ndarray) -> bytes:
-    """Numbers of which small ones are common: a byte of class each, and what the class leaves open apart."""
+def _classed(values: np.ndarray) -> tuple[bytes, ...]:
     kind = np.where(values < LOW, values, np.where(values < MIDDLE, LOW + ((values - LOW) >> 8), np.where(values < HIGH, 224 + ((values - MIDDLE) >> 16), 255)))
     near, far, wide = (kind >= LOW) & (kind < 224), (kind >= 224) & (kind < 255), kind == 255
     low, rest = (values[near] - LOW) & 255, (values[far] - MIDDLE) & 65535
-    return _packed([_squeezed(x.tobytes()) for x in (kind.astype(np.uint8), low.astype(np.uint8), (rest & 255).astype(np.uint8), (rest >> 8).astype(np.uint8), values[wide].astype("<i8"))])
+    return tuple(x.tobytes() for x in (kind.astype(np.uint8), low.astype(np.uint8), (rest & 255).astype(np.uint8), (rest >> 8).astype(np.uint8), values[wide].astype("<i8")))
+
+
+def _numbers(values: np.ndarray) -> bytes:
+    """Numbers of which small ones are common: a byte of class each, and what the class leaves open apart."""
+    parts = [_classed(values[a : a + SLICE]) for a in range(0, max(1, len(values)), SLICE)]
+    return _packed([_squeezed(b"".join(p)) for p in zip(*parts, strict=True)])
 
 
 def _unnumbers(packed: bytes) -> np.ndarray:
     kind, low, rest, rest_high, wide = map(_spread, _parts(packed))
-    values = np.frombuffer(kind, np.uint8).astype(np.int64)
-    near, far, huge = (values >= LOW) & (values < 224), (values >= 224) & (values < 255), values == 255
+    kind, wide = np.frombuffer(kind, np.uint8), np.frombuffer(wide, "<i8")
+    values = kind.astype(np.int32 if wide.max(initial=0) < 1 << 31 else np.int64)
+    near, far, huge = (kind >= LOW) & (kind < 224), (kind >= 224) & (kind < 255), kind == 255
     values[near] = LOW + ((values[near] - LOW) << 8) + np.frombuffer(low, np.uint8)
-    values[far] = MIDDLE + ((values[far] - 224) << 16) + (np.frombuffer(rest_high, np.uint8).astype(np.int64) << 8) + np.frombuffer(rest, np.uint8)
-    values[huge] = np.frombuffer(wide, "<i8")
+    values[far] = MIDDLE + ((values[far] - 224) << 16) + (np.frombuffer(rest_high, np.uint8).astype(np.int32) << 8) + np.frombuffer(rest, np.uint8)
+    values[huge] = wide
     return values
 
 
@@ -167,7 +186,6 @@ def _blocks(docs: DataFrame, pattern: str, size: int, shards: int) -> DataFrame:
             for at in range(0, len(held), 64):
                 some = range(at, min(at + 64, len(held)))
                 yield rows_of(block, held[at : at + 64].astype(np.int32), [_listed([words[i].encode() for i in order[edges[k] : edges[k + 1]]]) for k in some])
-            cut.reset()
             ids = []
 
         for batch in batches:
@@ -247,12 +265,11 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             lengths = np.concatenate([x for x, _ in got]).astype(np.int64) if got else np.zeros(0, np.int64)
             begin, many = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
             begin[order], many[order] = np.cumsum(lengths) - lengths, lengths
-            n = many[flat]
-            ends = np.cumsum(n)
-            values = ids[np.repeat(begin[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-            edges = np.r_[0, ends][np.r_[0, np.cumsum(per_text)]]
+            values, ends = _gathered(ids, begin, many, flat)
+            del flat
+            edges = ends[np.r_[0, np.cumsum(per_text)]]
             lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
-            out.append(pa.table([*(pa.array(x, mask=~k) for x, k in zip(names_, known, strict=True)), pa.array(np.diff(edges)), lists], names=names))
+            out.append(pa.table([*(pa.array(x, mask=~k) for x, k in zip(names_, known, strict=True)), pa.array(np.diff(edges).astype(np.int64)), lists], names=names))
         return pa.concat_tables(out) if out else pa.table([*[pa.array([], pa.int64())] * (len(names) - 1), pa.array([], pa.list_(pa.int32()))], names=names)
 
     shards = max(SHARDS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))

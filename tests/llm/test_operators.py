@@ -514,6 +514,24 @@ def test_packed_numbers():
         assert _unnumbers(_numbers(values)).tolist() == values.tolist()
 
 
+def test_block_of_words_is_lean():
+    """Cutting and packing a block takes few bytes per pre-token beside its texts, and a long block comes back as its pieces do."""
+    import tracemalloc
+
+    from stratalog.llm.bpe import SLICE, PreTokens, _numbers
+
+    cut, text = PreTokens(tokenizers.PATTERN), "a word or two, and " * 20_000
+    for _ in range(8):
+        cut.add(text)
+    tracemalloc.start()
+    words, _, per_text, flat = cut.block(4)
+    _numbers(flat)
+    assert tracemalloc.get_traced_memory()[1] < 24 * len(flat)
+    tracemalloc.stop()
+    assert len(flat) > 3 * SLICE and per_text.sum() == len(flat)
+    assert "".join(words[i] for i in flat.tolist()) == text * 8
+
+
 @pytest.mark.parametrize("weights", [{"a": 0.61803, "b": 0.38197}, {"a": 500000, "b": 300001, "c": 199999}, {"a": np.float32(0.5), "b": np.int64(1), "c": Fraction(1, 3)}])
 def test_pfair_long_periods(spark, weights):
     """Periods of up to a million slots, numbers of any kind: at every slot each source is less than one block off its exact share."""
