@@ -98,7 +98,9 @@ def candidates(files: DataFrame, rules: Ruleset, globs: bool = True) -> DataFram
         chosen = opened(chosen.where(F.size("ordinals") > 0), most)
     else:
         chosen = chosen.withColumn("unread", F.lit(None).cast("string"))
-    found = chosen.select(*[path.alias("path") if c == "path" else c for c in chosen.columns if c != "ordinals"], F.posexplode("ordinals").alias("rank", "ordinal"))
+    found = chosen.select(*[path.alias("path") if c == "path" else c for c in chosen.columns if c != "ordinals"], F.posexplode_outer("ordinals").alias("rank", "ordinal"))
+    # outer, and what has none dropped after: else Spark filters the files by their candidates first, and works these out twice
+    found = found.where("ordinal is not null")
     named = found.withColumn("parser", parser[F.col("ordinal")]).withColumn("format", formats[F.col("parser")])
     named = named.where("path <> '' or parser = ''")
     # selectors need no content

@@ -63,3 +63,14 @@ def test_a_thousand_custom_rules(spark):
     got = {(x["name"], x["path"]): x["o"] for x in frame.select("name", "path", candidate_ordinals(rules, F.col("name"), F.col("path")).alias("o")).collect()}
     patterns = compiled(rules)
     assert got == {k: brute(patterns, *k) for k in got} and sum(map(bool, got.values())) > 500
+
+
+def test_candidates_are_worked_out_once(spark):
+    """No filter below the list of a file's candidates works it out a second time."""
+    from stratalog.operators.select import candidates
+    from stratalog.rules import builtin_rules
+
+    files = spark.createDataFrame([("", "a/x.py", "x.py", bytearray(b"x")), ("", "a/none", "none", None)], "root string, path string, name string, content binary")
+    got = candidates(files, builtin_rules().only("python.cdk.aws_glue_job.python"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("crc32") == 1
+    assert [r["path"] for r in got.collect()] == ["a/x.py"]
